@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.plans.materialize import materialize
+
 #: Rows in a batch that Python sends back; texts and id lists stay small in the JVM's buffers.
 ROWS = 256
 
@@ -46,3 +48,18 @@ def bounded_sample(df: DataFrame, id_col: str, rows: int, seed: int = 11) -> Dat
     if total <= rows:
         return df
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_000)) < int(1_000_000 * rows / total))
+
+
+#: Ids that may be broadcast (8 bytes each); beyond, rows are picked by a shuffle join.
+FEW_IDS = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """The ids, marked for broadcast if their number, which is counted, allows it."""
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows whose id is not among ``ids``; a null id is an id."""
+    gone = few(materialize(ids.select(F.col(id_col).alias("_gone")).distinct(), "ids"))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")

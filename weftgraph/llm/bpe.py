@@ -224,16 +224,19 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     return rows.mapInArrow(run, f"id {_type_of(df, id_col)}, text string").withColumnRenamed("id", id_col)
 
 
-def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, ids array<int>, decoded string``: both directions in one pass, the text decoded from the ids."""
+def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, the columns of ``keep``, ``ids array<int>`` and ``decoded string``: both directions in one pass, the text decoded from the ids."""
     read = _reader(df, path)
+    names = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = read()
         for b in by_rows(batches):
-            ids = model.encode(b.column(1).to_pylist())
+            ids = model.encode(b.column(0).to_pylist())
             text = pa.array([model.decode(x.tolist()) for x in ids], type=pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids), text], ["id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], _lists(ids), text], [*(f"c{k}" for k in range(len(names))), "ids", "decoded"])
 
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {_type_of(df, id_col)}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    rows = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(names)))
+    kinds = ", ".join(f"c{k} {_type_of(df, c)}" for k, c in enumerate(names))
+    out = rows.mapInArrow(run, f"{kinds}, ids array<int>, decoded string")
+    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)), "ids", "decoded")

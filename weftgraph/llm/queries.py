@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, html_main, lang_id, license_scan, toxicity
+from . import bpe, chat_format, cover_tree, decontaminate, html_main, lang_id, license_scan, line_dedup, ngram_join, toxicity
 from ._frame import held_out, table, train_part
 
 #: The vocabulary of the BPE query; a file that the driver reads.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
+def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_pairs(table(spark, sf_dir, "embeddings"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lang_id.fit(docs.where(train_part()))
@@ -39,6 +43,14 @@ def op5_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.preferences(convs, chat_format.pair_neighbours(convs))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -56,16 +68,30 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cover_tree": op1_cover_tree,
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
     "op4_bpe": op4_bpe,
     "op5_chat_preferences": op5_chat_preferences,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_ngram_join": op7_ngram_join,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_html_main_text": op10_html_main_text,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_cover_tree": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CASE WHEN len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+                 THEN list_transform(embedding, lambda x: x::DOUBLE) END AS e FROM embeddings WHERE vec_id IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+""",
     "op5_chat_preferences": r"""
 WITH t AS (
   SELECT conv_id, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
@@ -87,5 +113,26 @@ SELECT d.chosen_id, d.rejected_id, d.n_common,
   coalesce((SELECT string_agg((before + 13 + length(role))::BIGINT || '-' || (before + length(shown) - 1)::BIGINT, ',' ORDER BY k) FROM q WHERE q.chosen_id = d.chosen_id AND side = 0 AND role = 'assistant'), '') AS chosen_mask,
   coalesce((SELECT string_agg((before + 13 + length(role))::BIGINT || '-' || (before + length(shown) - 1)::BIGINT, ',' ORDER BY k) FROM q WHERE q.chosen_id = d.chosen_id AND side = 1 AND role = 'assistant'), '') AS rejected_mask
 FROM d
+""",
+    "op6_line_dedup": r"""
+WITH a AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, text, i - 1 AS i, trim(x, ' ') AS x FROM (SELECT doc_id, text, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM a)),
+p AS (SELECT doc_id, text, i, x, row_number() OVER (PARTITION BY doc_id, text ORDER BY i) - 1 AS j,
+             length(x) - length(replace(x, ' ', '')) + 1 AS w FROM l WHERE x <> ''),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id, text ORDER BY j) AS upto, sum(w) OVER (PARTITION BY doc_id, text ORDER BY j) - w AS before FROM p),
+s AS (SELECT *, count(*) OVER f AS tf, sum(w) OVER f AS wf, count(*) OVER b AS tb, sum(w) OVER b AS wb FROM c
+      WINDOW f AS (PARTITION BY doc_id, text ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING),
+             b AS (PARTITION BY doc_id, text ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+n AS (SELECT doc_id, text, j, tf AS t FROM s WHERE wf >= 50 UNION SELECT doc_id, text, j - tb + 1, tb FROM s WHERE wb >= 50),
+d AS (SELECT doc_id, text, list(x ORDER BY j) AS xs FROM p GROUP BY doc_id, text),
+k AS (SELECT n.*, array_to_string(d.xs[(n.j + 1):(n.j + n.t)], chr(10)) AS key FROM n JOIN d USING (doc_id, text)),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, text, j) AS o FROM k),
+g AS (SELECT DISTINCT doc_id, text, unnest(generate_series(j, j + t - 1)) AS j FROM r WHERE o > 1),
+q AS (SELECT p.doc_id, p.text, p.i FROM p JOIN g USING (doc_id, text, j)),
+o AS (SELECT l.doc_id, l.text, string_agg(l.raw, chr(10) ORDER BY l.i) FILTER (WHERE q.i IS NULL) AS kept, count(q.i) AS n FROM
+      (SELECT doc_id, text, i - 1 AS i, raw FROM (SELECT doc_id, text, unnest(ls) AS raw, generate_subscripts(ls, 1) AS i FROM a)) l
+      LEFT JOIN q ON q.doc_id = l.doc_id AND q.text = l.text AND q.i = l.i GROUP BY l.doc_id, l.text)
+SELECT d.doc_id, coalesce(o.kept, '') AS text, len(string_split(d.text, chr(10)))::BIGINT AS n_lines, o.n::BIGINT AS n_deleted
+FROM documents d JOIN o ON o.doc_id = d.doc_id AND o.text = d.text
 """,
 }
