@@ -4,10 +4,11 @@ A document is the set of its distinct k-word shingles. Documents with one set ar
 pass counts, in a count sketch of fixed size that covers all documents, how often each shingle
 occurs; (count, hash) is the global order, rare shingles first. Two sets with Jaccard similarity of at
 least p/100 share ``t = ceil(p n / 100)`` shingles, n being the larger set's size, so for every l the first
-``n - t + l`` shingles of each share at least l. A second pass lets each document choose its own l: it
-lengthens the prefix by one shingle for each further required match, as long as the estimated cost of
-its candidates falls. Two documents are candidates if their prefixes share as many shingles as the
-lesser of their two l; each candidate pair is verified on the whole sets.
+``n - t + l`` shingles of each share at least l. A second pass writes the longest prefixes; from the lengths of
+their posting lists each document chooses its own l: it lengthens the prefix by one shingle for each
+further required match, as long as the estimated cost of its candidates falls. Two documents are
+candidates if their prefixes share as many shingles as the lesser of their two l; each candidate pair
+is held against bitmaps and then against the whole sets.
 
 Groups of near copies would be candidates pair by pair. While the estimate of such pairs is beyond
 a few times the number of postings, rounds compare each document with one leader of each of its
@@ -53,18 +54,27 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def prefix(tokens: np.ndarray, counts: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
-    """The prefix of a document in the global order, and the number of matches it asks for."""
+def prefix(tokens: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The longest prefix that a document may choose, in the global order."""
     n = len(tokens)
-    order = np.lexsort((tokens, counts))
     least = -(-percent * n // 100)
-    most = min(MOST, least)
-    base = n - least
-    reads = np.cumsum(np.maximum(counts[order[: base + most]] - noise, 0.0))
-    need = np.arange(1, most + 1)
-    cost = base + need + reads[base:] * (1.0 + VERIFY / need)
-    ell = int(np.argmin(cost)) + 1
-    return tokens[order[: base + ell]], ell
+    return tokens[np.lexsort((tokens, counts))[: n - least + min(MOST, least)]]
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """One bit for each slot that a token falls in, of two to four slots a token."""
+    size = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(size, dtype=bool)
+    bits[(mix(tokens + np.uint64(77)) & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the size of the symmetric difference; the longer bitmap is folded."""
+    a, b = (np.frombuffer(v, np.uint8) for v in sorted((x, y), key=len))
+    if len(a) < len(b):
+        b = np.bitwise_or.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int, column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -113,15 +123,14 @@ def _sketch(first: DataFrame) -> np.ndarray:
 
 
 def _postings(texts: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """Pass two: ``token, d, n, ell`` for the prefixes; a set that a task has seen is not repeated."""
+    """Pass two: ``token, d, n, pos`` for the longest prefixes; a set that a task has seen is not repeated."""
     sent = texts.sparkSession.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
-        noise = float(np.median(table.min(axis=0))) + 1.0
         seen: set[int] = set()
         for _, sets in _sets(batches, k, 1):
-            out: list[tuple[np.ndarray, int, int, int]] = []
+            out: list[tuple[np.ndarray, int, int]] = []
             for s in sets:
                 if not len(s) or (d := digest(s)[0]) in seen:
                     continue
@@ -130,20 +139,19 @@ def _postings(texts: DataFrame, sketch: np.ndarray, k: int, percent: int) -> Dat
                 seen.add(d)
                 slots = _slots(s)
                 counts = np.minimum.reduce([table[r][slots[r]] for r in range(DEPTH)])
-                tokens, ell = prefix(s, counts, noise, percent)
-                out.append((tokens, d, len(s), ell))
+                out.append((prefix(s, counts, percent), d, len(s)))
             if out:
                 size = [len(o[0]) for o in out]
                 column = lambda j, t: pa.array(np.repeat(np.array([o[j] for o in out], t), size))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), column(1, np.int64), column(2, np.int32), column(3, np.int32)], ["token", "d", "n", "ell"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), column(1, np.int64), column(2, np.int32), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in size]))], ["token", "d", "n", "pos"])
 
-    return texts.mapInArrow(run, "token long, d long, n int, ell int")
+    return texts.mapInArrow(run, "token long, d long, n int, pos int")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of postings sorted by (token, d): each once, if its token has another document. Keeps one row back."""
     held: tuple[int, int, int, int] | None = None
-    names = ["token", "d", "n", "ell"]
+    names = ["token", "d", "n", "pos"]
     kept_before = False  # whether the held row's token came before it
     for b in batches:
         if not b.num_rows:
@@ -163,31 +171,68 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([h], t) for h, t in zip(held, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names)
 
 
+def _chosen(postings: DataFrame, percent: int) -> DataFrame:
+    """The postings of the prefixes that the documents choose, with the number of matches ``ell`` they ask for.
+
+    With l matches a document reads the lists of its first ``base + l`` shingles, whose lengths are known,
+    and has at most reads / l candidates to verify, each at the cost of ``VERIFY`` reads.
+    """
+    length = postings.groupBy("token").agg(F.count("*").alias("x"))
+    need = F.ceil(F.col("n") * percent / F.lit(100.0)).cast("int")
+    reads = lambda l: F.sum(F.when(F.col("pos") < F.col("n") - need + l, F.col("x") - 1).otherwise(0))  # noqa: E741, E731
+    cost = F.array(*(F.when(F.lit(l) <= need, F.col(f"r{l}") * (1.0 + VERIFY / l) + l).otherwise(F.lit(float("inf"))) for l in range(1, MOST + 1)))  # noqa: E741
+    sums = postings.join(length, "token").groupBy("d", "n").agg(*(reads(l).alias(f"r{l}") for l in range(1, MOST + 1)))  # noqa: E741
+    ells = sums.select("d", F.array_position(cost, F.array_min(cost)).cast("int").alias("ell"))
+    return postings.join(ells, "d").where(F.col("pos") < F.col("n") - need + F.col("ell")).select("token", "d", "n", "ell")
+
+
 def _verified(pairs: DataFrame, df: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("f1")).unionAll(pairs.select("b")).distinct()
-    ids = materialize(docs.join(wanted, "f1").groupBy("f1", "f2").agg(F.min("id").alias("id")).select("id").distinct(), "wanted")
-    right = few(ids)
-    texts = _texts(df, id_col, text_col)
-    texts = texts.join(right, texts["id"].eqNullSafe(ids["id"]), "left_semi")
+    """The pairs ``a, b`` whose whole sets are similar enough.
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, k, 1):
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s)[0] if len(s) else 0 for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["d", "s"])
+    Bitmaps, whose differing bits bound the difference of the sets from below, rule out most pairs that are not;
+    only the others move whole sets.
+    """
 
-    sets = materialize(texts.mapInArrow(emit, "d long, s binary").join(wanted.withColumnRenamed("f1", "d"), "d", "left_semi").dropDuplicates(["d"]), "sets")
-    rows = pairs.join(sets.select(F.col("d").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("d").alias("b"), F.col("s").alias("sb")), "b")
+    def of_documents(pairs: DataFrame, pack, name: str) -> DataFrame:
+        wanted = materialize(pairs.select(F.col("a").alias("f1")).unionAll(pairs.select("b")).distinct(), "wanted")
+        ids = docs.join(few(wanted), "f1").groupBy("f1", "f2").agg(F.min("id").alias("id")).select("id").distinct()
+        ids = materialize(ids, "wanted-ids")
+        texts = _texts(df, id_col, text_col)
+        texts = texts.join(few(ids), texts["id"].eqNullSafe(ids["id"]), "left_semi")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(s) + len(t) - len(np.union1d(s, t))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for _, sets in _sets(batches, k, 1):
+                new = [(d, s) for d, s in ((digest(s)[0], s) for s in sets if len(s)) if d not in seen and not seen.add(d)]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in new], pa.int64()), pa.array([len(s) for _, s in new], pa.int64()), pa.array([pack(s) for _, s in new], pa.binary())], ["d", "n", "s"])
+
+        found = texts.mapInArrow(emit, "d long, n long, s binary")
+        return materialize(found.join(few(wanted.withColumnRenamed("f1", "d")), "d", "left_semi"), name)
+
+    def joined(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        side = lambda x: sets.select(F.col("d").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+        return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+
+    def keep(similar):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                good = [similar(n, m, x.as_py(), y.as_py()) for n, m, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+        return run
+
+    def may_be(n: int, m: int, x: bytes, y: bytes) -> bool:
+        both = (n + m - least_difference(x, y)) // 2  # an upper bound
+        return 100 * both >= percent * (n + m - both)
+
+    def are(n: int, m: int, x: bytes, y: bytes) -> bool:
+        both = n + m - len(np.union1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
+        return 100 * both >= percent * (n + m - both)
 
-    return rows.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    maps = of_documents(pairs, bitmap, "bitmaps")
+    left = materialize(joined(pairs, maps).mapInArrow(keep(may_be), "a long, b long").distinct(), "left-pairs")
+    sets = of_documents(left, lambda s: s.tobytes(), "sets")
+    return joined(left, sets).mapInArrow(keep(are), "a long, b long")
 
 
 def join_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -196,7 +241,8 @@ def join_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = materialize(_documents(texts, k), "sets-and-sketch")
     docs = first.where("kind = 0").select("id", "n", "f1", "f2")
     postings = _postings(texts, _sketch(first), k, percent).repartition("token").sortWithinPartitions("token", "d")
-    postings = materialize(postings.mapInArrow(_shared, "token long, d long, n int, ell int"), "postings")
+    postings = materialize(postings.mapInArrow(_shared, "token long, d long, n int, pos int"), "postings")
+    postings = materialize(_chosen(postings, percent), "chosen")
     total = postings.count()
     similar = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     verified = lambda pairs: materialize(_verified(materialize(pairs, "pairs"), df, docs, id_col, text_col, k, percent), "links")
