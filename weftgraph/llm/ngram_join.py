@@ -41,7 +41,7 @@ from ._words import mix, shingles, word_hashes
 #: The sketch: rows, counters of a row, and counters of a segment.
 DEPTH, WIDTH, SEGMENT = 2, 1 << 17, 1 << 12
 #: Most matches asked for, cost of verifying a candidate in posting reads, most star rounds, pairs for each posting.
-MOST, VERIFY, ROUNDS, DENSE = 6, 20.0, 6, 8
+MOST, VERIFY, ROUNDS, DENSE = 6, 20.0, 3, 1
 
 
 def _slots(tokens: np.ndarray) -> np.ndarray:
@@ -183,7 +183,7 @@ def _chosen(postings: DataFrame, percent: int) -> DataFrame:
     cost = F.array(*(F.when(F.lit(l) <= need, F.col(f"r{l}") * (1.0 + VERIFY / l) + l).otherwise(F.lit(float("inf"))) for l in range(1, MOST + 1)))  # noqa: E741
     sums = postings.join(length, "token").groupBy("d", "n").agg(*(reads(l).alias(f"r{l}") for l in range(1, MOST + 1)))  # noqa: E741
     ells = sums.select("d", F.array_position(cost, F.array_min(cost)).cast("int").alias("ell"))
-    return postings.join(ells, "d").where(F.col("pos") < F.col("n") - need + F.col("ell")).select("token", "d", "n", "ell")
+    return postings.join(ells, "d").where(F.col("pos") < F.col("n") - need + F.col("ell")).select("token", "d", "n", "pos", "ell")
 
 
 def _verified(pairs: DataFrame, df: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
@@ -260,9 +260,12 @@ def join_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         new = verified(pairs)
         links = new if links is None else links.unionAll(new)
         labels = connected_components(links, "a", "b")
-        labelled = materialize(postings.join(labels.select(F.col("id").alias("d"), F.col("component").alias("lc")), "d", "left").select("token", "d", "n", "ell", F.coalesce("lc", "d").alias("c")), "labelled")
-    other = labelled.select("token", F.col("d").alias("e"), F.col("n").alias("m"), F.col("ell").alias("ell2"), F.col("c").alias("c2"))
-    pairs = labelled.join(other, "token").where((F.col("d") < F.col("e")) & (F.col("c") != F.col("c2")) & similar)
+        labelled = materialize(postings.join(labels.select(F.col("id").alias("d"), F.col("component").alias("lc")), "d", "left").select("token", "d", "n", "pos", "ell", F.coalesce("lc", "d").alias("c")), "labelled")
+    other = labelled.select("token", F.col("d").alias("e"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("ell").alias("ell2"), F.col("c").alias("c2"))
+    # The first l shared shingles of two similar sets stand before n - t + l in both, t being what sets of these sizes must share.
+    reach = F.least("ell", "ell2") - F.ceil(percent * (F.col("n") + F.col("m")) / F.lit(100.0 + percent))
+    early = (F.col("pos") < F.col("n") + reach) & (F.col("pos2") < F.col("m") + reach)
+    pairs = labelled.join(other, "token").where((F.col("d") < F.col("e")) & (F.col("c") != F.col("c2")) & similar & early)
     pairs = pairs.groupBy(F.col("d").alias("a"), F.col("e").alias("b")).agg(F.count("*").alias("x"), F.first(F.least("ell", "ell2")).alias("need")).where("x >= need").select("a", "b")
     new = verified(pairs)
     links = new if links is None else links.unionAll(new)
