@@ -27,6 +27,10 @@ from pyspark.sql import functions as F
 from weftgraph.plans.materialize import materialize
 
 
+#: Bytes of line flags that may be broadcast.
+SMALL = 32_000_000
+
+
 def _ranked(keys: DataFrame, *cols: str) -> DataFrame:
     """Order-preserving names of distinct keys, from a range-partitioned sort; written, so they stay."""
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -88,13 +92,15 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     ``n_lines long`` and ``n_deleted long``, in place of columns with these names."""
     h, mark = "_weft_h", "_weft_gone"
     gone = deleted_lines(df, id_col, text_col, min_words).groupBy("id", "h").agg(F.sort_array(F.collect_list("i")).alias("gone"))
-    # A text as long as the document's lines up to the last deleted one: "1" where a line goes.
+    # For each of the document's lines up to the last deleted one, whether it goes.
     flags = F.array_join(F.transform("gone", lambda x, k: F.concat(F.repeat(F.lit("0"), x - F.coalesce(F.get("gone", k - 1), F.lit(-1)) - 1), F.lit("1"))), "")
-    gone = materialize(gone.select(F.col("id").alias("_weft_id"), F.col("h").alias("_weft_h2"), F.split(flags, "").alias(mark), F.size("gone").cast("long").alias("_weft_n")), "deleted")
+    gone = materialize(gone.select(F.col("id").alias("_weft_id"), F.col("h").alias("_weft_h2"), F.transform(F.split(flags, ""), lambda c: c == "1").alias(mark), F.size("gone").cast("long").alias("_weft_n")), "deleted")
+    if gone.agg(F.coalesce(F.sum(F.size(mark) + 64), F.lit(0)).alias("x")).first().x <= SMALL:
+        gone = F.broadcast(gone)  # else the texts are dealt out by document
     rows = df.withColumn(h, F.xxhash64(text_col))
     out = rows.join(gone, rows[id_col].eqNullSafe(gone["_weft_id"]) & (rows[h] == gone["_weft_h2"]), "left")
     lines = F.split(text_col, "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: F.coalesce(F.get(mark, i), F.lit("0")) != "1"), "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.get(mark, i), F.lit(False))), "\n")
     new = {text_col: F.when(F.col(mark).isNull(), F.col(text_col)).otherwise(kept)}
     if counts:
         new |= {"n_lines": F.coalesce(F.size(lines).cast("long"), F.lit(0)) * F.col(text_col).isNotNull().cast("long"), "n_deleted": F.coalesce("_weft_n", F.lit(0)).cast("long")}
