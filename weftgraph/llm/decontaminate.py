@@ -119,6 +119,7 @@ class Block:
     """Some benchmark items with the sorted hashes of their windows."""
 
     def __init__(self, items: list[tuple[int, bytes]], width: int):
+        items = list(dict.fromkeys(items))  # rows that repeat an item are one
         self.ids = [i for i, _ in items]
         self.items = [Template(t) for _, t in items]
         found: dict[int, list[tuple[int, int, int]]] = {}
@@ -190,7 +191,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     passes: list[DataFrame] = []
     items: list[tuple[int, bytes]] = []
     size = 0
-    for row in benchmark.select(F.col(item_col).alias("i"), F.encode(F.coalesce(F.col(item_text), F.lit("")), "UTF-8").alias("t")).distinct().toLocalIterator():
+    for row in benchmark.select(F.col(item_col).alias("i"), F.encode(F.coalesce(F.col(item_text), F.lit("")), "UTF-8").alias("t")).toLocalIterator():
         items.append((row.i, bytes(row.t)))
         size += 1 + len(row.t) // 4
         if size > block_words:

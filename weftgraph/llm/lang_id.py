@@ -122,7 +122,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "v"])
 
     total: dict[str, np.ndarray] = {}
-    for row in rows.select("text", "lang").coalesce(parts).mapInArrow(bundle, "lang string, v binary").toLocalIterator():
+    for row in rows.select("text", "lang").repartition(parts).mapInArrow(bundle, "lang string, v binary").collect():
         total[row.lang] = total.get(row.lang, 0) + np.frombuffer(row.v, np.int64)
     names = sorted(total)
     made = np.array([total[k] / np.linalg.norm(total[k]) for k in names]).reshape(len(names), DIM)

@@ -117,7 +117,7 @@ def _sketch(first: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["i", "blob"])
 
     total = np.zeros((DEPTH * WIDTH // SEGMENT, SEGMENT), dtype=np.int64)
-    for row in first.where("kind = 1").select("id", "blob").repartition("id").mapInArrow(add, "i long, blob binary").toLocalIterator():
+    for row in first.where("kind = 1").select("id", "blob").repartition("id").mapInArrow(add, "i long, blob binary").collect():
         total[row.i] += np.frombuffer(row.blob, np.int64)
     return total.reshape(DEPTH, WIDTH)
 

@@ -86,7 +86,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
             yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([at.tobytes()]), pa.array([w.tobytes()])], ["bias", "at", "w"])
 
     kind = labelled.schema[id_col].dataType.simpleString()
-    found = rows.mapInArrow(hashed, f"id {kind}, x binary, y int").coalesce(1).mapInArrow(learn, "bias double, at binary, w binary").collect()
+    found = rows.mapInArrow(hashed, f"id {kind}, x binary, y int").repartition(1).mapInArrow(learn, "bias double, at binary, w binary").collect()
     if not found:
         return -1e9, np.empty(0, np.int32), np.empty(0)
     return found[0].bias, np.frombuffer(found[0].at, np.int32), np.frombuffer(found[0].w, np.float64)
