@@ -71,6 +71,9 @@ def profiles(texts: list[str]) -> np.ndarray:
         if not rows:
             return
         flat = np.concatenate(rows)
+        if len(flat) < N:
+            rows.clear()
+            return
         owner = np.repeat(np.arange(first, last), [len(r) for r in rows])
         alphabet, code = _numbered(flat)
         gram, at = np.zeros(len(flat) - N + 1, dtype=np.int64), len(flat) - N + 1
