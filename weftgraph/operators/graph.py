@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.triples import first_by
+from weftgraph.plans.materialize import materialize
 
 
 def merge_edges(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -53,13 +54,14 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int = 3, communiti
     Breadth-first over (start, node) pairs: a pair that was reached is not reached again, and each level
     keeps one path for each pair by a partial aggregation.
     """
-    steps = both_ways(in_communities(edges, communities)).select("a", "b").distinct()
+    steps = materialize(both_ways(in_communities(edges, communities)).select("a", "b").distinct(), "steps")
+    seeds = materialize(seeds.select("id").distinct(), "seeds")
     seen = seeds.select(F.col("id").alias("start"), F.col("id").alias("end")).distinct()
     front = seen.withColumn("nodes", F.array("end"))
     out = None
     for length in range(1, depth + 1):
         far = front.join(steps, front["end"] == steps["a"]).select("start", F.col("b").alias("end"), F.concat("nodes", F.array("b")).alias("nodes"))
-        front = far.groupBy("start", "end").agg(F.min("nodes").alias("nodes")).join(seen, ["start", "end"], "left_anti")
+        front = materialize(far.groupBy("start", "end").agg(F.min("nodes").alias("nodes")).join(seen, ["start", "end"], "left_anti"), "front")
         seen = seen.unionAll(front.select("start", "end"))
         hit = front.join(seeds.select(F.col("id").alias("end")).distinct(), "end").select("start", "end", F.lit(length).alias("length"), "nodes")
         out = hit if out is None else out.unionAll(hit)
