@@ -55,3 +55,13 @@ def by_names(evidence: DataFrame, entities: list[str], predicates: list[str], ma
     elif conditions:
         out = out.where(conditions[0])
     return out if communities is None else out.where(F.col("community_id").isin(communities))
+
+
+def ids_by_community(names: DataFrame, links: DataFrame) -> DataFrame:
+    """``community_id, ids``: the sorted ids that a community's raw names stand for.
+
+    ``names`` has ``community_id, raw_name``, ``links`` has ``raw_name, canonical_id``. Pairs are made distinct before the
+    join, so a frequent name costs one row a community.
+    """
+    linked = names.select("community_id", "raw_name").distinct().join(links.select("raw_name", "canonical_id").distinct(), "raw_name")
+    return linked.groupBy("community_id").agg(F.array_sort(F.collect_set("canonical_id")).alias("ids"))

@@ -82,3 +82,14 @@ def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def latest(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def qualifying_chunks(triples: DataFrame, foreign: Column, by: list[str]) -> DataFrame:
+    """``by, qualifies``: whether any triple of the chunk has a field that ``foreign`` finds in need of translation."""
+    return triples.groupBy(*by).agg(F.max(F.coalesce(foreign, F.lit(False))).alias("qualifies"))
+
+
+def translated_chunks(triples: DataFrame, by: list[str], roles: tuple[str, ...] = ("subject", "predicate", "object")) -> DataFrame:
+    """``by, complete``: whether every field with a value has a translation that is not blank and no echo."""
+    bad = [(F.trim(F.coalesce(r, F.lit(""))) != "") & failed_translation(F.col(r), F.col(f"{r}_en")) for r in roles]
+    return triples.groupBy(*by).agg((~F.max(F.greatest(*(b.cast("int") for b in bad)).cast("boolean"))).alias("complete"))

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import model_output, text
-from weftgraph.operators import chunking, diagnostics, graph, ranking, resolution, retrieval, triples
+from weftgraph.operators import answers, chunking, communities, diagnostics, graph, ranking, resolution, retrieval, schema, triples
 from weftgraph.operators.components import connected_components
 from weftgraph.plans import planner, views
 from weftgraph.plans.views import table
+from weftgraph.sources import documents, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -468,3 +469,121 @@ def h05(spark, d):
 def m07(spark, d):
     none = F.lit("")
     return table(spark, d, "supplier").select("s_suppkey", text.metadata_text(F.col("s_name"), none, none, F.col("s_nationkey").cast("string"), none, none).alias("label"))
+
+
+#: A schema over the derived graph, as schema texts are written.
+RULES = """
+### Supplier
+| Field | Type | Required |
+| --- | --- | --- |
+| name | string | yes |
+| balance | enum → Balance | yes |
+| note | string | no |
+
+| Subject | Relation | Object |
+| --- | --- | --- |
+| Supplier | LOCATED_IN | Nation |
+
+### `Balance`
+```
+high
+low
+```
+"""
+
+
+@query("c05_node_errors", """
+SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'Unknown node type: Thing' ELSE concat_ws('; ', CASE WHEN s_suppkey % 2 = 0 THEN 'Missing required field: balance' END, CASE WHEN s_suppkey % 3 = 0 THEN 'Unknown field: extra' END,
+  CASE WHEN s_suppkey % 2 = 1 AND s_acctbal BETWEEN 1000 AND 5000 THEN 'Invalid value for balance: middle. Must be one of: high, low' END) END AS errors FROM supplier
+""")
+def c05(spark, d):
+    level = F.when(F.col("s_acctbal") > 5000, "high").when(F.col("s_acctbal") < 1000, "low").otherwise("middle")
+    pair = lambda k, v: F.create_map(F.lit(k), v)
+    none = F.create_map().cast("map<string, string>")
+    fields = F.map_concat(pair("name", F.col("s_name")), F.when(F.col("s_suppkey") % 2 == 1, pair("balance", level)).otherwise(none), F.when(F.col("s_suppkey") % 3 == 0, pair("extra", F.lit("x"))).otherwise(none))
+    nodes = table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 5 == 0, "Thing").otherwise("Supplier").alias("type"), fields.alias("fields"))
+    return schema.node_errors(nodes, schema.parse(RULES)).select("s_suppkey", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("c06_valid_relations", "SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0")
+def c06(spark, d):
+    edges = table(spark, d, "supplier").select("s_suppkey", F.lit("Supplier").alias("subject_type"), F.lit("LOCATED_IN").alias("edge_type"), F.when(F.col("s_suppkey") % 3 == 0, "Nation").otherwise("Region").alias("object_type"))
+    return schema.valid_relations(edges, schema.parse(RULES)).select("s_suppkey")
+
+
+@query("m01_unique_id", "SELECT s_suppkey, s_nationkey || '_' || trim(s_name) AS unique_id FROM supplier")
+def m01(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("moo"), F.col("s_name").alias("village"))
+    return communities.with_unique_id(s).select("s_suppkey", "unique_id")
+
+
+@query("m04_by_location", "SELECT s_suppkey FROM supplier WHERE contains(s_nationkey::VARCHAR, '1') AND contains(s_name, '2')")
+def m04(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("moo"), F.col("s_name").alias("village"))
+    return communities.by_location(s, "1", "2").select("s_suppkey")
+
+
+@query("m05_without_ids", "SELECT s_suppkey FROM supplier WHERE s_name NOT IN (SELECT s_name FROM supplier WHERE s_suppkey = 1)")
+def m05(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("unique_id"))
+    return communities.without_ids(s, [s.where("s_suppkey = 1").first().unique_id]).select("s_suppkey")
+
+
+@query("s12_labelled_text", "SELECT conv_id, string_agg('--- Page ' || turn || ' ---' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, coalesce(text, '')) AS text FROM conversations GROUP BY conv_id")
+def s12(spark, d):
+    return documents.labelled_text(table(spark, d, "conversations"), "conv_id", "turn")
+
+
+@query("s18_chunk_texts", "SELECT doc_id::VARCHAR AS community_id, chunk_id, CASE WHEN length(content) > 500 THEN substr(content, 1, 500) || chr(10) || chr(10) || '[truncated]' ELSE content END AS text, CASE WHEN content IS NULL THEN 'not found' END AS error FROM (SELECT DISTINCT doc_id, 1 AS chunk_id FROM documents UNION SELECT DISTINCT doc_id, 3 FROM documents) LEFT JOIN chunks USING (doc_id, chunk_id)")
+def s18c(spark, d):
+    own = F.col("doc_id").cast("string").alias("community_id")
+    refs = table(spark, d, "documents").select(own, F.explode(F.array(F.lit(1), F.lit(3), F.lit(1))).alias("chunk_id"))
+    return documents.chunk_texts(refs, views.doc_chunks(spark, d).select(own, "chunk_id", "content"), 500)
+
+
+@query("s21_greatest_chunk", "SELECT doc_id, max(chunk_id)::BIGINT AS chunk_id FROM chunks GROUP BY doc_id")
+def s21(spark, d):
+    names = views.doc_chunks(spark, d).select("doc_id", F.format_string("in/chunk_%03d.txt", "chunk_id").alias("name"))
+    return documents.greatest_chunk(names, F.col("name"), "doc_id")
+
+
+@query("k01_analysis", """
+SELECT conv_id, '# Document Analysis: ' || conv_id || '.pdf' || chr(10) || chr(10) || '**File Type:** pdf' || chr(10) || chr(10) || '**Total Pages:** ' || count(*) || chr(10) || chr(10) || '**Processing Model:** unknown' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '<start>' || chr(10) || chr(10)
+  || string_agg(CASE WHEN coalesce(text, '') <> '' THEN text || chr(10) || chr(10) ELSE '' END || '---' || chr(10), chr(10) ORDER BY turn, coalesce(text, '')) || chr(10) || '</end>' || chr(10) AS markdown FROM conversations GROUP BY conv_id
+""")
+def k01(spark, d):
+    name = F.concat(F.col("conv_id").cast("string"), F.lit(".pdf"))
+    return reports.analysis(table(spark, d, "conversations"), "conv_id", name, F.lit("pdf"), F.lit(None).cast("string"), "turn")
+
+
+@query("k05_envelopes", "SELECT doc_id, count(*) AS total_chunks, sum(n)::BIGINT AS total_triples, max(n) AS largest_chunk FROM (SELECT doc_id, chunk_id, count(*) AS n FROM raw GROUP BY ALL) GROUP BY doc_id")
+def k05(spark, d):
+    return reports.envelopes(views.raw_triples(spark, d), "doc_id")
+
+
+@query("k12_report", """
+SELECT 0::BIGINT AS pos, '# Query Results: nations' || chr(10) || chr(10) || '## Query' || chr(10) || chr(10) || '```' || chr(10) || 'all' || chr(10) || '```' || chr(10) || chr(10) || '## Results (' || count(*) || ' records)' || chr(10) AS line FROM nation
+UNION ALL SELECT n_nationkey + 1, '### Result ' || (n_nationkey + 1) || chr(10) || chr(10) || '```json' || chr(10) || '{"n_name":"' || n_name || '"}' || chr(10) || '```' || chr(10) FROM nation
+""")
+def k12(spark, d):
+    return reports.report(table(spark, d, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("pos"), "n_name"), "nations", "all")
+
+
+@query("y04_quality", """
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'no_data' WHEN length(trim(coalesce(text, ''))) < 50 THEN 'poor' WHEN s = 3 THEN 'high' WHEN s = 2 THEN 'medium' ELSE 'basic' END AS quality
+FROM (SELECT *, (doc_id % 2 = 0)::INTEGER + (doc_id % 3 = 0)::INTEGER + (doc_id % 5 = 0)::INTEGER AS s FROM documents)
+""")
+def y04(spark, d):
+    return table(spark, d, "documents").select("doc_id", answers.quality(F.col("text"), F.col("doc_id") % 4, [F.col("doc_id") % k == 0 for k in (2, 3, 5)]).alias("quality"))
+
+
+@query("x01_language_gate", "SELECT doc_id, chunk_id, bool_or(length(subject) > 4 OR length(object) > 4) AS qualifies FROM raw GROUP BY doc_id, chunk_id")
+def x01(spark, d):
+    return triples.qualifying_chunks(views.raw_triples(spark, d), (F.length("subject") > 4) | (F.length("object") > 4), ["doc_id", "chunk_id"])
+
+
+@query("p11_ids_by_community", "SELECT doc_id AS community_id, array_to_string(list_sort(list(DISTINCT 'k:' || lower(w))), ',') AS ids FROM (SELECT doc_id, unnest([subject, object]) AS w FROM raw) WHERE length(w) > 6 GROUP BY doc_id")
+def p11(spark, d):
+    raw = views.raw_triples(spark, d).select(F.col("doc_id").alias("community_id"), F.explode(F.array("subject", "object")).alias("raw_name"))
+    links = raw.where(F.length("raw_name") > 6).select("raw_name", F.concat(F.lit("k:"), F.lower("raw_name")).alias("canonical_id")).distinct()
+    return retrieval.ids_by_community(raw, links).select("community_id", F.array_join("ids", ",").alias("ids"))
