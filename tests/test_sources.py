@@ -104,3 +104,13 @@ def test_stream(spark, tmp_path):
     edges(("a", "E", "b", 0), ("b", "E", "c", 5)).write.mode("append").parquet(come)
     ingest.append_first_edges(ingest.arriving(spark, come, one.schema), out, state).awaitTermination()
     assert sorted((r.src, r.dst, r.chunk_id) for r in spark.read.parquet(out).collect()) == [("a", "b", 1), ("b", "c", 5)]
+
+
+def test_window_counts(spark, tmp_path):
+    at = lambda h, kind, v: (f"2024-01-01 {h:02d}:30:00", kind, v)
+    df = spark.createDataFrame([at(1, "a", 1.0), at(1, "a", 2.0), at(2, "b", None), at(9, "a", 4.0)], "t string, event_type string, value double").select(F.to_timestamp("t").alias("ts"), "event_type", "value")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = ingest.counts_by_window(ingest.arriving(spark, str(tmp_path / "in"), df.schema))
+    stream.writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.table("counted").select(F.hour("start").alias("h"), "event_type", "n", "total").collect()
+    assert sorted(map(tuple, rows)) == [(1, "a", 2, 3.0), (2, "b", 1, None), (9, "a", 1, 4.0)]
