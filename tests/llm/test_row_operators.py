@@ -95,6 +95,32 @@ def test_decontamination_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in queries.op9_decontamination(spark, SF).collect()} >= {(d, i) for d, t in docs for i, q in items if q in t} != set()
 
 
+def test_decontamination_edges():
+    items = [
+        b"3 kg Boston 7 kg weigh more than their makers ever said",  # few literal words in the first window
+        b"Alice had twelve pears and gave them all away quietly",  # a name or not, by what stands before
+        b"Alice Smith Jones sold 3 apples then walked home over the hills",
+        b"minutes after noon she closed the little shop with 4 locks and left Bob",  # a unit or not
+        b"rows 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 end with these five plain words here",
+        b"Ann pays 5 euros, Ben pays 6 euros and both of them walk 7 km home before dark",
+    ]
+    block = decontaminate.Block(list(enumerate(items)), 8)
+
+    def found(text):
+        return {(k, n, exact) for k, n, _, exact in block.find(decontaminate.Template(text), 13)}
+
+    for k, item in enumerate(items):
+        for before in (b"", b"we read (x) ", b"as, ", b"so - ", b'he said "', b"it took 5 ", b"and Carol "):
+            for after in (b"", b" Smith went on", b". Next", b" 5"):
+                hits = {f[0]: f[2] for f in found(before + item + after)}
+                assert hits.get(k), (before, item, after)
+    assert (0, 12, False) in found(b"so 9 kg Denver 2 kg weigh more than their makers ever said")
+    assert {f[0] for f in found(b"they say, Carol had twelve pears and gave them all away quietly")} == {1}
+    assert {f[0] for f in found(b"x 1 2 3 4 5 6 7 8 9 10 11 12 13 y")} == {4}  # a run word for word, all of it numbers
+    assert not found(b"x 1 2 3 4 5 6 7 8 9 10 11 12 y") and not found(b"x 1 7 3 4 5 6 2 8 9 3 4 5 6 7 8 9 9 y")
+    assert {f[:2] for f in found(b"zz pays 8 euros, Dan pays 8 euros and both of them walk 7 km home before dark")} == {(5, 15)}  # behind the clash of 8 with 5 and 6
+
+
 def test_html():
     page = '<html><head><title>t</title><script>var a="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a></ul></nav><div class="ad">Buy now and save so much money today.</div><article><h1>A &amp; B</h1><p>First <b>para</b>\n graph.<br>More<p>ok<div class="comments"><p>Nice post, thanks for all of these many words.</p></div></article><footer>&copy; x</footer>'
     assert html_main.main_text(page) == "A & B\n\nFirst para graph. More\n\nok"

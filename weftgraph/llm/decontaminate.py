@@ -4,14 +4,16 @@ Words (ASCII letters and digits and everything beyond ASCII, ASCII lower-cased)
 numbers become ``<number>``, a unit after a number ``<unit>``, a capitalised word inside a sentence
 ``<name>``; a run of names is one placeholder. Windows of ``width`` template words of the benchmark
 items are joined by hash with those of every document. Windows that share an item and a diagonal form
-an alignment; its words are compared exactly, and its slots must be consistent: one value of the item
-always meets the same value of the document and the other way round. Re-parameterised items are thus
-found, chance agreements of placeholders are not.
-
-An item counts as found where an alignment covers ``min(least, item's words)`` words in a row. Items of
-fewer than ``width`` words are matched whole; windows with fewer than ``min(4, width)`` literal words
-are not used unless they are a whole item. Null or empty texts and items match nothing, a null item id
-is an id like others. Texts are taken whole, memory is bounded by one text and one benchmark block:
+an alignment; the words of its whole diagonal are compared exactly, and its slots must be consistent:
+one value of the item always meets the same value of the document and the other way round.
+Re-parameterised items are thus found, chance agreements of placeholders are not. An item that begins
+with a capitalised word is also looked for as a text inside a sentence, and all items are looked for word
+for word, so copies are found whatever stands around them.
+
+An item counts as found where an alignment covers ``min(least, item's words)`` template words in a row.
+Items of fewer than ``width`` words are matched whole; windows with fewer than ``min(4, width)`` literal
+words find copies word for word only, unless they are a whole item. Null or empty texts and items match
+nothing, a null item id is an id like others. Texts are taken whole, memory is bounded by one text and one benchmark block:
 the benchmark goes to the executors in blocks of at most ``block_words`` words, each a pass over the
 documents, so its size has no bound.
 """
@@ -41,89 +43,118 @@ _STOP = np.zeros(256, dtype=bool)
 _STOP[[0x0A, 0x0D, 0x21, 0x2E, 0x3A, 0x3F]] = True
 
 
-class Template:
-    """The template words of a text: hashes, kinds (0 literal), and the spans of their bytes."""
+class Words:
+    """Words of a text: hashes, kinds (0 literal), spans of their bytes, and the hash of each that is one word as it stands (else 0)."""
 
-    def __init__(self, text: bytes):
+    def __init__(self, text: bytes, hashes: np.ndarray, kind: np.ndarray, starts: np.ndarray, ends: np.ndarray, own: np.ndarray):
+        self.text, self.hash, self.kind, self.starts, self.ends, self.own = text, hashes, kind, starts, ends, own
+
+    def __len__(self) -> int:
+        return len(self.hash)
+
+    def value(self, k: int) -> bytes:
+        """The word or slot value at a place, lower-cased, with white space made even."""
+        return b" ".join(self.text[self.starts[k] : self.ends[k]].lower().split())
+
+    def window_hashes(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the windows that are used."""
+        n = len(self)
+        if n < width:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        h = windows(self.hash, width)
+        literal = np.concatenate(([0], np.cumsum(self.kind == 0)))
+        used = np.flatnonzero(literal[width:] - literal[:-width] >= min(4, width))
+        return used, h[used]
+
+
+class Template(Words):
+    """The template words of a text, and in ``raw`` its words as they stand. ``inside``: the text is taken to begin inside a sentence."""
+
+    def __init__(self, text: bytes, inside: bool = False):
         buf = np.frombuffer(text, dtype=np.uint8)
         apart = WORDS[buf]
         digit = _DIGIT[buf]
         if len(buf) > 2:  # a point or comma between digits belongs to the number
             apart[1:-1] &= ~(np.isin(buf[1:-1], (0x2C, 0x2E)) & digit[:-2] & digit[2:])
         starts, ends, h = hash_spans(buf, ~apart)
+        self.raw = Words(text, h, np.zeros(len(h), np.int8), starts, ends, h)
         if not len(starts):
-            self.hash, self.kind, self.starts, self.ends, self.text = h, np.empty(0, np.int8), starts, ends, text
+            super().__init__(text, h, np.empty(0, np.int8), starts, ends, h)
             return
         other = np.concatenate(([0], np.cumsum(~digit & ~apart & (buf != 0x2C) & (buf != 0x2E))))
         stops = np.concatenate(([0], np.cumsum(_STOP[buf])))
         number = digit[starts] & (other[ends] == other[starts])
-        after = np.concatenate(([True], stops[starts[1:]] > stops[ends[:-1]]))
+        after = np.concatenate(([not inside], stops[starts[1:]] > stops[ends[:-1]]))
         name = _UPPER[buf[starts]] & ~after
         unit = np.concatenate(([False], number[:-1])) & np.isin(h, UNIT_HASHES)
         kind = np.select((number, unit, name), (1, 2, 3), 0).astype(np.int8)
         first = ~((kind == 3) & np.concatenate(([False], (kind[:-1] == 3) & ~after[1:])))
         last = np.concatenate((np.flatnonzero(first)[1:] - 1, [len(first) - 1]))
-        self.kind, self.starts, self.ends, self.text = kind[first], starts[first], ends[last], text
-        self.hash = np.select((self.kind == 1, self.kind == 2, self.kind == 3), (NUMBER, UNIT, NAME), h[first])
+        own = np.where(last == np.flatnonzero(first), h[first], np.uint64(0))
+        kind = kind[first]
+        super().__init__(text, np.select((kind == 1, kind == 2, kind == 3), (NUMBER, UNIT, NAME), h[first]), kind, starts[first], ends[last], own)
 
-    def __len__(self) -> int:
-        return len(self.hash)
 
-    def value(self, k: int) -> bytes:
-        """The word or slot value at a place, lower-cased, with white space made even."""
-        return b" ".join(self.text[self.starts[k] : self.ends[k]].lower().split())
+UNIT_HASHES = np.unique(np.concatenate([hash_spans(np.frombuffer(u.encode(), np.uint8), np.ones(len(u), bool))[2] for u in UNITS]))
 
-    def window_hashes(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of the windows that are used."""
-        n = len(self)
-        if n < width:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        h = windows(self.hash, width)
-        literal = np.concatenate(([0], np.cumsum(self.kind == 0)))
-        used = np.flatnonzero(literal[width:] - literal[:-width] >= min(4, width))
-        return used, h[used]
 
+def consistent_runs(doc: Words, item: Words, shift: int, least: int) -> Iterator[tuple[int, int, bool]]:
+    """Longest runs of at least ``least`` item places, on the whole diagonal, that agree with the document: from, to (exclusive), and whether all values are equal.
 
-UNIT_HASHES = np.unique(np.concatenate([hash_spans(np.frombuffer(u.encode(), np.uint8), np.ones(len(u), bool))[2] for u in UNITS]))
+    A word also agrees with itself where only one side takes it as a slot, as at the beginning of a sentence.
+    """
+    at, upto = max(0, -shift), min(len(item), len(doc) - shift)
+    if upto - at < least:
+        return
+    there, here = slice(at + shift, upto + shift), slice(at, upto)
+    agrees = (doc.hash[there] == item.hash[here]) | ((doc.own[there] == item.own[here]) & (item.own[here] != 0))
+    edge = np.diff(np.concatenate(([0], agrees.view(np.int8), [0])))
+    for a, z in zip(np.flatnonzero(edge == 1) + at, np.flatnonzero(edge == -1) + at, strict=True):
+        if z - a >= least:
+            yield from _consistent(doc, item, shift, int(a), int(z), least)
 
 
-def consistent_run(doc: Template, item: Template, at: int, upto: int, shift: int) -> tuple[int, bool]:
-    """Longest run of item places in ``at..upto`` (exclusive) that agrees with the document, and whether all its values are equal."""
-    best, exact = 0, False
+def _consistent(doc: Words, item: Words, shift: int, at: int, upto: int, least: int) -> Iterator[tuple[int, int, bool]]:
     start = at
-    there: dict[tuple[int, bytes], bytes] = {}
-    back: dict[tuple[int, bytes], bytes] = {}
-    same = True
+    differs = -1
+    there: dict[tuple[int, bytes], tuple[bytes, int]] = {}
+    back: dict[tuple[int, bytes], tuple[bytes, int]] = {}
     for k in range(at, upto + 1):
-        fits = k < upto and doc.hash[k + shift] == item.hash[k]
-        if fits:
-            kind, a, b = int(item.kind[k]), item.value(k), doc.value(k + shift)
-            fits = a == b if kind == 0 else there.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a
-            same = same and a == b
-        if not fits:
-            if k - start > best:
-                best, exact = k - start, same
-            start = k + 1
-            there.clear()
-            back.clear()
-            same = True
-            if k < upto and item.kind[k] and doc.hash[k + shift] == item.hash[k]:  # the clash begins a run of its own
-                start = k
-                there[int(item.kind[k]), item.value(k)] = doc.value(k + shift)
-                back[int(item.kind[k]), doc.value(k + shift)] = item.value(k)
-                same = item.value(k) == doc.value(k + shift)
-    return best, exact
+        begin = start
+        if k < upto:
+            kind, a, b = max(int(item.kind[k]), int(doc.kind[k + shift])), item.value(k), doc.value(k + shift)
+            if kind == 0:
+                begin = start if a == b else k + 1
+            else:  # after a clash the run goes on from behind the place it clashes with
+                for seen, x, y in ((there, a, b), (back, b, a)):
+                    was = seen.get((kind, x))
+                    if was and was[0] != y:
+                        begin = max(begin, was[1] + 1)
+        if (k == upto or begin > start) and k - start >= least:
+            yield start, k, differs < start
+        if k < upto:
+            start = begin
+            if kind:
+                there[kind, a], back[kind, b] = (b, k), (a, k)
+                differs = k if a != b else differs
 
 
 class Block:
-    """Some benchmark items with the sorted hashes of their windows."""
+    """Some benchmark items with the sorted hashes of their windows: of their template words, also as inside a sentence, and of their words as they stand."""
 
     def __init__(self, items: list[tuple[int, bytes]], width: int):
         items = list(dict.fromkeys(items))  # rows that repeat an item are one
         self.ids = [i for i, _ in items]
         self.items = [Template(t) for _, t in items]
-        found: dict[int, list[tuple[int, int, int]]] = {}
+        self.forms: list[tuple[int, Words, bool]] = []
         for k, t in enumerate(self.items):
+            inside = Template(t.text, inside=True)
+            self.forms.append((k, t, False))
+            if not np.array_equal(inside.kind, t.kind):
+                self.forms.append((k, inside, False))
+            self.forms.append((k, t.raw, True))
+        found: dict[tuple[bool, int], list[tuple[int, int, int]]] = {}
+        for k, (_, t, raw) in enumerate(self.forms):
             own = min(width, len(t))
             if not own:
                 continue
@@ -132,29 +163,34 @@ class Block:
                 own = len(t)
                 places, hashes = np.array([0]), windows(t.hash, own)
             for p, h in zip(places.tolist(), hashes.tolist(), strict=True):
-                found.setdefault(own, []).append((h, k, p))
+                found.setdefault((raw, own), []).append((h, k, p))
         self.tables = {own: (np.array([r[0] for r in sorted(rows)], np.uint64), sorted(rows)) for own, rows in found.items()}
 
     def find(self, doc: Template, least: int) -> list[tuple[int, int, int, bool]]:
         """Items found in a document: place in the block, longest run, words of the item, whether it is word for word."""
-        spans: dict[tuple[int, int], list[int]] = {}
-        for own, (hashes, rows) in self.tables.items():
-            if len(doc) < own:
+        diagonals: dict[tuple[int, int], None] = {}
+        for (raw, own), (hashes, rows) in self.tables.items():
+            words = doc.raw if raw else doc
+            if len(words) < own:
                 continue
-            h = windows(doc.hash, own)
+            h = windows(words.hash, own)
             left = np.searchsorted(hashes, h)
             hit = np.flatnonzero(hashes[np.minimum(left, len(hashes) - 1)] == h)
             for p in hit.tolist():
                 k = int(left[p])
                 while k < len(hashes) and hashes[k] == h[p]:
-                    _, item, q = rows[k]
-                    spans.setdefault((item, p - q), []).extend((q, q + own))
+                    _, form, q = rows[k]
+                    diagonals[form, p - q] = None
                     k += 1
         best: dict[int, tuple[int, bool]] = {}
-        for (k, shift), ends in spans.items():
-            run = consistent_run(doc, self.items[k], min(ends), max(ends), shift)
-            if run[0] >= min(least, len(self.items[k])):
-                best[k] = max(best.get(k, (0, False)), run)
+        for f, shift in diagonals:
+            k, form, raw = self.forms[f]
+            item = self.items[k]
+            need = min(least, len(item))
+            for a, z, same in consistent_runs(doc.raw if raw else doc, form, shift, max(1, need - max(0, len(item) - len(form)))):
+                n = int(np.searchsorted(item.ends, form.ends[z - 1], "right") - np.searchsorted(item.starts, form.starts[a]))
+                if n >= need:  # whole template words of the item
+                    best[k] = max(best.get(k, (0, False)), (n, same))
         return [(k, run, len(self.items[k]), exact) for k, (run, exact) in sorted(best.items())]
 
 
