@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.text import sparse_tokens
 from weftgraph.operators.chunking import header_chunks, lines_of
+from weftgraph.operators.graph import merge_edges
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,24 @@ def ordered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(key("c:", "o_custkey").alias("src"), F.lit("ORDERED").alias("edge_type"), key("p:", "l_partkey").alias("dst"), F.col("n_name").alias("community_id"), F.col("o_orderkey").alias("chunk_id"), F.col("l_linenumber").alias("line"))
 
 
+def supplies_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row an order line: the supplier supplies the part, in the supplier's nation."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    return rows.select(key("s:", "l_suppkey").alias("src"), F.lit("SUPPLIES").alias("edge_type"), key("p:", "l_partkey").alias("dst"), F.col("n_name").alias("community_id"), F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").alias("line"))
+
+
+def kg_edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all four edge types; places are at line 0."""
+    geo = geo_edges(spark, sf_dir).withColumn("line", F.lit(0))
+    return ordered_rows(spark, sf_dir).unionByName(supplies_rows(spark, sf_dir)).unionByName(geo)
+
+
+def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_edges(kg_edge_rows(spark, sf_dir), ["chunk_id", "line"])
+
+
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_of(table(spark, sf_dir, "documents"))
 

@@ -152,6 +152,44 @@ def h07(spark, d):
     return graph.self_links(views.geo_edges(spark, d))
 
 
+#: All edge types, merged; added to ``WITH`` by the queries that need them.
+KG = """
+, supplies AS (
+  SELECT 's:' || l_suppkey AS src, 'SUPPLIES' AS edge_type, 'p:' || l_partkey AS dst, n_name AS community_id, l_orderkey AS chunk_id, l_linenumber AS line
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+kg_rows AS (SELECT * FROM ordered UNION ALL SELECT * FROM supplies UNION ALL SELECT *, 0 FROM geo),
+kg AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY src, edge_type, dst ORDER BY chunk_id, line) AS rn FROM kg_rows) WHERE rn = 1)
+"""
+
+
+@query("g04_merge_all_edges", KG + "SELECT src, edge_type, dst, community_id, chunk_id, line FROM kg")
+def g04_all(spark, d):
+    return views.kg_edges(spark, d)
+
+
+@query("n06_community_scan_all", KG + "SELECT src, edge_type, dst, community_id, chunk_id FROM kg WHERE community_id IN ('NATION_0', 'NATION_2')")
+def n06_all(spark, d):
+    return graph.match(views.kg_edges(spark, d), communities=["NATION_0", "NATION_2"]).drop("line")
+
+
+@query("n08_top_degree_all", KG + """
+, ends AS (SELECT src AS id FROM kg UNION ALL SELECT dst FROM kg WHERE src <> dst), deg AS (SELECT id, count(*) AS n FROM ends GROUP BY id)
+SELECT canonical_id, name, coalesce(n, 0)::BIGINT AS degree FROM nodes LEFT JOIN deg ON id = canonical_id ORDER BY degree DESC, canonical_id LIMIT 20
+""")
+def n08_all(spark, d):
+    return graph.top_degree(views.kg_nodes(spark, d), views.kg_edges(spark, d))
+
+
+@query("n09_communities_all", KG + "SELECT DISTINCT community_id FROM kg_rows WHERE community_id IS NOT NULL")
+def n09_all(spark, d):
+    return views.kg_edge_rows(spark, d).select("community_id").where("community_id IS NOT NULL").distinct()
+
+
+@query("h07_self_links_triples", "SELECT subject AS canonical_id, count(*) AS n, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM raw) AS percent FROM raw WHERE subject = object GROUP BY subject")
+def h07_triples(spark, d):
+    return graph.self_links(views.raw_triples(spark, d).select(F.col("subject").alias("src"), F.col("object").alias("dst")))
+
+
 @query("d02_lines", "SELECT doc_id, line_no, text FROM lines")
 def d02(spark, d):
     return views.doc_lines(spark, d)
