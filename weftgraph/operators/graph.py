@@ -68,9 +68,11 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int = 3, communiti
     return out
 
 
-def match(edges: DataFrame, subjects: list[str] | None = None, types: list[str] | None = None, objects: list[str] | None = None, communities: list[str] | None = None) -> DataFrame:
-    """Directed edges for which all given conditions hold."""
+def match(edges: DataFrame, subjects: list[str] | DataFrame | None = None, types: list[str] | None = None, objects: list[str] | None = None, communities: list[str] | None = None) -> DataFrame:
+    """Directed edges for which all given conditions hold; ``subjects`` may be a table of ``id``."""
     out = in_communities(edges, communities)
+    if isinstance(subjects, DataFrame):
+        out, subjects = out.join(subjects.select(F.col("id").alias("src")).distinct(), "src", "left_semi"), None
     for c, values in (("src", subjects), ("edge_type", types), ("dst", objects)):
         out = out if values is None else out.where(F.col(c).isin(values))
     return out

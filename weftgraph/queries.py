@@ -190,6 +190,55 @@ def h07_triples(spark, d):
     return graph.self_links(views.raw_triples(spark, d).select(F.col("subject").alias("src"), F.col("object").alias("dst")))
 
 
+def hundreds(nodes: DataFrame) -> DataFrame:
+    """Nodes whose key is divisible by 100."""
+    return nodes.where(F.split("canonical_id", ":")[1].cast("long") % 100 == 0).select(F.col("canonical_id").alias("id"))
+
+
+#: The same nodes, the merged edges from both ends, and the steps between places.
+HUNDREDS = KG + """
+, hundreds AS (SELECT canonical_id AS id FROM nodes WHERE split_part(canonical_id, ':', 2)::BIGINT % 100 = 0),
+kg2 AS (SELECT src AS a, dst AS b, edge_type, community_id, chunk_id FROM kg UNION ALL SELECT dst, src, edge_type, community_id, chunk_id FROM kg WHERE src <> dst),
+steps AS (SELECT DISTINCT a, b FROM geo2)
+"""
+
+
+@query("n03_neighbourhood_hundreds", HUNDREDS + "SELECT a AS start, edge_type, b AS connected, community_id, chunk_id FROM kg2 WHERE a IN (FROM hundreds)")
+def n03_hundreds(spark, d):
+    return graph.neighbourhood(views.kg_edges(spark, d), hundreds(views.kg_nodes(spark, d)))
+
+
+@query("n03_neighbourhood_community_hundreds", HUNDREDS + "SELECT a AS start, edge_type, b AS connected, community_id, chunk_id FROM kg2 WHERE a IN (FROM hundreds) AND edge_type IN ('LOCATED_IN', 'SUPPLIES') AND community_id IN ('NATION_0', 'NATION_1')")
+def n03c_hundreds(spark, d):
+    return graph.neighbourhood(views.kg_edges(spark, d), hundreds(views.kg_nodes(spark, d)), ["LOCATED_IN", "SUPPLIES"], ["NATION_0", "NATION_1"])
+
+
+@query("n04_trails_hundreds", HUNDREDS + """
+, one AS (SELECT src || '|' || edge_type || '|' || dst AS e, src AS a, dst AS b FROM geo UNION ALL SELECT src || '|' || edge_type || '|' || dst, dst, src FROM geo WHERE src <> dst),
+p1 AS (SELECT a AS start, b AS e_, e, [a, b] AS ns FROM one WHERE a IN (FROM hundreds)),
+p2 AS (SELECT start, b AS e_, list_append(ns, b) AS ns FROM p1 JOIN one ON a = e_ WHERE p1.e <> one.e)
+SELECT start, e_ AS "end", 1 AS length, array_to_string(ns, '>') AS nodes FROM p1 UNION ALL SELECT start, e_, 2, array_to_string(ns, '>') FROM p2
+""")
+def n04_hundreds(spark, d):
+    out = graph.trails(views.geo_edges(spark, d), hundreds(views.kg_nodes(spark, d)), 2)
+    return out.select("start", "end", "length", F.array_join("nodes", ">").alias("nodes"))
+
+
+@query("n05_shortest_paths_hundreds", HUNDREDS + """
+, p1 AS (SELECT a AS s, b AS e FROM steps WHERE a IN (FROM hundreds)), p2 AS (SELECT DISTINCT s, b AS e FROM p1 JOIN steps ON a = e),
+p3 AS (SELECT DISTINCT s, b AS e FROM p2 JOIN steps ON a = e), p4 AS (SELECT DISTINCT s, b AS e FROM p3 JOIN steps ON a = e),
+walks AS (SELECT *, 1 AS n FROM p1 UNION ALL SELECT *, 2 FROM p2 UNION ALL SELECT *, 3 FROM p3 UNION ALL SELECT *, 4 FROM p4)
+SELECT s AS start, e AS "end", min(n)::INTEGER AS length FROM walks WHERE e IN (FROM hundreds) AND s <> e GROUP BY s, e
+""")
+def n05_hundreds(spark, d):
+    return graph.shortest_paths(views.geo_edges(spark, d), hundreds(views.kg_nodes(spark, d)), 4).select("start", "end", "length")
+
+
+@query("n07_pattern_hundreds", HUNDREDS + "SELECT src, edge_type, dst, community_id, chunk_id FROM kg WHERE src IN (FROM hundreds) AND edge_type IN ('ORDERED', 'SUPPLIES')")
+def n07_hundreds(spark, d):
+    return graph.match(views.kg_edges(spark, d), hundreds(views.kg_nodes(spark, d)), ["ORDERED", "SUPPLIES"]).drop("line")
+
+
 @query("d02_lines", "SELECT doc_id, line_no, text FROM lines")
 def d02(spark, d):
     return views.doc_lines(spark, d)
