@@ -277,6 +277,17 @@ def d08(spark, d):
     return chunking.range_chunks(docs, docs.select("doc_id", F.lit(1).alias("chunk_id"), F.lit(1).alias("start"), F.lit(3).alias("end")))
 
 
+@query("d08_range_chunks_whole", """
+, five AS (SELECT doc_id, l, unnest(generate_series(1, len(l), 5)) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+cut AS (SELECT doc_id, s, least(s + 4, len(l)) AS e, regexp_replace(array_to_string(list_slice(l, s, s + 4), chr(10)), '^\\s+|\\s+$', '', 'g') AS content FROM five)
+SELECT doc_id, ((s - 1) // 5 + 1)::INTEGER AS chunk_id, content, s::INTEGER AS start_line, e::INTEGER AS end_line FROM cut WHERE content <> ''
+""")
+def d08_whole(spark, d):
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    every = chunking.sections(docs, 5, 0).select("doc_id", ((F.col("start") - 1) / 5 + 1).cast("int").alias("chunk_id"), "start", "end")
+    return chunking.range_chunks(docs, every)
+
+
 @query("s19_surrounding_chunks", "SELECT a.doc_id, a.chunk_id AS anchor, c.chunk_id, c.content FROM chunks a JOIN chunks c ON a.doc_id = c.doc_id AND c.chunk_id BETWEEN a.chunk_id - 2 AND a.chunk_id + 2")
 def s19(spark, d):
     c = views.doc_chunks(spark, d)
@@ -307,6 +318,22 @@ def j05(spark, d):
     return out.select("doc_id", "r.id", "r.start", "r.end")
 
 
+@query("j05_chunk_ranges_whole", """
+, n AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents),
+s AS (SELECT doc_id, n, 1 AS s, 1 AS e FROM n WHERE n > 1 UNION ALL SELECT doc_id, n, s, least(s + 3, n) FROM (SELECT doc_id, n, unnest(generate_series(2, n - 1, 7)) AS s FROM n) UNION ALL SELECT doc_id, n, n, n FROM n)
+SELECT doc_id, row_number() OVER w AS id, s::BIGINT AS start, greatest(e, coalesce(lead(s) OVER w - 1, e))::BIGINT AS "end" FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY s)
+""")
+def j05_whole(spark, d):
+    """An answer for each document's own number of lines: without the first line, with gaps, past the end, and not valid."""
+    one = lambda a, z: F.struct(F.lit(1).cast("long").alias("id"), a.cast("long").alias("start"), z.cast("long").alias("end"))
+    n = F.col("n")
+    last = F.array(one(n, n + 40), one(n + 1, n + 9), one(F.lit(5), F.lit(4)))
+    given = F.when(n > 2, F.concat(last, F.transform(F.sequence(F.lit(2), F.greatest(n - 1, F.lit(2)), F.lit(7)), lambda s: one(s, s + 3)))).otherwise(last)
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(F.split("text", "\n")).alias("n"))
+    out = docs.select("doc_id", F.explode(model_output.chunk_ranges(given, n.cast("long"))).alias("r"))
+    return out.select("doc_id", F.col("r.id").cast("long").alias("id"), "r.start", "r.end")
+
+
 @query("t03_evidence_quotes", "SELECT doc_id, regexp_replace(array_to_string(list_slice(string_split(text, chr(10)), least(2, len(string_split(text, chr(10)))), greatest(least(4, len(string_split(text, chr(10)))), least(2, len(string_split(text, chr(10)))))), chr(10)), '^\\s+|\\s+$', '', 'g') AS quote FROM documents")
 def t03(spark, d):
     return table(spark, d, "documents").select("doc_id", triples.evidence_quote(F.col("text"), F.lit(2), F.lit(2)).alias("quote"))
