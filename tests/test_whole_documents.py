@@ -1,5 +1,6 @@
 """The document queries leave no line out."""
 
+from weftgraph.operators import chunking, diagnostics
 from weftgraph.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +24,25 @@ def test_chunk_ranges_reach_the_last_line(spark):
     for r in QUERIES["j05_chunk_ranges_whole"](spark, SF).collect():
         covered.setdefault(r.doc_id, set()).update(range(r.start, r.end + 1))
     assert covered == {k: set(range(1, m + 1)) for k, m in n.items()}
+
+
+def test_long_lines_are_wrapped(spark):
+    words = " ".join(f"word{k}-x" for k in range(60))
+    texts = {1: f"short\n  {words}\n" + " " * 200 + "\n" + "y" * 150 + "\nend", 2: None, 3: "", 4: "z" * 120}
+    got = {}
+    for r in chunking.wrapped_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).orderBy("doc_id", "line_no").collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert got[3] == [""] and got[4] == ["z" * 120] and 2 not in got
+    long = got[1][1:-2]
+    assert got[1][0] == "short" and got[1][-2:] == ["y" * 150, "end"] and " ".join(x.strip() for x in long) == words
+    assert len(long) > 3 and all(x.startswith("  word") and len(x) <= 120 for x in long)
+    assert all(len(a) + 1 + len(b.split()[0]) > 120 for a, b in zip(long, long[1:]))
+    assert QUERIES["d02_wrapped_lines"](spark, SF).count() > QUERIES["d02_lines"](spark, SF).count()
+
+
+def test_triples_extremes(spark):
+    df = spark.createDataFrame([(1, 0, 2), (1, 1, 0), (2, 0, 5), (2, 1, 0)], "doc_id long, chunk_id int, n_triples long")
+    got = sorted(tuple(r) for r in diagnostics.triples_extremes(df).collect())
+    assert got == [("greatest", 2, 0, 5, 1.75), ("least", 1, 1, 0, 1.75), ("least", 2, 1, 0, 1.75)]
+    same = diagnostics.triples_extremes(df.where("n_triples = 2")).collect()
+    assert sorted(r.extreme for r in same) == ["greatest", "least"]

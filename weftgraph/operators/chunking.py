@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import textwrap
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,24 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "text"))
 
 
+def _wrapped(text: str | None, width: int) -> list[str] | None:
+    if text is None:
+        return None
+    out: list[str] = []
+    for line in text.split("\n"):
+        if len(line) <= width:
+            out.append(line)
+        else:  # continued at the line's own indent; a long line of white space goes
+            out.extend(textwrap.wrap(line, width, subsequent_indent=" " * (len(line) - len(line.lstrip())), break_long_words=False, break_on_hyphens=False))
+    return out
+
+
+def wrapped_lines(docs: DataFrame, width: int = 120, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``lines_of``, with lines of more than ``width`` characters wrapped at white space."""
+    wrap = F.udf(lambda t: _wrapped(t, width), "array<string>", useArrow=True)
+    return docs.select(id_col, F.posexplode(wrap(text_col)).alias("line_no", "text"))
+
+
 def header_chunks(lines: DataFrame, is_header: Column, id_col: str = "doc_id") -> DataFrame:
     """A chunk begins at each header: ``id_col, chunk_id, content, start_line, end_line`` (lines from 1).
 

@@ -32,6 +32,13 @@ def triples_histogram(coverage: DataFrame) -> DataFrame:
     return coverage.groupBy("n_triples").agg(F.count("*").alias("n_chunks")).join(F.broadcast(total)).select("n_triples", "n_chunks", (F.col("n_chunks") * 100.0 / F.col("total")).alias("percent"))
 
 
+def triples_extremes(coverage: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_id")) -> DataFrame:
+    """The chunks with the least and with the greatest number of triples (``extreme``), and the average over all chunks."""
+    ends = coverage.agg(F.avg("n_triples").alias("avg_triples"), F.min("n_triples").alias("_least"), F.max("n_triples").alias("_greatest"))
+    kinds = F.array_compact(F.array(F.when(F.col("n_triples") == F.col("_least"), "least"), F.when(F.col("n_triples") == F.col("_greatest"), "greatest")))
+    return coverage.join(F.broadcast(ends)).select(F.explode(kinds).alias("extreme"), *keys, "n_triples", "avg_triples")
+
+
 def word_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """Distinct words (column ``word``) of both sides, and the share of the first side's in per cent."""
     x, y = a.select("word").distinct(), b.select("word").distinct().withColumn("hit", F.lit(1))

@@ -244,6 +244,11 @@ def d02(spark, d):
     return views.doc_lines(spark, d)
 
 
+@query("d02_wrapped_lines")
+def d02_wrapped(spark, d):
+    return chunking.wrapped_lines(table(spark, d, "documents"))
+
+
 @query("d01_body", "SELECT doc_id, text AS body FROM documents")
 def d01(spark, d):
     flagged = F.concat(F.lit("head\n<start>"), F.col("text"), F.lit("</end>\ntail"))
@@ -570,6 +575,15 @@ def h04(spark, d):
     return diagnostics.triples_histogram(_coverage(spark, d)).withColumn("percent", F.round("percent", 6))
 
 
+@query("h03_triples_extremes", """
+, a AS (SELECT avg(n_triples) AS avg_triples, min(n_triples) AS lo, max(n_triples) AS hi FROM coverage)
+SELECT 'least' AS extreme, doc_id, chunk_id, n_triples, round(avg_triples, 6) AS avg_triples FROM coverage, a WHERE n_triples = lo
+UNION ALL SELECT 'greatest', doc_id, chunk_id, n_triples, round(avg_triples, 6) FROM coverage, a WHERE n_triples = hi
+""")
+def h03(spark, d):
+    return diagnostics.triples_extremes(_coverage(spark, d)).withColumn("avg_triples", F.round("avg_triples", 6))
+
+
 @query("h05_word_overlap", """
 , a AS (SELECT DISTINCT unnest(t) AS w FROM toks), b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+')) AS w FROM benchmark)
 SELECT count(*) AS n_words, count(b.w) AS n_shared, round(count(b.w) * 100.0::DOUBLE / count(*), 6) AS percent FROM a LEFT JOIN b ON a.w = b.w
