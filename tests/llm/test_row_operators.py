@@ -127,6 +127,19 @@ def test_html():
     assert html_main.main_text(None) == html_main.main_text("") == html_main.main_text("<nav>x</nav>") == ""
 
 
+def test_html_wrappers_and_fallbacks():
+    text = "The first of many words that this article has about rivers and how they came to run where they run."
+    own = f"<article><h1>Rivers</h1><p>{text}</p></article>"
+    for wrapper in ('div class="content no-sidebar"', 'div class="share-enabled"', 'div class="content sidebar"', 'section id="cookie-page"', "form", 'div class="layout has-menu"', 'div class="search popup"'):
+        page = f"<body><nav>x</nav><{wrapper}>{own}<footer>y</footer></{wrapper.split()[0]}></body>"
+        assert html_main.main_text(page) == f"Rivers\n\n{text}", wrapper
+    for other in ('div class="comments"', 'div class="related content-related"', "aside", "nav", 'div class="sidebar"', 'div style="display:none"', 'div class="ad"', 'div class="comment-content"'):
+        page = f"<body>{own}<{other}><article><p>{text} Not this.</p></article></{other.split()[0]}></body>"
+        assert html_main.main_text(page) == f"Rivers\n\n{text}", other
+    page = f"<article><p>{text} Here <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> holds.</p><p>{text}<noscript> Plain.</noscript><canvas id=c> Drawn.</canvas><object data=o> Shown.</object></p></article>"
+    assert html_main.main_text(page) == f"{text} Here x=2 holds.\n\n{text} Plain. Drawn. Shown."
+
+
 def test_min_cut_is_least():
     import itertools
     import random

@@ -29,7 +29,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
-RAW = frozenset("script style noscript template textarea title xmp iframe noframes svg math object canvas".split())
+RAW = frozenset("script style template textarea title xmp iframe noframes svg annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 #: Start tags that end an open element of the kinds given, up to the nearest enclosing one.
@@ -38,6 +38,9 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 #: Log-odds of content by an enclosing element, and by words in its class, id, role or label.
 TAG_COST = {"article": 6.0, "main": 5.0, "nav": -14.0, "footer": -14.0, "aside": -14.0, "form": -14.0, "menu": -14.0, "dialog": -14.0, "button": -14.0, "select": -14.0, "search": -14.0, "fieldset": -14.0}
 BAD = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promoted promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer notice notices cookie cookies consent gdpr popup modal overlay subscribe subscription newsletter signup share sharing social related recommended recommendations comment comments commenter reply replies respond discussion disqus form login search widget widgets toolbar pagination pager copyright masthead complementary contentinfo alert dialog toc skip".split())
+#: Of these, what may hold articles that are not the page's own; and words that make a class a state of its element.
+ASIDE = BAD & frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promoted promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer related recommended recommendations comment comments commenter reply replies respond discussion disqus widget widgets complementary contentinfo".split())
+STATE = frozenset("no not has have with without is enabled disabled hide hidden show visible active open closed".split())
 GOOD = frozenset("article content post entry story main articlebody".split())
 BIAS, PER_WORD, LINKS = -1.0, 0.1, -8.0
 OWN_TAG = {"p": 1.5, "h1": 1.5, "h2": 1.0, "h3": 1.0, "h4": 1.0, "blockquote": 1.5, "pre": 1.5, "td": 0.5, "li": -0.5}
@@ -52,35 +55,47 @@ class Element:
     parent: int
     depth: int
     odds: float
+    closed: bool = False  # an article inside is not the page's own
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
 
 
-def _odds(tag: str, attributes: str, above: Element) -> float:
-    """Log-odds of what stands in an element: what is above counts, and the strongest sign against content stays."""
+def _odds(tag: str, attributes: str, above: Element) -> tuple[float, bool]:
+    """Log-odds of what stands in an element, and whether an article inside is none of the page's own.
+
+    What is above counts, and the strongest sign against content stays, but where only names speak against
+    content, or a form, an article or main inside raises the odds again.
+    """
     own = TAG_COST.get(tag, 0.0)
+    closed = own < 0 and tag not in ("form", "fieldset")
     inside = above.odds >= 4.0
     if tag == "header" and not inside:
-        own = -14.0
+        own, closed = -14.0, True
+    page = tag in ("article", "main")
     if attributes:
         a = _attributes(attributes)
         if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
-            return -20.0
-        names = {x.lower() for k in ("class", "id", "role", "aria-label") for x in _NAME.findall(a.get(k, ""))}
-        bad = names & BAD
+            return -20.0, True
+        page = page or a.get("role", "").strip().lower() in ("article", "main")
+        words = [{x.lower() for x in _NAME.findall(name)} for k in ("class", "id", "role", "aria-label") for name in (a.get(k, "").split() if k != "aria-label" else [a.get(k, "")])]
+        bad = {x for w in words if not w & STATE for x in w & BAD}
         if tag in ("article", "main", "body", "html"):
             bad &= {"comment", "comments", "reply", "related", "ad", "ads", "advertisement", "sponsored", "promo"}
-        if bad:
-            own = min(own, -14.0)
-        elif names & GOOD and own == 0.0:
+        if bad and tag in ("div", "section") and any(w & GOOD and not w & BAD for w in words):
+            own = min(own, -4.0)  # another of its names speaks for content
+        elif bad:
+            own, closed = min(own, -14.0), closed or bool(bad & ASIDE)
+        elif own == 0.0 and any(w & GOOD for w in words):
             own = 4.0
+    if page and own > 0 and not above.closed:
+        return max(above.odds, own), False
     if above.odds <= -8.0:
-        return above.odds + min(own, 0.0)
+        return above.odds + min(own, 0.0), above.closed or closed
     if own < 0:
-        return own
-    return max(above.odds, own)
+        return own, above.closed or closed
+    return max(above.odds, own), above.closed or closed
 
 
 @dataclass
@@ -164,7 +179,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
         if tag in VOID:
             continue
         above = elements[stack[-1]]
-        elements.append(Element(tag, stack[-1], above.depth + 1, _odds(tag, attributes, above)))
+        elements.append(Element(tag, stack[-1], above.depth + 1, *_odds(tag, attributes, above)))
         if not attributes.rstrip().endswith("/") or tag in BLOCK:
             stack.append(len(elements) - 1)
             links += tag == "a"
