@@ -101,6 +101,14 @@ def test_line_dedup(spark):
     assert not line_dedup.dedup_lines(df.where("false")).collect()
 
 
+def test_pipeline_keeps_blank_documents(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    texts = [long, long, f"{long}\n\nand more", "\n\n", " \n ", "", "  ", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", -1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, SF).collect()}
+    assert got == {0: long, 2: "\nand more", 3: "\n\n", 4: " \n ", 5: "", 6: "  ", 7: None}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = docs
