@@ -11,9 +11,10 @@ candidates if their prefixes share as many shingles as the lesser of their two l
 is held against bitmaps and then against the whole sets.
 
 Groups of near copies would be candidates pair by pair. While the estimate of such pairs is beyond
-a few times the number of postings, rounds compare each document with one leader of each of its
-posting lists only, and join what links; the last round compares the pairs whose members are not yet in
-one component, so no link between components is lost.
+the number of postings and still falls, rounds compare each document with one leader of each of its bands
+only (sets with equal least hashes in the same few parts of the hash range), and join what links. Then
+the documents choose their l again, now from what other components have in their lists, and all
+candidates between components are compared, so no link between components is lost.
 
 Shingles are 64-bit hashes and sets are known by a 64-bit digest in the posting lists. Null and empty
 texts have no shingles and link with nothing; a text with fewer than k words is one shingle. A null id
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.components import connected_components
@@ -40,8 +41,10 @@ from ._words import mix, shingles, word_hashes
 
 #: The sketch: rows, counters of a row, and counters of a segment.
 DEPTH, WIDTH, SEGMENT = 2, 1 << 17, 1 << 12
-#: Most matches asked for, cost of verifying a candidate in posting reads, most star rounds, pairs for each posting.
-MOST, VERIFY, ROUNDS, DENSE = 6, 20.0, 3, 1
+#: Most matches asked for, cost of verifying a candidate in posting reads, pairs for each posting that need no rounds.
+MOST, VERIFY, DENSE = 6, 20.0, 1
+#: Bands of a set, and parts of the hash range in each.
+BANDS, PARTS = 16, 4
 
 
 def _slots(tokens: np.ndarray) -> np.ndarray:
@@ -61,6 +64,17 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     return tokens[np.lexsort((tokens, counts))[: n - least + min(MOST, least)]]
 
 
+def bands(tokens: np.ndarray) -> np.ndarray:
+    """Keys of a set, one for each band: the least hashes in ``PARTS`` parts of the hash range (an empty part has the next one's)."""
+    parts = BANDS * PARTS
+    at = np.searchsorted(tokens, np.arange(parts, dtype=np.uint64) * np.uint64(2**64 // parts))
+    least = tokens[at % len(tokens)].reshape(BANDS, PARTS)
+    h = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for j in range(PARTS):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + least[:, j])
+    return h
+
+
 def bitmap(tokens: np.ndarray) -> bytes:
     """One bit for each slot that a token falls in, of two to four slots a token."""
     size = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
@@ -123,14 +137,14 @@ def _sketch(first: DataFrame) -> np.ndarray:
 
 
 def _postings(texts: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """Pass two: ``token, d, n, pos`` for the longest prefixes; a set that a task has seen is not repeated."""
+    """Pass two: ``token, d, n, pos`` for the longest prefixes, and with a ``pos`` of -1 for the bands; a set that a task has seen is not repeated."""
     sent = texts.sparkSession.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         seen: set[int] = set()
         for _, sets in _sets(batches, k, 1):
-            out: list[tuple[np.ndarray, int, int]] = []
+            out: list[tuple[np.ndarray, int, int, int]] = []
             for s in sets:
                 if not len(s) or (d := digest(s)[0]) in seen:
                     continue
@@ -139,11 +153,11 @@ def _postings(texts: DataFrame, sketch: np.ndarray, k: int, percent: int) -> Dat
                 seen.add(d)
                 slots = _slots(s)
                 counts = np.minimum.reduce([table[r][slots[r]] for r in range(DEPTH)])
-                out.append((prefix(s, counts, percent), d, len(s)))
+                out += (prefix(s, counts, percent), d, len(s), 0), (bands(s), d, len(s), -1)
             if out:
                 size = [len(o[0]) for o in out]
                 column = lambda j, t: pa.array(np.repeat(np.array([o[j] for o in out], t), size))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), column(1, np.int64), column(2, np.int32), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in size]))], ["token", "d", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), column(1, np.int64), column(2, np.int32), pa.array(np.concatenate([np.full(x, -1, np.int32) if o[3] else np.arange(x, dtype=np.int32) for o, x in zip(out, size, strict=True)]))], ["token", "d", "n", "pos"])
 
     return texts.mapInArrow(run, "token long, d long, n int, pos int")
 
@@ -171,19 +185,29 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([h], t) for h, t in zip(held, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names)
 
 
-def _chosen(postings: DataFrame, percent: int) -> DataFrame:
+def _crossing(postings: DataFrame) -> DataFrame:
+    """The postings whose list holds other components ``c``, with the number ``x`` of the postings of those."""
+    own = postings.groupBy("token", "c").agg(F.count("*").alias("own"))
+    whole = own.groupBy("token").agg(F.sum("own").alias("whole"), F.count("*").alias("cs")).where("cs > 1")
+    return postings.join(own.join(whole, "token").select("token", "c", (F.col("whole") - F.col("own")).alias("x")), ["token", "c"])
+
+
+def _need(percent: int) -> Column:
+    return F.ceil(F.col("n") * percent / F.lit(100.0)).cast("int")
+
+
+def _chosen(crossing: DataFrame, percent: int) -> DataFrame:
     """The postings of the prefixes that the documents choose, with the number of matches ``ell`` they ask for.
 
     With l matches a document reads the lists of its first ``base + l`` shingles, whose lengths are known,
     and has at most reads / l candidates to verify, each at the cost of ``VERIFY`` reads.
     """
-    length = postings.groupBy("token").agg(F.count("*").alias("x"))
-    need = F.ceil(F.col("n") * percent / F.lit(100.0)).cast("int")
-    reads = lambda l: F.sum(F.when(F.col("pos") < F.col("n") - need + l, F.col("x") - 1).otherwise(0))  # noqa: E741, E731
+    need = _need(percent)
+    reads = lambda l: F.sum(F.when(F.col("pos") < F.col("n") - need + l, F.col("x")).otherwise(0))  # noqa: E741, E731
     cost = F.array(*(F.when(F.lit(l) <= need, F.col(f"r{l}") * (1.0 + VERIFY / l) + l).otherwise(F.lit(float("inf"))) for l in range(1, MOST + 1)))  # noqa: E741
-    sums = postings.join(length, "token").groupBy("d", "n").agg(*(reads(l).alias(f"r{l}") for l in range(1, MOST + 1)))  # noqa: E741
+    sums = crossing.groupBy("d", "n").agg(*(reads(l).alias(f"r{l}") for l in range(1, MOST + 1)))  # noqa: E741
     ells = sums.select("d", F.array_position(cost, F.array_min(cost)).cast("int").alias("ell"))
-    return postings.join(ells, "d").where(F.col("pos") < F.col("n") - need + F.col("ell")).select("token", "d", "n", "pos", "ell")
+    return crossing.join(ells, "d").where(F.col("pos") < F.col("n") - need + F.col("ell")).select("token", "d", "n", "pos", "ell", "c")
 
 
 def _verified(pairs: DataFrame, df: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
@@ -242,30 +266,39 @@ def join_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = first.where("kind = 0").select("id", "n", "f1", "f2")
     postings = _postings(texts, _sketch(first), k, percent).repartition("token").sortWithinPartitions("token", "d")
     postings = materialize(postings.mapInArrow(_shared, "token long, d long, n int, pos int"), "postings")
-    postings = materialize(_chosen(postings, percent), "chosen")
-    total = postings.count()
+    lists, keys = postings.where("pos >= 0"), postings.where("pos < 0")
+    total = lists.count()
     similar = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     verified = lambda pairs: materialize(_verified(materialize(pairs, "pairs"), df, docs, id_col, text_col, k, percent), "links")
 
     links: DataFrame | None = None
-    labelled = postings.withColumn("c", F.col("d"))
-    for turn in range(ROUNDS):
-        lists = labelled.groupBy("token", "c").agg(F.count("*").alias("x")).groupBy("token").agg(F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx"))
-        open_pairs = lists.agg(F.coalesce(F.sum((F.col("x") * F.col("x") - F.col("xx")) / 2.0), F.lit(0.0)).alias("x")).first().x
-        if open_pairs <= DENSE * total:
+    labels: DataFrame | None = None
+    turn, before = 0, float("inf")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        if labels is None:
+            return rows.withColumn("c", F.col("d"))
+        return rows.join(labels.select(F.col("id").alias("d"), F.col("component").alias("_c")), "d", "left").withColumn("c", F.coalesce("_c", "d")).drop("_c")
+
+    while True:
+        crossing = materialize(_crossing(labelled(lists)), "crossing")
+        now = crossing.where(F.col("pos") <= F.col("n") - _need(percent)).agg(F.coalesce(F.sum("x") / 2.0, F.lit(0.0)).alias("x")).first().x
+        if now <= DENSE * total or now > 0.9 * before:
             break
-        leader = labelled.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "d"), F.col("d").alias("l"), F.col("c").alias("lc"), F.col("n").alias("m"))).alias("top"))
-        star = labelled.join(leader.select("token", "top.l", "top.lc", "top.m"), "token").where((F.col("c") != F.col("lc")) & similar)
-        pairs = star.groupBy(F.least("d", "l").alias("a"), F.greatest("d", "l").alias("b")).agg(F.count("*").alias("x"), F.min("n").alias("n")).where("x >= least(3, n)").select("a", "b")
-        new = verified(pairs)
+        before = now
+        rows = labelled(keys)
+        leader = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "d"), F.col("d").alias("l"), F.col("c").alias("lc"), F.col("n").alias("m"))).alias("top"))
+        star = rows.join(leader.select("token", "top.l", "top.lc", "top.m"), "token").where((F.col("c") != F.col("lc")) & similar)
+        new = verified(star.select(F.least("d", "l").alias("a"), F.greatest("d", "l").alias("b")).distinct())
         links = new if links is None else links.unionAll(new)
         labels = connected_components(links, "a", "b")
-        labelled = materialize(postings.join(labels.select(F.col("id").alias("d"), F.col("component").alias("lc")), "d", "left").select("token", "d", "n", "pos", "ell", F.coalesce("lc", "d").alias("c")), "labelled")
-    other = labelled.select("token", F.col("d").alias("e"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("ell").alias("ell2"), F.col("c").alias("c2"))
+        turn += 1
+    chosen = materialize(_chosen(crossing, percent), "chosen")
+    other = chosen.select("token", F.col("d").alias("e"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("ell").alias("ell2"), F.col("c").alias("c2"))
     # The first l shared shingles of two similar sets stand before n - t + l in both, t being what sets of these sizes must share.
     reach = F.least("ell", "ell2") - F.ceil(percent * (F.col("n") + F.col("m")) / F.lit(100.0 + percent))
     early = (F.col("pos") < F.col("n") + reach) & (F.col("pos2") < F.col("m") + reach)
-    pairs = labelled.join(other, "token").where((F.col("d") < F.col("e")) & (F.col("c") != F.col("c2")) & similar & early)
+    pairs = chosen.join(other, "token").where((F.col("d") < F.col("e")) & (F.col("c") != F.col("c2")) & similar & early)
     pairs = pairs.groupBy(F.col("d").alias("a"), F.col("e").alias("b")).agg(F.count("*").alias("x"), F.first(F.least("ell", "ell2")).alias("need")).where("x >= need").select("a", "b")
     new = verified(pairs)
     links = new if links is None else links.unionAll(new)
