@@ -31,8 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of 50 words go; so do documents of which nothing is left."""
     blank = F.trim(F.replace("text", F.lit("\n"), F.lit(" "))) == ""
-    kept = line_dedup.dedup_lines(docs.withColumn("_had", ~blank), counts=False)
-    kept = kept.where(~F.coalesce(F.col("_had") & blank, F.lit(False)))
+    kept = line_dedup.dedup_lines(docs.withColumn("_weft_had", ~blank), counts=False)
+    kept = kept.where(~F.coalesce(F.col("_weft_had") & blank, F.lit(False)))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

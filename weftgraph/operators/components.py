@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.plans.materialize import materialize
+from weftgraph.plans.materialize import discard, materialize
 
 
 #: Edges that one task may join by itself (16 bytes each, and a table of their nodes).
@@ -51,25 +51,30 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             if labels is None:
                 return materialize(last, "labels")
             last = last.withColumnsRenamed({"id": "component", "component": "further"})
-            return materialize(labels.join(last, "component", "left").select("id", F.coalesce("further", "component").alias("component")), "labels")
+            out = materialize(labels.join(last, "component", "left").select("id", F.coalesce("further", "component").alias("component")), "labels")
+            discard(labels, left)
+            return out
         both = left.select("a", "b").unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to"))
-        to = materialize(to, "pointers")
+        to = written = materialize(to, "pointers")
         while True:
             up = to.select(F.col("a").alias("to"), F.col("to").alias("up"))
             further = materialize(to.join(up, "to").select("a", F.col("up").alias("to"), (F.col("up") != F.col("to")).alias("moved")), "pointers")
-            to = further.select("a", "to")
+            discard(written)
+            to, written = further.select("a", "to"), further
             if further.where("moved").isEmpty():
                 break
         ends = to.select(F.col("a").alias("b"), F.col("to").alias("tb"))
+        edges = left
         left = left.join(to, "a").join(ends, "b").select(F.least("to", "tb").alias("a"), F.greatest("to", "tb").alias("b")).where("a <> b").distinct()
-        left = materialize(left, "edges")
+        left, spent = materialize(left, "edges"), labels
         if labels is None:
             labels = to.select(F.col("a").alias("id"), F.col("to").alias("component"))
         else:
             new = to.select(F.col("a").alias("component"), F.col("to").alias("further"))
             labels = labels.join(new, "component", "left").select("id", F.coalesce("further", "component").alias("component"))
         labels = materialize(labels, "labels")
+        discard(edges, written, spent)
     if labels is None:
         return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return labels
