@@ -7,7 +7,9 @@ prefix, the one that forms a valid pair with the last token of what stands befor
 shared prefixes are computed once, and the walk costs one step for each trie edge.
 
 Nulls count as empty texts (no ids, empty decoding). Rows keep their order and multiplicity; extra
-columns are not returned. Memory: one batch, and a cache of ``CACHE_WORDS`` words a worker.
+columns are not returned. Memory: one batch, the vocabulary, and a task's caches: words of about
+``CACHE_BYTES`` bytes in all (a word longer than ``LONG`` bytes is never kept), ``CACHE_STEPS`` steps of the automaton
+beyond the vocabulary's own and ``CACHE_PAIRS`` pairs. They end with the task.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frame import by_rows, cached
+from ._frame import over_texts
 
-CACHE_WORDS = 700_000
+CACHE_BYTES, LONG, CACHE_STEPS, CACHE_PAIRS = 48_000_000, 200, 150_000, 300_000
 
 #: Fixed value: the white space of the public byte-level splitting pattern (Unicode White_Space).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -74,6 +76,7 @@ class TrieBpe:
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(extra, key=len, reverse=True)) + ")") if extra else None
         self.valid: dict[tuple[int, int], bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.held = 0  # bytes of the words, about
 
     def _suffixes(self) -> None:
         """An automaton over bytes: ``ends[node]`` has the tokens that end at a place, as (size, id), longest first."""
@@ -105,8 +108,9 @@ class TrieBpe:
         key = node << 8 | b
         while (found := self.own.get(node << 8 | b)) is None and node:
             node = self.fail[node]
-        if len(self.step) > 3_000_000:
-            self.step = dict(self.own)
+        if len(self.step) > len(self.own) + CACHE_STEPS:
+            self.step.clear()  # the walk holds on to this dictionary
+            self.step.update(self.own)
         found = self.step[key] = found or 0
         return found
 
@@ -129,7 +133,7 @@ class TrieBpe:
         """
         found = self.valid.get((a, b))
         if found is None:
-            if len(self.valid) > 4_000_000:
+            if len(self.valid) > CACHE_PAIRS:
                 self.valid.clear()
             left, right = (self.spines.get(k) or self.spines.setdefault(k, self.spine(*k)) for k in ((a, 1), (b, 0)))
             found = self.valid[a, b] = not any((r := self.rank.get((x, y))) is not None and r < p and r <= q for x, p in left for y, q in right)
@@ -171,12 +175,19 @@ class TrieBpe:
         for text in texts:
             pieces = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
             parts.append([self.special[p] if k % 2 else self.split(p) for k, p in enumerate(pieces)])
-        if len(self.words) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.words.clear()
+            self.held = 0
         new = set().union(*(p for doc in parts for p in doc if not isinstance(p, int))) - self.words.keys()
         self.words.update(self.traverse(new))
         get = self.words.__getitem__
-        return [np.fromiter(chain.from_iterable((p,) if isinstance(p, int) else chain.from_iterable(map(get, p)) for p in doc), dtype=np.int32) for doc in parts]
+        out = [np.fromiter(chain.from_iterable((p,) if isinstance(p, int) else chain.from_iterable(map(get, p)) for p in doc), dtype=np.int32) for doc in parts]
+        self.held += sum(map(len, new)) * 2 + 250 * len(new)
+        for word in new:
+            if len(word) > LONG:
+                self.held -= 2 * len(word) + 250
+                del self.words[word]
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -188,55 +199,46 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.int32()))
 
 
-def _type_of(df: DataFrame, col: str) -> str:
-    return df.schema[col].dataType.simpleString()
-
-
 def _reader(df: DataFrame, path: str):
     """The vocabulary goes to the executors as a broadcast of the file, whose size it bounds."""
-    file = df.sparkSession.sparkContext.broadcast(open(path, "rb").read())
-    return lambda: cached(f"bpe:{path}", lambda: TrieBpe(file.value))
+    with open(path, "rb") as file:
+        sent = df.sparkSession.sparkContext.broadcast(file.read())
+    return lambda: TrieBpe(sent.value)
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, ids array<int>`` of every row; ``path`` names a vocabulary file on the driver."""
     read = _reader(df, path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task():
         model = read()
-        for b in by_rows(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(model.encode(b.column(1).to_pylist()))], ["id", "ids"])
+        return lambda texts: [_lists(model.encode(texts))]
 
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {_type_of(df, id_col)}, ids array<int>").withColumnRenamed("id", id_col)
+    return over_texts(df, text_col, [id_col], task, "ids array<int>")
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id_col, text`` of every row; bytes that are no UTF-8 become replacement characters, a null list an empty text."""
     read = _reader(df, path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task():
         model = read()
-        for b in by_rows(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.decode(x) for x in b.column(1).to_pylist()], type=pa.string())], ["id", "text"])
+        return lambda lists: [pa.array([model.decode(x) for x in lists], type=pa.string())]
 
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
-    return rows.mapInArrow(run, f"id {_type_of(df, id_col)}, text string").withColumnRenamed("id", id_col)
+    return over_texts(df.withColumn(ids_col, F.col(ids_col).cast("array<int>")), ids_col, [id_col], task, "text string")
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, the columns of ``keep``, ``ids array<int>`` and ``decoded string``: both directions in one pass, the text decoded from the ids."""
     read = _reader(df, path)
-    names = [id_col, *keep]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task():
         model = read()
-        for b in by_rows(batches):
-            ids = model.encode(b.column(0).to_pylist())
-            text = pa.array([model.decode(x.tolist()) for x in ids], type=pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], _lists(ids), text], [*(f"c{k}" for k in range(len(names))), "ids", "decoded"])
-
-    rows = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(names)))
-    kinds = ", ".join(f"c{k} {_type_of(df, c)}" for k, c in enumerate(names))
-    out = rows.mapInArrow(run, f"{kinds}, ids array<int>, decoded string")
-    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)), "ids", "decoded")
+
+        def step(texts: list[str]) -> list[pa.Array]:
+            ids = model.encode(texts)
+            return [_lists(ids), pa.array([model.decode(x.tolist()) for x in ids], type=pa.string())]
+
+        return step
+
+    return over_texts(df, text_col, [id_col, *keep], task, "ids array<int>, decoded string")

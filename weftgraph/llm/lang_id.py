@@ -13,6 +13,7 @@ nothing could be learned. Ties go to the lesser language name. Rows keep their m
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frame import bounded_sample, by_rows, cached
+from ._frame import bounded_sample, by_rows
 from ._words import mix
 
 DIM, N = 512, 3
@@ -31,6 +32,7 @@ PIECE, BLOCK = 1 << 19, 4096
 UNIT = 1 << 20
 
 
+@functools.cache
 def _letters() -> np.ndarray:
     return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)], dtype=bool)
 
@@ -44,7 +46,7 @@ def letter_vectors(points: np.ndarray) -> np.ndarray:
 
 def _normal(text: str) -> np.ndarray:
     """Code points of the letters in lower case, with one 0 for what stands between and at the ends."""
-    is_letter = cached("letters", _letters)
+    is_letter = _letters()
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     points = np.concatenate(([0], np.where(is_letter[points], points, 0), [0]))
     return points[(points > 0) | np.concatenate(([True], points[:-1] > 0))]

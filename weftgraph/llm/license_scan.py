@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frame import by_rows, cached
+from ._frame import by_rows
 
 #: Fixed value: ASCII letters and digits and everything beyond ASCII, after A-Z became a-z.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -172,11 +172,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     ``templates`` maps labels to template markup; a label may not repeat.
     """
     given = {v: k for k, v in BASE.items()} | TEMPLATES if templates is None else dict(templates)
-    key = "license:" + repr(sorted(given.items()))
     match = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = cached(key, lambda: compile_templates(given))
+        automaton = compile_templates(given)
         for b in by_rows(batches):
             n, found = [], []
             for raw in b.column(1).to_pylist():

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.components import connected_components
-from weftgraph.plans.materialize import materialize
+from weftgraph.plans.materialize import discard, materialize
 
 from ._frame import by_rows, few
 from ._words import mix, shingles, word_hashes
@@ -210,11 +210,11 @@ def _chosen(crossing: DataFrame, percent: int) -> DataFrame:
     return crossing.join(ells, "d").where(F.col("pos") < F.col("n") - need + F.col("ell")).select("token", "d", "n", "pos", "ell", "c")
 
 
-def _verified(pairs: DataFrame, df: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, df: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, ...]:
     """The pairs ``a, b`` whose whole sets are similar enough.
 
     Bitmaps, whose differing bits bound the difference of the sets from below, rule out most pairs that are not;
-    only the others move whole sets.
+    only the others move whole sets. Then the tables that they are read from.
     """
 
     def of_documents(pairs: DataFrame, pack, name: str) -> DataFrame:
@@ -256,7 +256,7 @@ def _verified(pairs: DataFrame, df: DataFrame, docs: DataFrame, id_col: str, tex
     maps = of_documents(pairs, bitmap, "bitmaps")
     left = materialize(joined(pairs, maps).mapInArrow(keep(may_be), "a long, b long").distinct(), "left-pairs")
     sets = of_documents(left, lambda s: s.tobytes(), "sets")
-    return joined(left, sets).mapInArrow(keep(are), "a long, b long")
+    return joined(left, sets).mapInArrow(keep(are), "a long, b long"), maps, left, sets
 
 
 def join_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -269,7 +269,13 @@ def join_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lists, keys = postings.where("pos >= 0"), postings.where("pos < 0")
     total = lists.count()
     similar = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    verified = lambda pairs: materialize(_verified(materialize(pairs, "pairs"), df, docs, id_col, text_col, k, percent), "links")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "pairs")
+        found, *spent = _verified(pairs, df, docs, id_col, text_col, k, percent)
+        found = materialize(found, "links")
+        discard(pairs, *spent)
+        return found
 
     links: DataFrame | None = None
     labels: DataFrame | None = None
@@ -293,6 +299,7 @@ def join_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links = new if links is None else links.unionAll(new)
         labels = connected_components(links, "a", "b")
         turn += 1
+        discard(crossing)
     chosen = materialize(_chosen(crossing, percent), "chosen")
     other = chosen.select("token", F.col("d").alias("e"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("ell").alias("ell2"), F.col("c").alias("c2"))
     # The first l shared shingles of two similar sets stand before n - t + l in both, t being what sets of these sizes must share.

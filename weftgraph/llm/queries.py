@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from . import bpe, chat_format, cover_tree, decontaminate, html_main, lang_id, l
 from ._frame import held_out, table, train_part
 
 #: The vocabulary of the BPE query; a file that the driver reads.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,20 @@
 
 Features are single words, word pairs and pairs with one word between, hashed into ``2**BITS``
 coordinates, present or not. FTRL-proximal keeps a learning rate for each coordinate, and its L1 term
-leaves most weights at exactly zero; the others are broadcast as a sorted table (at most ``MOST``
-weights). Training takes a sample of at most ``sample_rows`` labelled rows, chosen by a hash of the id,
-and runs in one executor task (FTRL is sequential); everything is scored.
+leaves most weights at exactly zero; the others are broadcast as a sorted table (12 bytes each, and there
+are no more than coordinates). Training takes a sample of about ``sample_rows`` labelled ids and
+``sample_bytes`` bytes of their texts at most, chosen by a hash of the id, and runs in one executor task (FTRL is
+sequential); everything is scored.
 
 A null text counts as empty: its score is that of the intercept. Labels other than 0 and 1 are left
-out of training. Without labels of both kinds every score is 0. Rows keep their multiplicity.
+out of training; an id labelled both ways counts as 1. Rows that repeat an id are all learned from, in an
+order given by id and content. Without labels of both kinds every score is 0. A score of exactly the
+caller's limit counts as reaching it. Rows keep their multiplicity.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frame import bounded_sample, by_rows
+from ._frame import by_rows, over_texts, sampled
 from ._words import WORDS, mix, word_hashes
 
 BITS = 22
-MOST = 200_000
+#: Coordinates whose weights are worked out at once.
+PART = 1 << 17
 
 
 def features(texts: list[bytes]) -> list[np.ndarray]:
@@ -54,23 +59,23 @@ def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = 3, alpha: float = 1.5
             z[x] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * w
             n[x] = ni + g * g
             bias += (g - (np.sqrt(bias[1] + g * g) - np.sqrt(bias[1])) / alpha * b, g * g)
-    w = weights(z, n)
-    at = np.flatnonzero(w)
-    if len(at) > MOST:
-        at = np.sort(at[np.argsort(-np.abs(w[at]), kind="stable")[:MOST]])
-    return float(weights(bias[:1], bias[1:], 0.0)[0]), at.astype(np.int32), w[at]
+    found = [weights(z[k : k + PART], n[k : k + PART]) for k in range(0, len(z), PART)]
+    at = np.concatenate([np.flatnonzero(w) + k * PART for k, w in enumerate(found)])
+    return float(weights(bias[:1], bias[1:], 0.0)[0]), at.astype(np.int32), np.concatenate([w[w != 0] for w in found])
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 16_000) -> DataFrame:
-    """Texts with their labels, of at most about ``sample_rows`` labelled ids; only those ids' texts move."""
-    own = docs.select(F.col(id_col).alias("_id")).join(labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")), "_id")
-    few = bounded_sample(own, "_id", sample_rows).dropDuplicates(["_id"])  # so many rows at most: small enough to broadcast
-    return docs.join(F.broadcast(few), F.col(id_col) == F.col("_id")).select(F.col(id_col), F.col(text_col), F.col("_y").alias(label_col))
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 16_000, sample_bytes: int = 256_000_000) -> DataFrame:
+    """Texts with their labels, of about ``sample_rows`` labelled ids and ``sample_bytes`` bytes at most; only their texts move."""
+    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_weft_id")).agg(F.max(F.col(label_col).cast("int")).alias("_weft_y"))
+    own = docs.select(F.col(id_col).alias("_weft_id"), F.octet_length(F.coalesce(text_col, F.lit(""))).alias("size")).join(known, "_weft_id")
+    n, size = own.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    few = own.where(sampled("_weft_id", min(sample_rows, n * sample_bytes // max(size, 1)), n)).select("_weft_id", "_weft_y").distinct()
+    return docs.join(F.broadcast(few), F.col(id_col) == F.col("_weft_id")).select(F.col(id_col), F.col(text_col), F.col("_weft_y").alias(label_col))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 16_000) -> tuple[float, np.ndarray, np.ndarray]:
-    """Weights learned from rows with label 0 or 1; what returns to the driver is bounded by ``MOST`` weights."""
-    rows = bounded_sample(labelled.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"), F.col(label_col).cast("int").alias("y")), "id", sample_rows)
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[float, np.ndarray, np.ndarray]:
+    """Weights learned from all given rows with label 0 or 1 (a bounded sample, as of ``labelled_rows``)."""
+    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"), F.col(label_col).cast("int").alias("y"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_rows(batches):
@@ -78,9 +83,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary()), b.column(2)], ["id", "x", "y"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = [row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-        data.sort(key=lambda r: (str(r[0]), r[1], r[2]))  # any order of arrival gives the same model
-        rows = [(np.frombuffer(x, np.int32), y) for _, x, y in data]
+        data = []
+        for b in by_rows(batches, 1 << 30):
+            data += zip(b.column(0).to_pylist(), (np.frombuffer(x.as_buffer(), np.int32) for x in b.column(1)), b.column(2).to_pylist(), strict=True)
+        data.sort(key=lambda r: (str(r[0]), r[2], len(r[1]), zlib.crc32(r[1])))  # any order of arrival gives the same model
+        rows = [(x, y) for _, x, y in data]
         if len({y for _, y in rows}) == 2:
             bias, at, w = ftrl(rows)
             yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([at.tobytes()]), pa.array([w.tobytes()])], ["bias", "at", "w"])
@@ -96,16 +103,16 @@ def score(df: DataFrame, model: tuple[float, np.ndarray, np.ndarray], id_col: st
     """``id_col``, the columns of ``keep``, and ``score double`` of every row."""
     bias, at, w = model
     sent = df.sparkSession.sparkContext.broadcast((at.tobytes(), w.tobytes()))
-    names = [id_col, *keep]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros(1 << BITS)
-        dense[np.frombuffer(sent.value[0], np.int32)] = np.frombuffer(sent.value[1], np.float64)
-        for b in by_rows(batches):
-            total = np.array([dense[x].sum() for x in features(b.column(0).to_pylist())], dtype=np.float64) + bias
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))) * (bias > -1e9))], [*(f"c{k}" for k in range(len(names))), "score"])
+    def task():
+        at, w = np.frombuffer(sent.value[0], np.int32), np.frombuffer(sent.value[1], np.float64)
+        known = np.zeros(1 << BITS, dtype=bool)
+        known[at] = True
+
+        def step(texts: list[str]) -> list[pa.Array]:
+            total = np.array([w[np.searchsorted(at, x[known[x]])].sum() for x in features([t.encode() for t in texts])], dtype=np.float64) + bias
+            return [pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))) * (bias > -1e9))]
+
+        return step
 
-    rows = df.select(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(names)))
-    kinds = ", ".join(f"c{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(names))
-    out = rows.mapInArrow(run, f"{kinds}, score double")
-    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)), "score")
+    return over_texts(df, text_col, [id_col, *keep], task, "score double")
