@@ -11,8 +11,8 @@ candidates if their prefixes share as many shingles as the lesser of their two l
 is held against bitmaps and then against the whole sets.
 
 Groups of near copies would be candidates pair by pair. While the estimate of such pairs is beyond
-the number of postings and still falls, rounds compare each document with one leader of each of its bands
-only (sets with equal least hashes in the same few parts of the hash range), and join what links. Then
+the number of postings, rounds compare each document with one leader of each of its bands only (sets with
+equal least hashes in the same few parts of the hash range), and join what links, until they join few. Then
 the documents choose their l again, now from what other components have in their lists, and all
 candidates between components are compared, so no link between components is lost.
 
@@ -43,6 +43,8 @@ from ._words import mix, shingles, word_hashes
 DEPTH, WIDTH, SEGMENT = 2, 1 << 17, 1 << 12
 #: Most matches asked for, cost of verifying a candidate in posting reads, pairs for each posting that need no rounds.
 MOST, VERIFY, DENSE = 6, 20.0, 1
+#: Rounds end with one that joins fewer than one in so many of the documents that share a band with another component.
+FEW = 50
 #: Bands of a set, and parts of the hash range in each.
 BANDS, PARTS = 16, 4
 
@@ -196,14 +198,20 @@ def _need(percent: int) -> Column:
     return F.ceil(F.col("n") * percent / F.lit(100.0)).cast("int")
 
 
+def _base(percent: int) -> Column:
+    """Shingles that a set has more than it must share with one of its size."""
+    return F.col("n") - F.ceil(F.col("n") * (2 * percent) / F.lit(100.0 + percent)).cast("int")
+
+
 def _chosen(crossing: DataFrame, percent: int) -> DataFrame:
     """The postings of the prefixes that the documents choose, with the number of matches ``ell`` they ask for.
 
-    With l matches a document reads the lists of its first ``base + l`` shingles, whose lengths are known,
-    and has at most reads / l candidates to verify, each at the cost of ``VERIFY`` reads.
+    With l matches a document reads the lists, whose lengths are known, of its first ``base + l`` shingles (``base``
+    for partners of its own size, as most are), and has at most reads / l candidates to verify, each at the cost of
+    ``VERIFY`` reads.
     """
     need = _need(percent)
-    reads = lambda l: F.sum(F.when(F.col("pos") < F.col("n") - need + l, F.col("x")).otherwise(0))  # noqa: E741, E731
+    reads = lambda l: F.sum(F.when(F.col("pos") < _base(percent) + l, F.col("x")).otherwise(0))  # noqa: E741, E731
     cost = F.array(*(F.when(F.lit(l) <= need, F.col(f"r{l}") * (1.0 + VERIFY / l) + l).otherwise(F.lit(float("inf"))) for l in range(1, MOST + 1)))  # noqa: E741
     sums = crossing.groupBy("d", "n").agg(*(reads(l).alias(f"r{l}") for l in range(1, MOST + 1)))  # noqa: E741
     ells = sums.select("d", F.array_position(cost, F.array_min(cost)).cast("int").alias("ell"))
@@ -279,7 +287,7 @@ def join_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     links: DataFrame | None = None
     labels: DataFrame | None = None
-    turn, before = 0, float("inf")
+    turn, merged = 0, 0
 
     def labelled(rows: DataFrame) -> DataFrame:
         if labels is None:
@@ -288,17 +296,26 @@ def join_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     while True:
         crossing = materialize(_crossing(labelled(lists)), "crossing")
-        now = crossing.where(F.col("pos") <= F.col("n") - _need(percent)).agg(F.coalesce(F.sum("x") / 2.0, F.lit(0.0)).alias("x")).first().x
-        if now <= DENSE * total or now > 0.9 * before:
+        now = crossing.where(F.col("pos") <= _base(percent)).agg(F.coalesce(F.sum("x") / 2.0, F.lit(0.0)).alias("x")).first().x
+        if now <= DENSE * total:
             break
-        before = now
-        rows = labelled(keys)
-        leader = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "d"), F.col("d").alias("l"), F.col("c").alias("lc"), F.col("n").alias("m"))).alias("top"))
+        rows = materialize(_crossing(labelled(keys)), "keys")
+        # First the most central document of each band leads, the one whose bands are the largest; then any.
+        rank = F.xxhash64(F.lit(turn), "d") if turn else -F.col("w")
+        central = rows.join(rows.groupBy("d").agg(F.sum("x").alias("w")), "d")
+        leader = central.groupBy("token").agg(F.min(F.struct(rank, F.xxhash64("d"), F.col("d").alias("l"), F.col("c").alias("lc"), F.col("n").alias("m"))).alias("top"))
         star = rows.join(leader.select("token", "top.l", "top.lc", "top.m"), "token").where((F.col("c") != F.col("lc")) & similar)
         new = verified(star.select(F.least("d", "l").alias("a"), F.greatest("d", "l").alias("b")).distinct())
         links = new if links is None else links.unionAll(new)
+        discard(labels)
         labels = connected_components(links, "a", "b")
-        turn += 1
+        turn, before = turn + 1, merged
+        merged = labels.where("id <> component").count()
+        members = rows.select("d").distinct().count()
+        discard(rows)
+        if (merged - before) * FEW < members:
+            crossing = materialize(_crossing(labelled(lists)), "crossing")
+            break
         discard(crossing)
     chosen = materialize(_chosen(crossing, percent), "chosen")
     other = chosen.select("token", F.col("d").alias("e"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("ell").alias("ell2"), F.col("c").alias("c2"))
