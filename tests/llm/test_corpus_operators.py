@@ -43,6 +43,15 @@ def test_cover_tree(spark, monkeypatch):
     assert not cover_tree.near_pairs(df.where("false")).collect()
 
 
+def test_cover_tree_odd_ids_and_sizes(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "BLOCK", 2)
+    monkeypatch.setattr(cover_tree, "GROUP", 64)
+    rows = [(None, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [0.0, 1.0]), (9, [0.0, 1e300]), (None, [5e-324, 5e-324]), (3, [1e300, 1e300]), (None, [-1.0, 0.0]), (None, None), (8, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, cover_tree.near_pairs(df).collect()), key=str)
+    assert got == sorted([(None, 2, 7, False), (7, 2, 7, True), (8, 2, 7, False), (7, 1, 7, True), (9, 1, 7, False), (None, 1, 3, False), (3, 1, 3, True), (None, 0, None, True), (None, 0, None, True)], key=str)
+
+
 def near_copies():
     rng = random.Random(5)
     words = [f"w{i}" for i in range(4000)]

@@ -3,16 +3,17 @@
 Vectors are scaled to unit length; cosine >= t is a distance of at most sqrt(2 - 2t). Equal vectors
 are one node with a weight. Nodes are dealt into cells around at most ``cells`` sampled centres and, where a
 cell is large, by hash into blocks of about ``BLOCK`` nodes; every block builds a cover tree: nested levels whose radii
-halve, each node within its parent's radius, with the true covering radius kept. Pairs of blocks whose balls
-are further apart than the threshold are pruned; for the others both trees are descended together,
-level by level, and pairs of nodes are pruned by the same bound. What reaches the leaves is compared
-in double precision. A task returns counts and a spanning forest of its links, never all links, so a
-group of n copies costs n rows.
+halve, each node within its parent's radius, with the true covering radius kept. Blocks are dealt into groups of
+about ``GROUP`` bytes; a task gets two groups, so a vector is sent once for each group and not for each
+block. Pairs of blocks whose balls are further apart than the threshold are pruned; for the others both
+trees are descended together, level by level, and pairs of nodes are pruned by the same bound. What reaches
+the leaves is compared in double precision. A task returns counts and a spanning forest of its links, never
+all links, so a group of n copies costs n rows.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
-vectors of another length. A null id is a vector without id: it is left out. Rows that repeat an id
-count as vectors of their own in the links of others; their own row is that of the id, once for each
-row with the same vector.
+vectors of another length. Every row is a vector of its own, whether its id is null or repeated, and has its own result;
+a component is named by the least id in it (null if there is none), and ``kept`` compares ids, null being equal
+to null. Scaling is free of overflow, so very large and very small components count as they are.
 """
 
 from __future__ import annotations
@@ -28,8 +29,12 @@ from pyspark.sql import functions as F
 from weftgraph.operators.components import connected_components
 from weftgraph.plans.materialize import materialize
 
+from ._frame import by_rows
+
 BLOCK = 3072
 LEVELS = 12
+#: Bytes of vectors in a group of blocks, a task getting two groups.
+GROUP = 8_000_000
 #: Rows of a matrix product, and pairs of nodes, handled at once.
 ROWS, PAIRS = 512, 50_000
 #: Bounds are widened by this much distance, more than rounding can make.
@@ -175,20 +180,20 @@ def _unit(raw: bytes, kind: str, dim: int) -> np.ndarray:
 
 
 def near_pairs(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", cells: int = 256) -> DataFrame:
-    """``id_col, n_links long, component_id long, kept boolean`` of every row with an id."""
+    """``id_col, n_links long, component_id long, kept boolean`` of every row."""
     spark = df.sparkSession
     element = df.schema[vector_col].dataType.elementType.simpleString()
     kind = "<f4" if element == "float" else "<f8"
     v = F.col(vector_col) if element in ("float", "double") else F.col(vector_col).cast("array<double>")
     good = F.coalesce(F.size(v) > 0, F.lit(False)) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     plain = F.transform(v, lambda x: x + F.lit(0).cast(element if element in ("float", "double") else "double"))  # -0 becomes 0
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.when(good, plain).alias("v"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.when(good, plain).alias("v"))
     rows = rows.withColumns({"h1": F.when(F.col("v").isNotNull(), F.xxhash64("v")), "h2": F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "v"))})
-    nodes = materialize(rows.where("v IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("uid"), F.count("*").alias("w"), F.first("v").alias("v")), "nodes")
+    nodes = materialize(rows.where("v IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("w"), F.first("v").alias("v")).withColumn("uid", F.monotonically_increasing_id()), "nodes")
 
     count = nodes.count()
     k = max(1, min(cells, count // BLOCK))
-    picked = nodes.orderBy(F.xxhash64(F.lit(3), "uid")).limit(k).select("v").collect()  # at most `cells` vectors
+    picked = nodes.orderBy(F.xxhash64(F.lit(3), "h1"), "h2").limit(k).select("v").collect()  # at most `cells` vectors
     centres: dict[int, np.ndarray] = {}
     for row in picked:
         x = np.array([row.v], dtype=kind)
@@ -199,21 +204,19 @@ def near_pairs(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vect
             vs = b.column(2)
             lengths = vs.value_lengths().to_numpy(zero_copy_only=False)
             flat, at = vs.flatten().to_numpy(zero_copy_only=False).astype(kind), np.cumsum(np.concatenate(([0], lengths)))
-            cell, far, raw = np.zeros(len(lengths), np.int32), np.full(len(lengths), 2.0), [None] * len(lengths)
+            cell, raw = np.zeros(len(lengths), np.int32), [None] * len(lengths)
             for dim in np.unique(lengths).tolist():
                 own = np.flatnonzero(lengths == dim)
                 block = np.concatenate([flat[at[i] : at[i + 1]] for i in own])
                 for i in own:
                     raw[i] = flat[at[i] : at[i + 1]].tobytes()
                 if dim in centres:
-                    sim = _unit(block.tobytes(), kind, dim) @ centres[dim].T
-                    cell[own], far[own] = sim.argmax(axis=1), _distance(sim.max(axis=1)) + SLACK
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary()), pa.array(lengths.astype(np.int32)), pa.array(cell), pa.array(far)], ["uid", "w", "raw", "dim", "cell", "far"])
+                    cell[own] = (_unit(block.tobytes(), kind, dim) @ centres[dim].T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary()), pa.array(lengths.astype(np.int32)), pa.array(cell)], ["uid", "w", "raw", "dim", "cell"])
 
-    dealt = materialize(nodes.select("uid", "w", "v").mapInArrow(deal, "uid long, w long, raw binary, dim int, cell int, far double"), "dealt")
-    balls = dealt.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far"))  # at most `cells` rows and one for each other dimension
-    sized = balls.select("dim", "cell", F.ceil(F.col("n") / BLOCK).alias("parts"))
-    blocks = dealt.join(F.broadcast(sized), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
+    dealt = materialize(nodes.select("uid", "w", "v").mapInArrow(deal, "uid long, w long, raw binary, dim int, cell int"), "dealt")
+    sized = dealt.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    blocks = dealt.join(sized, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by("uid")
@@ -226,46 +229,55 @@ def near_pairs(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vect
     packed = blocks.select("dim", "cell", "part", "uid", "w", "raw").groupBy("dim", "cell", "part").applyInArrow(pack, "dim int, cell int, part int, uids binary, ws binary, raw binary, tree binary")
     packed = materialize(packed.withColumn("block", F.concat_ws(":", "dim", "cell", "part")), "blocks")
 
+    wide = int(np.ceil(np.sqrt(2 * spark.sparkContext.defaultParallelism)))  # groups that keep all cores at work, if there are so many blocks
+    n, size = F.count("*"), F.lit(BLOCK * (4 if kind == "<f4" else 8)) * F.first("dim")
+    groups = materialize(packed.groupBy("dim").agg(F.greatest(F.ceil(n * size / F.lit(GROUP)), F.least(n, F.lit(wide))).cast("int").alias("groups")), "groups")
+    tasks = groups.agg(F.coalesce(F.sum(F.col("groups") * (F.col("groups") + 1.0) / 2), F.lit(0.0)).alias("x")).first().x
+    dealt_out = packed.join(groups, "dim").withColumn("own", F.pmod(F.xxhash64("block"), F.col("groups")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    dealt_out = dealt_out.select("dim", F.least("own", "other").alias("g"), F.greatest("own", "other").alias("h"), (F.col("own") > F.col("other")).alias("second"), "block", "uids", "ws", "raw", "tree")
+    dealt_out = dealt_out.repartition(max(1, min(int(2 * tasks), 20_000)), "dim", "g", "h").sortWithinPartitions("dim", "g", "h", "block")
     reach = float(_distance(np.array(cosine))) + SLACK
-    near: list[tuple[int, int, int]] = []  # cells whose balls are within reach, both orders: at most cells ** 2 rows
-    found = balls.collect()
-    for x in found:
-        for y in found:
-            if x.dim == y.dim:
-                c = centres.get(x.dim)
-                apart = 0.0 if c is None else float(_distance(c[x.cell] @ c[y.cell])) - SLACK
-                if apart <= x.far + y.far + reach:
-                    near.append((x.dim, x.cell, y.cell))
-    if not near:
-        near.append((-1, 0, 0))
-    names = packed.select("dim", "cell", "block")
-    allowed = F.broadcast(spark.createDataFrame(near, "dim int, cell int, other int"))
-    pairs = names.join(allowed, ["dim", "cell"]).select("dim", F.col("block").alias("one"), F.col("other").alias("cell"))
-    pairs = materialize(pairs.join(names, ["dim", "cell"]).where("one <= block").select("one", F.col("block").alias("two")), "block-pairs")
-    side = lambda x: packed.select(F.col("block").alias(x), *([F.col("dim")] if x == "one" else []), *(F.col(c).alias(f"{x}_{c}") for c in ("uids", "ws", "raw", "tree")))
-    tasks = pairs.join(side("one"), "one").join(side("two"), "two").repartition(max(1, pairs.count() // 8 + 1), "one", "two")
+
+    def linked(one: tuple, two: tuple, same: bool) -> pa.RecordBatch | None:
+        (ua, wa, ta), (ub, wb, tb) = one, two
+        if float(_distance(ta.x[0] @ tb.x[0])) > ta.radii[0][0] + tb.radii[0][0] + reach:
+            return None
+        shift = 0 if same else len(ua)
+        uid = ua if same else np.concatenate((ua, ub))
+        links, label = np.zeros(len(uid), np.int64), np.arange(len(uid))
+        for p, q in dual_links(ta, tb, cosine, same):
+            links += np.bincount(p, wb[q], len(uid)).astype(np.int64) + np.bincount(q + shift, wa[p], len(uid)).astype(np.int64)
+            label = unite(label, p, q + shift)
+        some = np.flatnonzero(links)
+        return pa.RecordBatch.from_arrays([pa.array(uid[some]), pa.array(links[some]), pa.array(uid[label[some]])], ["uid", "n", "root"]) if len(some) else None
+
+    def task(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        """All pairs of blocks of two groups, or of one."""
+        open_ = lambda r: (np.frombuffer(r["uids"], np.int64), np.frombuffer(r["ws"], np.int64), CoverTree.unpacked(r["tree"], _unit(r["raw"], kind, r["dim"])))
+        first, second = [open_(r) for r in held if not r["second"]], [open_(r) for r in held if r["second"]]
+        alone = held[0]["g"] == held[0]["h"]
+        for i, one in enumerate(first):
+            for j, two in enumerate(first[i:] if alone else second):
+                if (out := linked(one, two, alone and j == 0)) is not None:
+                    yield out
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                row = {n: b.column(n)[k].as_py() for n in b.schema.names}
-                same = row["one"] == row["two"]
-                sides = [(np.frombuffer(row[f"{x}_uids"], np.int64), np.frombuffer(row[f"{x}_ws"], np.int64), CoverTree.unpacked(row[f"{x}_tree"], _unit(row[f"{x}_raw"], kind, row["dim"]))) for x in (("one",) if same else ("one", "two"))]
-                (ua, wa, ta), (ub, wb, tb) = sides[0], sides[-1]
-                shift = 0 if same else len(ua)
-                uid = ua if same else np.concatenate((ua, ub))
-                links, label = np.zeros(len(uid), np.int64), np.arange(len(uid))
-                for p, q in dual_links(ta, tb, cosine, same):
-                    links += np.bincount(p, wb[q], len(uid)).astype(np.int64) + np.bincount(q + shift, wa[p], len(uid)).astype(np.int64)
-                    label = unite(label, p, q + shift)
-                some = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(uid[some]), pa.array(links[some]), pa.array(uid[label[some]])], ["uid", "n", "root"])
-
-    links = materialize(tasks.mapInArrow(search, "uid long, n long, root long"), "links")
+        held: list[dict] = []
+        for b in by_rows(batches, 1):
+            row = b.to_pylist()[0]
+            if held and [row[c] for c in ("dim", "g", "h")] != [held[0][c] for c in ("dim", "g", "h")]:
+                yield from task(held)
+                held = []
+            held.append(row)
+        if held:
+            yield from task(held)
+
+    links = materialize(dealt_out.mapInArrow(search, "uid long, n long, root long"), "links")
     totals = links.groupBy("uid").agg(F.sum("n").alias("n"))
     parts = connected_components(links, "uid", "root").select(F.col("id").alias("uid"), F.col("component").alias("c"))
-    known = nodes.select("h1", "h2", "uid", "w").join(totals, "uid", "left").join(parts, "uid", "left")
-    known = known.select("h1", "h2", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("c", "uid").alias("c"))
+    known = nodes.select("h1", "h2", "uid", "w", "least").join(totals, "uid", "left").join(parts, "uid", "left").withColumn("c", F.coalesce("c", "uid"))
+    named = known.groupBy("c").agg(F.min("least").alias("component_id"))
+    known = known.join(named, "c").select("h1", "h2", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id", F.lit(True).alias("found"))
     out = rows.select("id", "h1", "h2").join(known, ["h1", "h2"], "left")
-    component = F.coalesce("c", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    component = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
