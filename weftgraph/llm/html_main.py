@@ -1,29 +1,35 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a sequence of text blocks. A linear classifier gives each block a log-odds of being
-content; its absolute value is the capacity to the source (content) or the sink (boilerplate).
-Neighbouring blocks, and consecutive blocks of one parent element, are joined by smoothness edges whose
-capacity falls with their distance in the DOM. A maximum flow separates the two sides; blocks that the
-residual graph reaches from the source are the main text.
-
-Character references are decoded, white space inside a block becomes one space, blocks are joined in
-page order by an empty line. Null pages and pages without content give an empty text. A page is read
-whole; memory is bounded by one page. Rows keep their multiplicity, extra columns are not returned.
+A page becomes a sequence of text blocks. A logistic classifier over a block's own features (words up to
+40, share of linked text, kind of element, copyright sign) is fitted on the pages themselves: blocks that
+stand in an article or main element are examples of content, blocks in navigation, footers, adverts and
+the like of boilerplate. What a block's elements and their names say adds to its log-odds. The absolute
+value of the sum is the capacity to the source (content) or the sink (boilerplate). Neighbouring blocks,
+and consecutive blocks of one parent element, are joined by smoothness edges whose capacity falls with
+their distance in the DOM. A maximum flow separates the two sides; blocks that the residual graph reaches
+from the source are the main text.
+
+The classifier learns from a sample of at most about ``sample_pages`` pages, chosen by a hash of the id, and
+starts from given weights, which stay where there are no examples. Character references are decoded, white
+space inside a block becomes one space, blocks are joined in page order by an empty line. Null pages and
+pages without content give an empty text. A page is read whole; memory is bounded by one page. Rows keep
+their multiplicity, extra columns are not returned.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frame import by_rows
+from ._frame import bounded_sample, by_rows, over_texts
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.DOTALL)
 _ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -32,18 +38,24 @@ _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 RAW = frozenset("script style template textarea title xmp iframe noframes svg annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
+#: Start tags that end an svg.
+BREAKS = BLOCK - {"a", "title", "style", "script"} | {"body", "br", "img"}
 #: Start tags that end an open element of the kinds given, up to the nearest enclosing one.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 #: Log-odds of content by an enclosing element, and by words in its class, id, role or label.
-TAG_COST = {"article": 6.0, "main": 5.0, "nav": -14.0, "footer": -14.0, "aside": -14.0, "form": -14.0, "menu": -14.0, "dialog": -14.0, "button": -14.0, "select": -14.0, "search": -14.0, "fieldset": -14.0}
+AGAINST, WITHIN = -9.0, 4.0
+TAG_COST = {"article": 5.0, "main": 4.0} | dict.fromkeys("nav footer aside form menu dialog button select search fieldset".split(), AGAINST)
 BAD = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promoted promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer notice notices cookie cookies consent gdpr popup modal overlay subscribe subscription newsletter signup share sharing social related recommended recommendations comment comments commenter reply replies respond discussion disqus form login search widget widgets toolbar pagination pager copyright masthead complementary contentinfo alert dialog toc skip".split())
 #: Of these, what may hold articles that are not the page's own; and words that make a class a state of its element.
 ASIDE = BAD & frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promoted promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer related recommended recommendations comment comments commenter reply replies respond discussion disqus widget widgets complementary contentinfo".split())
 STATE = frozenset("no not has have with without is enabled disabled hide hidden show visible active open closed".split())
+#: Words that leave the sense of a name with one of the above as it is.
+PLAIN = frozenset("list box block section area container wrapper wrap inner outer links link posts item items bar unit slot top bottom left right group form field thread count button buttons post".split())
 GOOD = frozenset("article content post entry story main articlebody".split())
-BIAS, PER_WORD, LINKS = -1.0, 0.1, -8.0
-OWN_TAG = {"p": 1.5, "h1": 1.5, "h2": 1.0, "h3": 1.0, "h4": 1.0, "blockquote": 1.5, "pre": 1.5, "td": 0.5, "li": -0.5}
+#: The classifier's features, and the weights that it starts from.
+KINDS = ("p", "h1", "h2", "h3", "h4", "blockquote", "pre", "td", "li")
+WEIGHTS = np.array([-1.0, 0.1, -8.0, -3.0, 1.5, 1.5, 1.0, 1.0, 1.0, 1.5, 1.5, 0.5, -0.5])  # bias, words, links, ©, kinds
 #: Smoothness between neighbours, divided by one more than the steps between their elements; and between siblings.
 NEAR, SIBLING = 1.5, 1.0
 SCALE = 1000
@@ -70,9 +82,9 @@ def _odds(tag: str, attributes: str, above: Element) -> tuple[float, bool]:
     """
     own = TAG_COST.get(tag, 0.0)
     closed = own < 0 and tag not in ("form", "fieldset")
-    inside = above.odds >= 4.0
+    inside = above.odds >= WITHIN
     if tag == "header" and not inside:
-        own, closed = -14.0, True
+        own, closed = AGAINST, True
     page = tag in ("article", "main")
     if attributes:
         a = _attributes(attributes)
@@ -81,14 +93,16 @@ def _odds(tag: str, attributes: str, above: Element) -> tuple[float, bool]:
         page = page or a.get("role", "").strip().lower() in ("article", "main")
         words = [{x.lower() for x in _NAME.findall(name)} for k in ("class", "id", "role", "aria-label") for name in (a.get(k, "").split() if k != "aria-label" else [a.get(k, "")])]
         bad = {x for w in words if not w & STATE for x in w & BAD}
+        if inside:  # a word of a longer name, as in "related-work", says nothing about a part of the article
+            bad = {x for w in words if not w & STATE and all(x in BAD or x in PLAIN or x.isdigit() or (x in GOOD and w & ASIDE) for x in w) for x in w & BAD}
         if tag in ("article", "main", "body", "html"):
             bad &= {"comment", "comments", "reply", "related", "ad", "ads", "advertisement", "sponsored", "promo"}
         if bad and tag in ("div", "section") and any(w & GOOD and not w & BAD for w in words):
             own = min(own, -4.0)  # another of its names speaks for content
         elif bad:
-            own, closed = min(own, -14.0), closed or bool(bad & ASIDE)
+            own, closed = min(own, AGAINST), closed or bool(bad & ASIDE)
         elif own == 0.0 and any(w & GOOD for w in words):
-            own = 4.0
+            own = WITHIN
     if page and own > 0 and not above.closed:
         return max(above.odds, own), False
     if above.odds <= -8.0:
@@ -103,6 +117,7 @@ class Block:
     text: str
     links: int  # characters inside of links
     element: int
+    turn: int  # depth of the element that it shares with the block before
 
 
 def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
@@ -111,15 +126,16 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
     stack = [0]
     parts: list[str] = []
     found: list[Block] = []
-    linked = links = 0
-    owner = 0
+    linked = links = owner = low = raw_depth = foreign = 0
+    opened: Counter[str] = Counter()
 
     def end_block() -> None:
-        nonlocal linked
+        nonlocal linked, low
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                found.append(Block(text, linked, owner))
+                found.append(Block(text, linked, owner, min(low, elements[owner].depth)))
+                low = elements[owner].depth
             parts.clear()
         linked = 0
 
@@ -127,10 +143,12 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
         return next((e for e in reversed(stack) if elements[e].tag in BLOCK), 0)
 
     def pop_to(k: int) -> None:
-        nonlocal links
+        nonlocal links, low
         for e in stack[k:]:
+            opened[elements[e].tag] -= 1
             links -= elements[e].tag == "a"
         del stack[k:]
+        low = min(low, elements[stack[-1]].depth)
 
     skip = ""
     for m in _TOKEN.finditer(page):
@@ -147,8 +165,19 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
             continue
         tag, ends, attributes = tag.lower(), (m[1] or m[4]) == "/", (m[3] or m[6] or "")
         if skip:
-            if ends and tag == skip:
+            foreign += (tag == "foreignobject") * (1 - 2 * ends)
+            if tag == skip and skip in ("svg", "template"):
+                raw_depth += -1 if ends else not attributes.rstrip().endswith("/")
+                skip = skip if raw_depth > 0 else ""
+            elif tag == skip and ends:
                 skip = ""
+            elif skip == "svg" and foreign <= 0 and not ends and tag in BREAKS:
+                skip = ""  # an svg that was not ended
+            if skip or ends:
+                continue
+        if ends and not opened[tag]:
+            if tag in BLOCK:
+                end_block()
             continue
         if ends:
             k = next((k for k in range(len(stack) - 1, 0, -1) if elements[stack[k]].tag == tag), 0)
@@ -159,14 +188,14 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
             continue
         if tag in RAW:
             if not attributes.rstrip().endswith("/"):
-                skip = tag
+                skip, raw_depth, foreign = tag, 1, 0
             continue
         if tag == "br":
             parts.append(" ")
             continue
         if tag in BLOCK:
             end_block()
-            if (k := next((k for k in range(len(stack) - 1, 0, -1) if elements[stack[k]].tag == "p"), 0)) and not any(elements[e].tag in ("td", "th", "button", "object") for e in stack[k + 1 :]):
+            if opened["p"] and (k := next((k for k in range(len(stack) - 1, 0, -1) if elements[stack[k]].tag == "p"), 0)) and not any(elements[e].tag in ("td", "th", "button", "object") for e in stack[k + 1 :]):
                 pop_to(k)
             if tag in CLOSES:
                 kinds, within = CLOSES[tag]
@@ -182,86 +211,144 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
         elements.append(Element(tag, stack[-1], above.depth + 1, *_odds(tag, attributes, above)))
         if not attributes.rstrip().endswith("/") or tag in BLOCK:
             stack.append(len(elements) - 1)
+            opened[tag] += 1
             links += tag == "a"
     end_block()
     return found, elements
 
 
-def _steps(elements: list[Element], a: int, b: int) -> int:
-    n = 0
-    while a != b:
-        if elements[a].depth < elements[b].depth:
-            a, b = b, a
-        a = elements[a].parent
-        n += 1
-    return n
-
-
-def block_odds(block: Block, element: Element) -> float:
+def features(block: Block, element: Element) -> list[float]:
     words = block.text.count(" ") + 1
-    return BIAS + element.odds + OWN_TAG.get(element.tag, 0.0) + PER_WORD * min(words, 40) + LINKS * min(1.0, block.links / max(1, len(block.text))) - 3.0 * ("©" in block.text and words < 40)
+    links = round(10 * min(1.0, block.links / max(1, len(block.text)))) / 10
+    return [1.0, float(min(words, 40)), links, float("©" in block.text and words < 40), *(float(element.tag == k) for k in KINDS)]
 
 
 def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Whether each node stays on the source's side of a minimum cut (shortest augmenting paths)."""
+    """Whether each node stays on the source's side of a minimum cut.
+
+    Blocking flows over levels of equal distance from the source: as paths between neighbouring blocks are
+    short, there are few levels, and each costs a pass over the edges.
+    """
     n = len(odds)
     source, sink = n, n + 1
-    room: list[dict[int, int]] = [{} for _ in range(n + 2)]
+    to: list[int] = []
+    room: list[int] = []
+    out: list[list[int]] = [[] for _ in range(n + 2)]
+
+    def join(a: int, b: int, there: int, back: int) -> None:
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((there, back))
+
     for k, x in enumerate(odds):
-        capacity = round(abs(x) * SCALE)
-        a, b = (source, k) if x > 0 else (k, sink)
-        room[a][b], room[b][a] = capacity, 0
+        join(*((source, k) if x > 0 else (k, sink)), round(abs(x) * SCALE), 0)
     for a, b, x in edges:
-        capacity = round(x * SCALE)
-        room[a][b] = room[a].get(b, 0) + capacity
-        room[b][a] = room[b].get(a, 0) + capacity
+        join(a, b, round(x * SCALE), round(x * SCALE))
     while True:
-        came = {source: source}
-        todo = deque((source,))
-        while todo and sink not in came:
-            a = todo.popleft()
-            for b, left in room[a].items():
-                if left > 0 and b not in came:
-                    came[b] = a
-                    todo.append(b)
-        if sink not in came:
-            return [k in came for k in range(n)]
-        path, b = [], sink
-        while b != source:
-            path.append((came[b], b))
-            b = came[b]
-        flow = min(room[a][b] for a, b in path)
-        for a, b in path:
-            room[a][b] -= flow
-            room[b][a] += flow
-
-
-def main_text(page: str | None) -> str:
-    blocks, elements = blocks_of(page or "")
-    odds = [block_odds(b, elements[b.element]) for b in blocks]
+        level = [-1] * (n + 2)
+        level[source] = 0
+        todo = [source]
+        for a in todo:
+            for e in out[a]:
+                if room[e] > 0 and level[to[e]] < 0:
+                    level[to[e]] = level[a] + 1
+                    todo.append(to[e])
+        if level[sink] < 0:
+            return [x >= 0 for x in level[:n]]
+        at = [0] * (n + 2)
+        path: list[int] = []
+        a = source
+        while True:
+            if a == sink:
+                flow = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                back = next(k for k, e in enumerate(path) if not room[e])
+                del path[back + 1 :]
+                a = to[path.pop() ^ 1]
+            elif at[a] < len(out[a]):
+                e = out[a][at[a]]
+                if room[e] > 0 and level[to[e]] == level[a] + 1:
+                    path.append(e)
+                    a = to[e]
+                else:
+                    at[a] += 1
+            elif path:
+                a = to[path.pop() ^ 1]
+                at[a] += 1
+            else:
+                break
+
+
+def costs(blocks: list[Block], elements: list[Element], weights: np.ndarray = WEIGHTS) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """The log-odds of the blocks, and the smoothness edges between them."""
+    if not blocks:
+        return [], []
+    own = (np.array([features(b, elements[b.element]) for b in blocks]) @ weights).tolist()
+    odds = [x + elements[b.element].odds for x, b in zip(own, blocks, strict=True)]
     edges: list[tuple[int, int, float]] = []
     last: dict[int, int] = {}
     for k, b in enumerate(blocks):
+        here = elements[b.element]
         if k:
-            edges.append((k - 1, k, NEAR / (1 + _steps(elements, blocks[k - 1].element, b.element))))
-        parent = elements[b.element].parent
-        if parent in last and last[parent] != k - 1:
-            edges.append((last[parent], k, SIBLING))
-        last[parent] = k
+            edges.append((k - 1, k, NEAR / (1 + elements[blocks[k - 1].element].depth + here.depth - 2 * b.turn)))
+        if here.parent in last and last[here.parent] != k - 1:
+            edges.append((last[here.parent], k, SIBLING))
+        last[here.parent] = k
+    return odds, edges
+
+
+def main_text(page: str | None, weights: np.ndarray = WEIGHTS) -> str:
+    blocks, elements = blocks_of(page or "")
+    odds, edges = costs(blocks, elements, weights)
     if not any(x > 0 for x in odds):
         return ""
     keep = min_cut(odds, edges) if any(x <= 0 for x in odds) else [True] * len(odds)
     return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
-def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
-    """``id_col``, the columns of ``keep``, and ``text string`` of every page."""
-    names = [id_col, *keep]
+def examples(page: str | None) -> list[tuple[tuple[float, ...], int]]:
+    """Features of the blocks whose elements leave no doubt, and whether they are content."""
+    blocks, elements = blocks_of(page or "")
+    sure = [(b, elements[b.element]) for b in blocks if abs(elements[b.element].odds) >= 5.0]
+    return [(tuple(features(b, e)), int(e.odds > 0)) for b, e in sure]
+
+
+def learn(counts: dict[tuple[tuple[float, ...], int], int], prior: float = 1.0, most: float = 1000.0) -> np.ndarray:
+    """Weights of a logistic regression, kept near ``WEIGHTS``; examples together weigh ``most`` at most, both kinds alike."""
+    total = [sum(n for (_, y), n in counts.items() if y == k) for k in (0, 1)]
+    if not all(total):
+        return WEIGHTS
+    keys = sorted(counts)
+    x, y = np.array([k[0] for k in keys]), np.array([k[1] for k in keys], dtype=np.float64)
+    n = np.array([counts[k] / total[k[1]] for k in keys]) * min(most, sum(total)) / 2
+    w = WEIGHTS.copy()
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + prior * np.eye(len(w)), x.T @ (n * (p - y)) + prior * (w - WEIGHTS))
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
+def fit(df: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = 4_000) -> np.ndarray:
+    """The classifier's weights. To the driver come counts of distinct examples: some thousands of feature values at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
         for b in by_rows(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(map(main_text, b.column(0).to_pylist()), pa.string())], [*(f"c{k}" for k in range(len(names))), "text"])
+            for page in b.column(0).to_pylist():
+                counts.update(examples(page))
+        yield pa.RecordBatch.from_arrays([pa.array([list(x) for x, _ in counts], pa.list_(pa.float64())), pa.array([y for _, y in counts], pa.int32()), pa.array(counts.values(), pa.int64())], ["x", "y", "n"])
+
+    pages = bounded_sample(df.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(html_col).alias("h")), "id", sample_pages).select("h")
+    found = pages.mapInArrow(run, "x array<double>, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).collect()
+    return learn({(tuple(r.x), r.y): r.n for r in found})
+
 
-    rows = df.select(F.col(html_col).alias("h"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(names)))
-    kinds = ", ".join(f"c{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(names))
-    return rows.mapInArrow(run, f"{kinds}, text string").select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)), "text")
+def extract(df: DataFrame, weights: np.ndarray = WEIGHTS, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
+    """``id_col``, the columns of ``keep``, and ``text string`` of every page; ``weights`` are what ``fit`` returns."""
+    return over_texts(df, html_col, [id_col, *keep], lambda: lambda pages: [pa.array([main_text(p, weights) for p in pages], pa.string())], "text string")

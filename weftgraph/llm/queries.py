@@ -65,7 +65,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_main.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    pages = table(spark, sf_dir, "pages")
+    return html_main.extract(pages, html_main.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
