@@ -163,3 +163,120 @@ def test_preferences(spark):
     a, z = map(int, r.chosen_mask.split("-"))
     assert r.chosen[a:z] == "good<|im_end|>"
     assert out[4].n_common == 1 and out[4].chosen == "" and out[4].rejected_mask
+
+
+def test_other_replies(spark):
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", "r"), (1, 0, "user", "q"), (1, 1, "assistant", "b"), (2, 0, "user", "alone"), (4, 0, "assistant", None), (4, 0, "assistant", None), (None, 0, "user", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).withColumn("n_common", F.lit(1))
+    chosen, rejected = chat_format.other_replies(chat_format.turns(df))
+    pairs = chosen.select(F.col("conv_id").alias("chosen_id"), F.col("conv_id").alias("rejected_id"))
+    out = {r.chosen_id: r for r in chat_format.preferences(chosen, pairs, rejected=rejected).collect()}
+    assert {k: r.n_common for k, r in out.items()} == {0: 1, 1: 1, 2: 1, 4: 2}
+    assert "a<" in out[0].chosen and "b<" in out[0].rejected and "\nr<" not in out[0].chosen and out[0].prompt.count("<|im_start|>") == 1
+    assert out[1].rejected.endswith("assistant\n<|im_end|>\n") and out[2].chosen == out[2].rejected == ""
+    empty = chat_format.other_replies(chat_format.turns(df.where("false")))
+    assert not chat_format.preferences(empty[0], pairs.where("false"), rejected=empty[1]).collect()
+
+
+def test_preferences_of_long_texts(spark):
+    long = "word " * 200_000
+    convs = chat_format.turns(spark.createDataFrame([(k, t, "user" if t == 0 else "assistant", long + str(k * t)) for k in (0, 1) for t in (0, 1)], "conv_id long, turn long, role string, text string"))
+    (r,) = chat_format.preferences(convs, chat_format.pair_neighbours(convs)).collect()
+    a, z = map(int, r.rejected_mask.split("-"))
+    assert r.n_common == 1 and r.rejected[a:z] == long + "1<|im_end|>"
+
+
+def test_decontamination_wrapped_and_lowered():
+    item = b"Then Anna Smith has 12 apples and gives 3.5 kg to poor old Bob because he asked for it"
+    full = b"Sam bought 5 kg of rice and 3 litres of milk for 12 euros at the shop in Paris then walked 4 km back to see Anna and Bob at home"
+    block = decontaminate.Block([(0, item), (1, full)], 8)
+    find = lambda t: {k: (n, exact) for k, n, _, exact in block.find(decontaminate.Template(t), 13)}
+    for text, k in ((item, 0), (full, 1)):
+        words = text.split()
+        for form in (text, text.lower(), text.replace(b" ", b"\n"), b"\n".join(b" ".join(words[i : i + 4]) for i in range(0, len(words), 4))):
+            assert find(b"so, " + form + b". x")[k] == (len(decontaminate.Template(text)), True)
+    assert find(b"then carl has 7 apples and gives 4 kg to poor old dora because he asked for it")[0] == (18, False)
+    assert find(b"Then Carl\nhas 7 apples and gives 4 kg to poor old\nDora because he asked for it")[0] == (18, False)
+    # Anna and Bob may not both be carl: the run begins behind the first one, and ends before dora.
+    assert find(b"then carl has 7 apples and gives 4 kg to poor old carl because he asked for dora and went") == {0: (15, False)}
+    assert not find(b"then carl has 7 apples and gives 4 kg to poor old carl because dora went")
+
+
+def test_html_cut_against_brute_force():
+    import itertools
+    import random
+
+    rng = random.Random(8)
+    moved = 0
+    for _ in range(40):
+        parts = [rng.choice([f"<p>{'word ' * rng.randint(1, 30)}</p>", f"<div class=ad>{'buy ' * rng.randint(1, 30)}</div>", f"<li><a href=x>{'go ' * rng.randint(1, 9)}</a></li>", "<div><p>short</p></div>"]) for _ in range(rng.randint(1, 10))]
+        blocks, elements = html_main.blocks_of("<body>" + "".join(parts))
+        odds, edges = html_main.costs(blocks, elements)
+        cost = lambda keep: sum(max(x, 0) if not k else max(-x, 0) for x, k in zip(odds, keep)) + sum(w for a, b, w in edges if keep[a] != keep[b])  # noqa: B023, E731
+        found = html_main.min_cut(odds, edges)
+        assert abs(cost(found) - min(map(cost, itertools.product((True, False), repeat=len(odds))))) < 0.01
+        moved += found != [x > 0 for x in odds]
+    assert moved
+
+
+def test_html_long_and_odd_pages():
+    import time
+
+    page = "<body>" + "".join(f"<div class=ad>Buy {i}</div><p>Some text of some words that is long enough to count as content number {i}.</p>" for i in range(4000))
+    start = time.time()
+    assert html_main.main_text(page).count("\n\n") == 3999
+    html_main.main_text("<div>" * 8000 + "x")
+    assert time.time() - start < 5
+    text = "The first of many words that this article has about rivers and how they came to run."
+    for part in ('<div class="content-form"><p>{}</p></div>', '<section id="related-work"><p>{}</p></section>', "<svg><g><svg></svg><text>lost</text></svg><p>{}</p>", "<svg><g><p>{}</p>", '<p>{}</p><div class="comments"><p>' + "A reader's long comment. " * 30 + "</p></div>"):
+        assert html_main.main_text(f"<body><article><h1>Rivers</h1>{part.format(text)}</article></body>") == f"Rivers\n\n{text}", part
+
+
+def test_html_classifier():
+    pages = [f"<article><p>{'word ' * 30}{k}</p></article><nav><li><a href=x>go {k}</a></li></nav>" for k in range(9)]
+    counts = {}
+    for page in pages:
+        for e in html_main.examples(page):
+            counts[e] = counts.get(e, 0) + 1
+    fitted = html_main.learn(counts)
+    assert fitted[1] > 0 > fitted[2] and (html_main.learn({}) == html_main.WEIGHTS).all()
+    assert fitted @ html_main.features(*_only("<p>" + "word " * 20)) > 0 > fitted @ html_main.features(*_only("<li><a href=x>go"))
+
+
+def _only(page):
+    blocks, elements = html_main.blocks_of(page)
+    return blocks[0], elements[blocks[0].element]
+
+
+def test_toxicity_conflicts_ties_and_names(spark):
+    docs = spark.createDataFrame([(k, f"t{k % 2} w{k}", 0, 0) for k in range(60)] + [(7, "t1 again", 0, 0), (None, "t0", 0, 0)], "doc_id long, text string, _id int, _y int")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(3, 0), (5, None), (9, 7), (None, 1)], "doc_id long, toxic int")
+    rows = toxicity.labelled_rows(docs, labels)
+    assert {r.doc_id: r.toxic for r in rows.collect()} == {k: k % 2 for k in range(60)} and rows.count() == 61
+    first, again = toxicity.fit(rows), toxicity.fit(rows.repartition(7))
+    assert first[0] == again[0] and (first[2] == again[2]).all()
+    assert toxicity.labelled_rows(docs, labels, sample_bytes=100).count() < 61
+    scored = toxicity.score(docs, first, keep=("_id", "text"))
+    assert scored.columns == ["doc_id", "_id", "text", "score"] and scored.count() == 62
+
+
+def test_sample_of_very_many_rows(spark):
+    from weftgraph.llm._frame import sampled
+
+    ids = spark.range(200_000)
+    assert ids.where(sampled("id", 10, 2 * 10**13)).count() == 0
+    assert 900 < ids.where(sampled("id", 10**11, 2 * 10**13)).count() < 1100
+
+
+def test_bpe_caches_and_documents(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1000)
+    monkeypatch.setattr(bpe, "CACHE_STEPS", 5)
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 5)
+    library = Tokenizer.from_file(queries.VOCABULARY)
+    with open(queries.VOCABULARY, "rb") as file:
+        model = bpe.TrieBpe(file.read())
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect()] + ["x" * 5000, "long" * 3000 + " word"]
+    for k in range(0, len(texts), 20):
+        got = model.encode(texts[k : k + 20])
+        assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts[k : k + 20]]
+    assert not [w for w in model.words if len(w) > bpe.LONG]

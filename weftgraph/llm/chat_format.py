@@ -24,6 +24,23 @@ def turns(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
     return conversations.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.sort_array(F.collect_list(row)).alias("turns"))
 
 
+def other_replies(convs: DataFrame, id_col: str = "conv_id") -> tuple[DataFrame, DataFrame]:
+    """Preference pairs of a table that has none: chosen and rejected conversations, both as ``turns`` gives them.
+
+    A conversation up to its last assistant turn is chosen; rejected is the same with the last reply of the
+    conversation with the next id in its place (an empty one if there is none). A conversation without an
+    assistant's turn is on both sides as it is, so none is lost.
+    """
+    place = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i)))
+    found = convs.select(F.col(id_col).cast("long").alias("c"), "turns", place.alias("k"))
+    chosen = found.select("c", "k", F.when(F.col("k").isNull(), F.col("turns")).otherwise(F.slice("turns", F.lit(1), F.coalesce(F.col("k"), F.lit(0)) + 1)).alias("turns"))
+    replies = found.where("k IS NOT NULL").select((F.col("c") - 1).alias("c"), F.get("turns", F.col("k"))["text"].alias("reply"))
+    last = F.get("turns", F.col("k"))
+    instead = F.array(F.struct(last["turn"].alias("turn"), last["role"].alias("role"), F.coalesce("reply", F.lit("")).alias("text")))
+    rejected = chosen.join(replies, "c", "left").withColumn("turns", F.when(F.col("k").isNull(), F.col("turns")).otherwise(F.concat(F.slice("turns", F.lit(1), F.coalesce(F.col("k"), F.lit(0))), instead)))
+    return tuple(x.select(F.col("c").alias(id_col), "turns") for x in (chosen, rejected))
+
+
 def pair_neighbours(convs: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """``chosen_id, rejected_id``: conversations 2k and 2k+1, where a table stores the pairs one after the other.
 
@@ -51,13 +68,14 @@ def _mask(xs: Column) -> Column:
     return F.aggregate(xs, start, step, lambda acc: F.array_join(acc["spans"], ","))
 
 
-def preferences(convs: DataFrame, pairs: DataFrame, id_col: str = "conv_id") -> DataFrame:
+def preferences(convs: DataFrame, pairs: DataFrame, id_col: str = "conv_id", rejected: DataFrame | None = None) -> DataFrame:
     """``chosen_id, rejected_id, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask``.
 
-    ``convs`` is what ``turns`` returns; pairs that name no conversation are left out.
+    ``convs`` is what ``turns`` returns, and so is ``rejected``, where the rejected conversations are in a table of their
+    own; pairs that name no conversation are left out.
     """
     a = convs.select(F.col(id_col).cast("long").alias("chosen_id"), F.col("turns").alias("x"))
-    b = convs.select(F.col(id_col).cast("long").alias("rejected_id"), F.col("turns").alias("y"))
+    b = (convs if rejected is None else rejected).select(F.col(id_col).cast("long").alias("rejected_id"), F.col("turns").alias("y"))
     both = pairs.join(a, "chosen_id").join(b, "rejected_id")
     same = F.zip_with("x", "y", lambda s, t: F.coalesce((s["role"] == t["role"]) & (s["text"] == t["text"]), F.lit(False)))
     n = F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same).cast("long"))

@@ -2,7 +2,7 @@
 
 Words (ASCII letters and digits and everything beyond ASCII, ASCII lower-cased) become templates:
 numbers become ``<number>``, a unit after a number ``<unit>``, a capitalised word inside a sentence
-``<name>``; a run of names is one placeholder. Windows of ``width`` template words of the benchmark
+``<name>``; a run of names is one placeholder. A line feed is a blank, an empty line ends a sentence. Windows of ``width`` template words of the benchmark
 items are joined by hash with those of every document. Windows that share an item and a diagonal form
 an alignment; the words of its whole diagonal are compared exactly, and its slots must be consistent:
 one value of the item always meets the same value of the document and the other way round.
@@ -40,7 +40,7 @@ _DIGIT[48:58] = True
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
 _STOP = np.zeros(256, dtype=bool)
-_STOP[[0x0A, 0x0D, 0x21, 0x2E, 0x3A, 0x3F]] = True
+_STOP[[0x21, 0x2E, 0x3A, 0x3F]] = True
 
 
 class Words:
@@ -82,7 +82,9 @@ class Template(Words):
             super().__init__(text, h, np.empty(0, np.int8), starts, ends, h)
             return
         other = np.concatenate(([0], np.cumsum(~digit & ~apart & (buf != 0x2C) & (buf != 0x2E))))
-        stops = np.concatenate(([0], np.cumsum(_STOP[buf])))
+        stop = _STOP[buf]
+        stop[1:] |= (buf[1:] == 0x0A) & (buf[:-1] == 0x0A)  # a wrapped line goes on, an empty one ends
+        stops = np.concatenate(([0], np.cumsum(stop)))
         number = digit[starts] & (other[ends] == other[starts])
         after = np.concatenate(([not inside], stops[starts[1:]] > stops[ends[:-1]]))
         name = _UPPER[buf[starts]] & ~after
@@ -101,13 +103,19 @@ UNIT_HASHES = np.unique(np.concatenate([hash_spans(np.frombuffer(u.encode(), np.
 def consistent_runs(doc: Words, item: Words, shift: int, least: int) -> Iterator[tuple[int, int, bool]]:
     """Longest runs of at least ``least`` item places, on the whole diagonal, that agree with the document: from, to (exclusive), and whether all values are equal.
 
-    A word also agrees with itself where only one side takes it as a slot, as at the beginning of a sentence.
+    A word also agrees with itself where only one side takes it as a slot, as at the beginning of a sentence; and
+    with a name of the item, if the document has no capital letter where the item would stand.
     """
     at, upto = max(0, -shift), min(len(item), len(doc) - shift)
     if upto - at < least:
         return
     there, here = slice(at + shift, upto + shift), slice(at, upto)
     agrees = (doc.hash[there] == item.hash[here]) | ((doc.own[there] == item.own[here]) & (item.own[here] != 0))
+    lowered = (item.kind[here] == 3) & (doc.kind[there] == 0)
+    if lowered.any():
+        stands = doc.text[doc.starts[at + shift] : doc.ends[upto + shift - 1]]
+        if not _UPPER[np.frombuffer(stands, np.uint8)].any():
+            agrees |= lowered
     edge = np.diff(np.concatenate(([0], agrees.view(np.int8), [0])))
     for a, z in zip(np.flatnonzero(edge == 1) + at, np.flatnonzero(edge == -1) + at, strict=True):
         if z - a >= least:

@@ -40,8 +40,9 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    convs = chat_format.turns(table(spark, sf_dir, "conversations"))
-    return chat_format.preferences(convs, chat_format.pair_neighbours(convs))
+    chosen, rejected = chat_format.other_replies(chat_format.turns(table(spark, sf_dir, "conversations")))
+    pairs = chosen.select(F.col("conv_id").alias("chosen_id"), F.col("conv_id").alias("rejected_id"))
+    return chat_format.preferences(chosen, pairs, rejected=rejected)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,13 +100,16 @@ WITH t AS (
   SELECT conv_id, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS k
   FROM conversations WHERE conv_id IS NOT NULL),
-p AS (SELECT min(conv_id) AS chosen_id, max(conv_id) AS rejected_id FROM t GROUP BY conv_id >> 1 HAVING min(conv_id) < max(conv_id)),
-s AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
-d AS (SELECT p.*, coalesce((SELECT min(x.k) FROM t x LEFT JOIN t y ON y.conv_id = p.rejected_id AND y.k = x.k AND y.role = x.role AND y.text = x.text
-                           WHERE x.conv_id = p.chosen_id AND y.k IS NULL) - 1, (SELECT n FROM s WHERE conv_id = p.chosen_id)) AS n_common FROM p),
-r AS (SELECT d.*, side.c AS side, t.k, t.role, t.text,
-             '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10) AS shown
-      FROM d CROSS JOIN (VALUES (0), (1)) side(c) JOIN t ON t.conv_id = CASE side.c WHEN 0 THEN d.chosen_id ELSE d.rejected_id END),
+a AS (SELECT conv_id, max(k) FILTER (WHERE role = 'assistant') AS last FROM t GROUP BY conv_id),
+y AS (SELECT t.conv_id, t.text FROM t JOIN a ON a.conv_id = t.conv_id AND a.last = t.k),
+s AS (SELECT t.conv_id, 0 AS side, t.k, t.role, t.text FROM t JOIN a USING (conv_id) WHERE a.last IS NULL OR t.k <= a.last
+      UNION ALL SELECT t.conv_id, 1, t.k, t.role, t.text FROM t JOIN a USING (conv_id) WHERE a.last IS NULL OR t.k < a.last
+      UNION ALL SELECT a.conv_id, 1, a.last, 'assistant', coalesce(y.text, '') FROM a LEFT JOIN y ON y.conv_id = a.conv_id + 1 WHERE a.last IS NOT NULL),
+d AS (SELECT x.conv_id AS chosen_id, x.conv_id AS rejected_id,
+             coalesce(min(x.k) FILTER (WHERE x.role <> z.role OR x.text <> z.text) - 1, count(*))::BIGINT AS n_common
+      FROM s x JOIN s z ON z.conv_id = x.conv_id AND z.k = x.k AND z.side = 1 WHERE x.side = 0 GROUP BY x.conv_id),
+r AS (SELECT d.*, s.side, s.k, s.role, s.text, '<|im_start|>' || s.role || chr(10) || s.text || '<|im_end|>' || chr(10) AS shown
+      FROM d JOIN s ON s.conv_id = d.chosen_id),
 q AS (SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY chosen_id, side ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM r WHERE k > n_common)
 SELECT d.chosen_id, d.rejected_id, d.n_common,
