@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._frame import over_texts
 
-CACHE_BYTES, LONG, CACHE_STEPS, CACHE_PAIRS = 48_000_000, 200, 150_000, 300_000
+CACHE_BYTES, LONG, CACHE_STEPS, CACHE_PAIRS = 24_000_000, 200, 100_000, 150_000
 
 #: Fixed value: the white space of the public byte-level splitting pattern (Unicode White_Space).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
