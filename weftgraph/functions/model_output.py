@@ -18,12 +18,12 @@ def json_part(text: Column) -> Column:
 
 
 def repaired(text: Column) -> Column:
-    """Doubled braces, trailing commas, single quotes, bare keys and inner line breaks put right, in this order."""
+    """Doubled braces, trailing commas, single quotes, bare keys and inner line breaks put right, in this order; the patterns are fixed values."""
     out = F.replace(F.replace(text, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
     out = F.regexp_replace(out, r",\s*([}\]])", "$1")
-    out = F.replace(out, F.lit("'"), F.lit('"'))
-    out = F.regexp_replace(out, r"([{,]\s*)([A-Za-z_]\w*)\s*:", '$1"$2":')
-    return F.regexp_replace(out, r"\n", " ")
+    out = F.regexp_replace(out, r"""(?<![\\"'])'([^']*)'(?![\\"'])""", '"$1"')
+    out = F.regexp_replace(out, r'(?<!")(\b\w+\b)\s*:', '"$1":')
+    return F.regexp_replace(out, r"(?<=\S)\n(?=\S)", " ")
 
 
 def parsed(text: Column, schema: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.text import cosine
+from weftgraph.operators.blocks import top_k
 from weftgraph.operators.resolution import leader_clusters
 
 #: Fixed value: the mandatory fields, in the order in which they make up an id.
@@ -20,9 +20,9 @@ def with_unique_id(metadata: DataFrame, fields: tuple[str, ...] = MANDATORY) ->
 
 def insert_new(existing: DataFrame, new: DataFrame, threshold: float = 0.95) -> DataFrame:
     """``existing`` and those rows of ``new`` (``id, name, vec``) that are like none of them and like no new one kept
-    before (by id). Compares pairs; the table is one row a community."""
-    like = F.coalesce(cosine(F.col("vec"), F.col("_v")) >= threshold, F.lit(False))
-    fresh = new.join(existing.select(F.col("vec").alias("_v")), like, "left_anti")
+    before (by id)."""
+    like = top_k(new, existing, 1, threshold).select(F.col("query_id").alias("id"))
+    fresh = new.join(like, "id", "left_anti")
     kept = leader_clusters(fresh, threshold, threshold, threshold).where("status = 'rep'").select("id")
     return existing.unionByName(fresh.join(kept, "id", "left_semi").select(existing.columns))
 

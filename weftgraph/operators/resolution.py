@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.text import cosine, has_digit
+from weftgraph.functions.text import has_digit
 from weftgraph.plans.materialize import materialize
 
-
-def knn(queries: DataFrame, points: DataFrame, k: int, threshold: float, where: Column | None = None) -> DataFrame:
-    """``query_id, id, score``: at most ``k`` points for each query, the best first, of those >= threshold.
-
-    The stated queries are held against all points. The side of the queries is broadcast by Spark where its size allows.
-    """
-    own = points if where is None else points.where(where)
-    pairs = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("q")).crossJoin(own.select("id", "vec"))
-    scored = pairs.select("query_id", "id", cosine(F.col("q"), F.col("vec")).alias("score")).where(F.col("score") >= threshold)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def similar_pairs(items: DataFrame, threshold: float) -> DataFrame:
-    """``i, j, score`` of the pairs j < i with cosine >= threshold."""
-    a = items.select(F.col("id").alias("i"), F.col("vec").alias("x"))
-    b = items.select(F.col("id").alias("j"), F.col("vec").alias("y"))
-    return a.join(b, F.col("j") < F.col("i")).select("i", "j", cosine(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= threshold)
+from .blocks import similar_pairs
 
 
 def leader_clusters(items: DataFrame, candidate: float = 0.65, alias: float = 0.95, digit_alias: float = 0.999) -> DataFrame:

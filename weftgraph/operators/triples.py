@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import strip, uuid5_zero
@@ -79,9 +79,63 @@ def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return existing.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def latest(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def merge_evidence(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Evidence points (``id, quote_en, community_id, chunk_id, entities, predicates``): those with one English quote, community
+    and chunk are one, with the sorted union of their lists and the id that was there first."""
+    rows = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    lists = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    found = rows.groupBy("quote_en", "community_id", "chunk_id").agg(F.min(F.struct("_new", "id")).alias("b"), lists("entities"), lists("predicates"))
+    return found.select("b.id", "quote_en", "community_id", "chunk_id", "entities", "predicates", (F.col("b._new") == 1).alias("is_new"))
+
+
+def evidence_points(evidence: DataFrame) -> DataFrame:
+    """Texts to embed: ``dense_text`` (English, else as it is, else a marker) and ``sparse_th`` where another language stands beside."""
+    filled = lambda c: F.when(F.trim(c) != "", F.col(c))
+    marker = F.lit("[no evidence]")
+    own = F.coalesce(filled("quote_en"), filled("evidence_quote"), marker)
+    return evidence.withColumns({"dense_text": own, "sparse_text": own, "thai_text": F.when(filled("evidence_quote").isNotNull() & (filled("evidence_quote") != F.coalesce(filled("quote_en"), F.lit(""))), F.col("evidence_quote"))})
+
+
+#: Keys of a triple's properties that do not go to the edge.
+EVIDENCE_KEYS = ["evidence_quote", "evidence_quote_en", "causal_link"]
+
+
+def graph_nodes(triples: DataFrame) -> DataFrame:
+    """``canonical_id, name, type`` from triples (``pos, subject, object`` with ``name, name_en, canonical_id, label, type``):
+    the id is made from the name where there is none, the first by position and role gives name and type (``Entity`` without any)."""
+    ends = triples.select("pos", F.posexplode(F.array("subject", "object")).alias("role", "e")).select("pos", "role", "e.*").where("name IS NOT NULL")
+    filled = lambda c: F.when(F.col(c) != "", F.col(c))
+    node = ends.select(F.coalesce(filled("canonical_id"), uuid5_zero(F.coalesce(filled("name_en"), "name"))).alias("canonical_id"), "pos", "role", "name", F.coalesce(filled("label"), filled("type"), F.lit("Entity")).alias("type"))
+    return first_by(node, ["canonical_id"], ["pos", "role"]).select("canonical_id", "name", "type")
+
+
+def graph_edges(triples: DataFrame) -> DataFrame:
+    """Edge rows ``pos, src, edge_type, dst, community_id, chunk_id, properties`` of triples; ``error`` says what one lacks."""
+    kept = F.map_filter(F.coalesce("properties", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, v: ~k.isin(EVIDENCE_KEYS))
+    lacks = lambda c, text: F.when(F.coalesce(F.col(c) == "", F.lit(True)), F.lit(text))
+    error = F.concat_ws("; ", lacks("src", "no subject id"), lacks("dst", "no object id"), lacks("edge_type", "no predicate"))
+    return triples.select("pos", "src", "edge_type", "dst", "community_id", "chunk_id", F.map_concat(kept, F.create_map(F.lit("chunk_id"), F.coalesce(F.col("chunk_id").cast("string"), F.lit("")))).alias("properties"), F.when(error != "", error).alias("error"))
+
+
+def new_edges(rows: DataFrame, nodes: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
+    """The edges that a merge creates: without error, both ends among the nodes, not there yet, the first row of each (src, edge_type, dst)."""
+    ids = nodes.select("canonical_id")
+    keys = ["src", "edge_type", "dst"]
+    own = rows.join(ids.withColumnRenamed("canonical_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("canonical_id", "dst"), "dst", "left_semi")
+    own = own.join(existing.select(keys), keys, "left_anti").withColumn("properties", F.array_sort(F.map_entries("properties")))  # maps have no order
+    return first_by(own, keys, order).withColumn("properties", F.map_from_entries("properties"))
+
+
+def repeated_ids(nodes: DataFrame) -> DataFrame:
+    """``canonical_id, n`` of ids that more than one node has: rows against the uniqueness of ids."""
+    return nodes.groupBy("canonical_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def build_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``entities_created, relationships_created, errors`` of a build."""
+    good = F.col("error").isNull()
+    counts = edges.agg(F.count(F.when(good, 1)).alias("relationships_created"), F.count(F.when(~good, 1)).alias("errors"))
+    return nodes.agg(F.count("*").alias("entities_created")).join(counts)
 
 
 def qualifying_chunks(triples: DataFrame, foreign: Column, by: list[str]) -> DataFrame:

@@ -59,11 +59,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def seeds(nodes: DataFrame) -> DataFrame:
-    return nodes.where(F.col("canonical_id").isin("c:1", "c:2", "c:3", "s:1", "s:2", "n:0", "n:1", "r:1")).select(F.col("canonical_id").alias("id"))
-
-
-SEEDS = "('c:1', 'c:2', 'c:3', 's:1', 's:2', 'n:0', 'n:1', 'r:1')"
 
 
 @query("g04_merge_edges", "SELECT src, edge_type, dst, community_id, chunk_id, line FROM merged")
@@ -71,54 +66,11 @@ def g04(spark, d):
     return graph.merge_edges(views.ordered_rows(spark, d), ["chunk_id", "line"])
 
 
-@query("g01_first_nodes", "SELECT canonical_id, name, type FROM nodes")
-def g01(spark, d):
-    return triples.first_by(views.kg_nodes(spark, d), ["canonical_id"], ["name", "type"])
-
-
-@query("n03_neighbourhood", f"SELECT a AS start, edge_type, b AS connected, community_id, chunk_id FROM geo2 WHERE a IN {SEEDS}")
-def n03(spark, d):
-    return graph.neighbourhood(views.geo_edges(spark, d), seeds(views.kg_nodes(spark, d)))
-
-
-@query("n03_neighbourhood_community", f"SELECT a AS start, edge_type, b AS connected, community_id, chunk_id FROM geo2 WHERE a IN {SEEDS} AND edge_type = 'LOCATED_IN' AND community_id IN ('NATION_0', 'NATION_1')")
-def n03c(spark, d):
-    return graph.neighbourhood(views.geo_edges(spark, d), seeds(views.kg_nodes(spark, d)), ["LOCATED_IN"], ["NATION_0", "NATION_1"])
-
-
-@query("n04_trails", f"""
-, one AS (SELECT src || '|' || edge_type || '|' || dst AS e, src AS a, dst AS b FROM geo UNION ALL SELECT src || '|' || edge_type || '|' || dst, dst, src FROM geo WHERE src <> dst),
-p1 AS (SELECT a AS start, b AS e_, [e] AS es, [a, b] AS ns FROM one WHERE a IN ('c:1', 's:1')),
-p2 AS (SELECT start, b AS e_, list_append(es, e) AS es, list_append(ns, b) AS ns FROM p1 JOIN one ON a = e_ WHERE NOT list_contains(es, e))
-SELECT start, e_ AS "end", len(es)::INTEGER AS length, array_to_string(ns, '>') AS nodes FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2)
-""")
-def n04(spark, d):
-    own = views.kg_nodes(spark, d).where(F.col("canonical_id").isin("c:1", "s:1")).select(F.col("canonical_id").alias("id"))
-    return graph.trails(views.geo_edges(spark, d), own, 2).select("start", "end", "length", F.array_join("nodes", ">").alias("nodes"))
-
-
-@query("n05_shortest_paths", f"""
-, steps AS (SELECT DISTINCT a, b FROM geo2),
-p1 AS (SELECT a AS s, b AS e, [a, b] AS ns FROM steps WHERE a IN {SEEDS}),
-p2 AS (SELECT s, b AS e, list_append(ns, b) AS ns FROM p1 JOIN steps ON a = e), p3 AS (SELECT s, b AS e, list_append(ns, b) AS ns FROM p2 JOIN steps ON a = e),
-p4 AS (SELECT s, b AS e, list_append(ns, b) AS ns FROM p3 JOIN steps ON a = e WHERE b IN {SEEDS}),
-everything AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4)
-SELECT s AS start, e AS "end", min(len(ns) - 1)::INTEGER AS length FROM everything WHERE e IN {SEEDS} AND s <> e GROUP BY s, e
-""")
-def n05(spark, d):
-    return graph.shortest_paths(views.geo_edges(spark, d), seeds(views.kg_nodes(spark, d)), 4).select("start", "end", "length")
-
-
 @query("n06_community_scan", "SELECT src, edge_type, dst, community_id, chunk_id FROM merged WHERE community_id IN ('NATION_0', 'NATION_2')")
 def n06(spark, d):
     return graph.match(graph.merge_edges(views.ordered_rows(spark, d), ["chunk_id", "line"]), communities=["NATION_0", "NATION_2"]).drop("line")
 
 
-@query("n07_pattern", "SELECT src, edge_type, dst, community_id, chunk_id FROM merged WHERE src IN ('c:1', 'c:2', 'c:4', 'c:7') AND edge_type = 'ORDERED'")
-def n07(spark, d):
-    return graph.match(graph.merge_edges(views.ordered_rows(spark, d), ["chunk_id", "line"]), ["c:1", "c:2", "c:4", "c:7"], ["ORDERED"]).drop("line")
-
-
 @query("n08_top_degree", """
 , ends AS (SELECT src AS id FROM merged UNION ALL SELECT dst FROM merged WHERE src <> dst), deg AS (SELECT id, count(*) AS n FROM ends GROUP BY id)
 SELECT canonical_id, name, coalesce(n, 0)::BIGINT AS degree FROM nodes LEFT JOIN deg ON id = canonical_id ORDER BY degree DESC, canonical_id LIMIT 20
@@ -147,11 +99,6 @@ def components(spark, d):
     return connected_components(c.join(first, "c_nationkey").select(F.col("c_custkey").alias("src"), "dst"))
 
 
-@query("h07_self_links", "SELECT NULL::VARCHAR AS canonical_id, 0::BIGINT AS n, 0::DOUBLE AS percent WHERE false")
-def h07(spark, d):
-    return graph.self_links(views.geo_edges(spark, d))
-
-
 #: All edge types, merged; added to ``WITH`` by the queries that need them.
 KG = """
 , supplies AS (
@@ -276,12 +223,6 @@ def d10(spark, d):
     return s.withColumns({c: F.col(c).cast("long") for c in ("min_chunk_size", "max_chunk_size")})
 
 
-@query("d08_range_chunks", "SELECT doc_id, 1 AS chunk_id, regexp_replace(array_to_string(list_slice(string_split(text, chr(10)), 1, 3), chr(10)), '^\\s+|\\s+$', '', 'g') AS content, 1 AS start_line, 3 AS end_line FROM documents WHERE regexp_replace(array_to_string(list_slice(string_split(text, chr(10)), 1, 3), chr(10)), '^\\s+|\\s+$', '', 'g') <> ''")
-def d08(spark, d):
-    docs = table(spark, d, "documents")
-    return chunking.range_chunks(docs, docs.select("doc_id", F.lit(1).alias("chunk_id"), F.lit(1).alias("start"), F.lit(3).alias("end")))
-
-
 @query("d08_range_chunks_whole", """
 , five AS (SELECT doc_id, l, unnest(generate_series(1, len(l), 5)) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
 cut AS (SELECT doc_id, s, least(s + 4, len(l)) AS e, regexp_replace(array_to_string(list_slice(l, s, s + 4), chr(10)), '^\\s+|\\s+$', '', 'g') AS content FROM five)
@@ -316,13 +257,6 @@ def j03(spark, d):
     return table(spark, d, "events").select("event_id", model_output.parsed(dirty, "k bigint")["k"].alias("k"))
 
 
-@query("j05_chunk_ranges", "SELECT doc_id, 1 AS id, 1::BIGINT AS start, 1::BIGINT AS \"end\" FROM documents UNION ALL SELECT doc_id, 2, 2, 5 FROM documents UNION ALL SELECT doc_id, 3, 6, 9 FROM documents")
-def j05(spark, d):
-    given = F.from_json(F.lit('{"chunks":[{"id":2,"start":6,"end":40},{"id":1,"start":2,"end":3},{"id":9,"start":12,"end":14},{"id":4,"start":5,"end":4}]}'), model_output.RANGES)["chunks"]
-    out = table(spark, d, "documents").select("doc_id", F.explode(model_output.chunk_ranges(given, F.lit(9).cast("long"))).alias("r"))
-    return out.select("doc_id", "r.id", "r.start", "r.end")
-
-
 @query("j05_chunk_ranges_whole", """
 , n AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents),
 s AS (SELECT doc_id, n, 1 AS s, 1 AS e FROM n WHERE n > 1 UNION ALL SELECT doc_id, n, s, least(s + 3, n) FROM (SELECT doc_id, n, unnest(generate_series(2, n - 1, 7)) AS s FROM n) UNION ALL SELECT doc_id, n, n, n FROM n)
@@ -381,13 +315,14 @@ def x08(spark, d):
     return out.select("doc_id", "triple_no", "subject", "subject_en", "object", "object_en")
 
 
-@query("o01_refined", "SELECT doc_id, triple_no, subject, CASE WHEN length(subject) > 2 THEN 'k:' || subject ELSE subject END AS subject_name, object, CASE WHEN length(object) > 2 THEN 'k:' || object ELSE object END AS object_name, predicate AS predicate_name FROM raw")
+@query("o01_refined", "SELECT doc_id, triple_no, subject, CASE WHEN length(subject) > 2 THEN 'k:' || subject ELSE subject END AS subject_name, object, CASE WHEN length(object) > 2 THEN 'k:' || object ELSE object END AS object_name, CASE WHEN length(predicate) > 3 AND doc_id % 2 = 0 THEN 'p:' || predicate ELSE predicate END AS predicate_name FROM raw")
 def o01(spark, d):
     t = views.raw_triples(spark, d).withColumn("community_id", F.col("doc_id").cast("string"))
     names = t.select(F.col("subject").alias("name")).unionAll(t.select("object")).distinct().where(F.length("name") > 2)
     entities = names.select("name", F.concat(F.lit("k:"), "name").alias("canonical"), text.uuid5_zero(F.col("name")).alias("canonical_id"))
-    none = t.select(F.col("predicate").alias("name"), "community_id", F.col("predicate").alias("canonical"), F.lit(None).cast("string").alias("canonical_id")).where("false")
-    return triples.refined(t, entities, none).select("doc_id", "triple_no", "subject", "subject_name", "object", "object_name", "predicate_name")
+    predicates = t.where((F.length("predicate") > 3) & (F.col("doc_id") % 2 == 0)).select(F.col("predicate").alias("name"), "community_id").distinct()
+    predicates = predicates.select("name", "community_id", F.concat(F.lit("p:"), "name").alias("canonical"), text.uuid5_zero(F.col("name")).alias("canonical_id"))
+    return triples.refined(t, entities, predicates).select("doc_id", "triple_no", "subject", "subject_name", "object", "object_name", "predicate_name")
 
 
 @query("k06_replace_chunk", "SELECT doc_id, triple_no, chunk_id, CASE WHEN chunk_id = 1 THEN 'new' ELSE subject END AS subject FROM raw")
@@ -593,8 +528,8 @@ def h05(spark, d):
     return diagnostics.word_overlap(words("documents"), words("benchmark")).withColumn("percent", F.round("percent", 6))
 
 
-@query("m07_metadata_text", "SELECT s_suppkey, 'Title: ' || s_name || ' | Village: ' || s_nationkey AS label FROM supplier")
-def m07(spark, d):
+@query("v14_metadata_text", "SELECT s_suppkey, 'Title: ' || s_name || ' | Village: ' || s_nationkey AS label FROM supplier")
+def v14(spark, d):
     none = F.lit("")
     return table(spark, d, "supplier").select("s_suppkey", text.metadata_text(F.col("s_name"), none, none, F.col("s_nationkey").cast("string"), none, none).alias("label"))
 
@@ -715,3 +650,10 @@ def p11(spark, d):
     raw = views.raw_triples(spark, d).select(F.col("doc_id").alias("community_id"), F.explode(F.array("subject", "object")).alias("raw_name"))
     links = raw.where(F.length("raw_name") > 6).select("raw_name", F.concat(F.lit("k:"), F.lower("raw_name")).alias("canonical_id")).distinct()
     return retrieval.ids_by_community(raw, links).select("community_id", F.array_join("ids", ",").alias("ids"))
+
+
+@query("m07_labels", "SELECT s_suppkey, coalesce(nullif(concat_ws(' / ', CASE WHEN s_suppkey % 3 <> 0 THEN s_name END, CASE WHEN s_suppkey % 2 = 0 THEN 'N' || s_nationkey END), ''), 'u' || s_suppkey) AS label FROM supplier")
+def m07(spark, d):
+    k = F.col("s_suppkey")
+    fields = [F.when(k % 3 != 0, F.concat(F.lit(" "), "s_name")).otherwise(" "), F.when(k % 2 == 0, F.concat(F.lit("N"), "s_nationkey"))]
+    return table(spark, d, "supplier").select(k, communities.label(fields, F.concat(F.lit("u"), k)).alias("label"))
