@@ -39,6 +39,8 @@ _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
+_POINT = np.zeros(256, dtype=bool)
+_POINT[[0x2C, 0x2E]] = True
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[0x21, 0x2E, 0x3A, 0x3F]] = True
 
@@ -75,26 +77,31 @@ class Template(Words):
         apart = WORDS[buf]
         digit = _DIGIT[buf]
         if len(buf) > 2:  # a point or comma between digits belongs to the number
-            apart[1:-1] &= ~(np.isin(buf[1:-1], (0x2C, 0x2E)) & digit[:-2] & digit[2:])
+            apart[1:-1] &= ~(_POINT[buf[1:-1]] & digit[:-2] & digit[2:])
         starts, ends, h = hash_spans(buf, ~apart)
         self.raw = Words(text, h, np.zeros(len(h), np.int8), starts, ends, h)
         if not len(starts):
             super().__init__(text, h, np.empty(0, np.int8), starts, ends, h)
             return
-        other = np.concatenate(([0], np.cumsum(~digit & ~apart & (buf != 0x2C) & (buf != 0x2E))))
+        other = np.concatenate(([0], np.cumsum(~(digit | apart | _POINT[buf]))))
         stop = _STOP[buf]
         stop[1:] |= (buf[1:] == 0x0A) & (buf[:-1] == 0x0A)  # a wrapped line goes on, an empty one ends
         stops = np.concatenate(([0], np.cumsum(stop)))
         number = digit[starts] & (other[ends] == other[starts])
         after = np.concatenate(([not inside], stops[starts[1:]] > stops[ends[:-1]]))
         name = _UPPER[buf[starts]] & ~after
-        unit = np.concatenate(([False], number[:-1])) & np.isin(h, UNIT_HASHES)
-        kind = np.select((number, unit, name), (1, 2, 3), 0).astype(np.int8)
+        kind = name.astype(np.int8) * np.int8(3)
+        behind = np.flatnonzero(number[:-1]) + 1
+        kind[behind[np.isin(h[behind], UNIT_HASHES)]] = 2
+        kind[number] = 1
         first = ~((kind == 3) & np.concatenate(([False], (kind[:-1] == 3) & ~after[1:])))
         last = np.concatenate((np.flatnonzero(first)[1:] - 1, [len(first) - 1]))
         own = np.where(last == np.flatnonzero(first), h[first], np.uint64(0))
         kind = kind[first]
-        super().__init__(text, np.select((kind == 1, kind == 2, kind == 3), (NUMBER, UNIT, NAME), h[first]), kind, starts[first], ends[last], own)
+        slots = h[first]
+        for k, value in ((1, NUMBER), (2, UNIT), (3, NAME)):
+            slots[kind == k] = value
+        super().__init__(text, slots, kind, starts[first], ends[last], own)
 
 
 UNIT_HASHES = np.unique(np.concatenate([hash_spans(np.frombuffer(u.encode(), np.uint8), np.ones(len(u), bool))[2] for u in UNITS]))
