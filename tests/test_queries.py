@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from weftgraph import registry_queries  # noqa: F401  (registers its queries)
+from weftgraph import extraction_queries, registry_queries  # noqa: F401  (register their queries)
 from weftgraph.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -80,3 +80,54 @@ def surrounding(chunks: DataFrame, anchors: DataFrame, window: int = 2, by: str
     """Chunks within ``window`` ids of an anchor: the range is unrolled, so the join has equal keys."""
     wanted = anchors.select(by, F.col("chunk_id").alias("anchor"), F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("chunk_id") - window), F.col("chunk_id") + window)).alias("chunk_id"))
     return wanted.join(chunks, [by, "chunk_id"])
+
+
+def section_size(sizes: list[int], first: int = 1000, least: int = 100, context: int = 1000, most: int = 50_000, overlap: int = 50) -> int:
+    """Lines of a section, given the characters of the lines: as many as fit the tokens, tried in steps of a fifth less, and the overlap."""
+    n = len(sizes)
+    size = min(n, first)
+    while size > least:
+        if (sum(sizes[:size]) + max(size - 1, 0)) // 4 + context <= most:
+            return min(size + overlap, n)
+        size = int(size * 0.8)
+    return max(size, least)
+
+
+def section_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, size``: the section size of each document; only the lengths of its lines go to Python."""
+    size = F.udf(lambda x: section_size(list(x)), "int", useArrow=True)
+    return docs.where(F.col(text_col).isNotNull()).select(id_col, size(F.transform(F.split(text_col, "\n"), F.length)).alias("size"))
+
+
+def absolute_ranges(ranges: DataFrame) -> DataFrame:
+    """A section's ranges (``section_start, start, end``, counted within it) as lines of the document."""
+    shift = F.col("section_start") - 1
+    return ranges.withColumns({"start": F.col("start") + shift, "end": F.col("end") + shift})
+
+
+def chunked(docs: DataFrame, answer, id_col: str = "doc_id", text_col: str = "text", tries: int = 3) -> DataFrame:
+    """``id_col, chunk_id, content, start_line, end_line``: chunks where the injected ``answer(numbered text)`` puts them.
+
+    It returns ``(start, end)`` pairs; after ``tries`` failures, or where it gives none, headers begin chunks. A blank document is an error.
+    """
+
+    @F.udf("array<struct<start: bigint, end: bigint>>", useArrow=True)
+    def asked(text: str) -> list[tuple[int, int]]:
+        if not text.strip():
+            raise ValueError("a document without text")
+        for _ in range(tries):
+            try:
+                return [tuple(map(int, x)) for x in answer("\n".join(f"[{k:04d}] {x}" for k, x in enumerate(text.split("\n"), 1)))]
+            except Exception:  # noqa: BLE001 - whatever the injected model raises is tried again
+                continue
+        return []
+
+    from weftgraph.functions.model_output import chunk_ranges
+    from weftgraph.plans.materialize import materialize
+
+    rows = materialize(docs.select(id_col, text_col, asked(text_col).alias("_a")), "answers")  # the model is asked once
+    rows = rows.select(id_col, text_col, chunk_ranges(F.col("_a"), F.size(F.split(text_col, "\n")).cast("long")).alias("_r"))
+    found = rows.where(F.size("_r") > 0)
+    own = range_chunks(found.select(id_col, text_col), found.select(id_col, F.explode("_r").alias("r")).select(id_col, F.col("r.id").cast("int").alias("chunk_id"), "r.start", "r.end"), id_col, text_col)
+    plain = header_chunks(lines_of(rows.where(F.size("_r") == 0), id_col, text_col), F.col("text").startswith("#"), id_col)
+    return own.select(plain.columns).unionAll(plain)

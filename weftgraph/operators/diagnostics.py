@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.plans.materialize import materialize
+
 
 def chunk_coverage(chunks: DataFrame, triples: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_id")) -> DataFrame:
     """For each chunk: characters, triples, quotes, distinct quotes and their characters as a percentage of the chunk's."""
@@ -43,3 +45,30 @@ def word_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """Distinct words (column ``word``) of both sides, and the share of the first side's in per cent."""
     x, y = a.select("word").distinct(), b.select("word").distinct().withColumn("hit", F.lit(1))
     return x.join(y, "word", "left").agg(F.count("*").alias("n_words"), F.sum(F.coalesce("hit", F.lit(0))).alias("n_shared"), (F.sum(F.coalesce("hit", F.lit(0))) * 100.0 / F.count("*")).alias("percent"))
+
+
+def sentence_coverage(sentences: DataFrame, quotes: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys, n_sentences, n_covered, percent``: sentences that a quote of the same keys holds, or of which it holds a run of three words.
+
+    ``sentences`` has ``text``, ``quotes`` ``evidence_quote``; compared in lower case within one key, three-word runs by equal keys.
+    """
+    words = lambda c: F.split(F.trim(c), r"\s+").alias("w")
+    s = sentences.select(*keys, F.lower(F.trim("text")).alias("s")).where("s <> ''").select("*", words("s")).withColumn("_k", F.monotonically_increasing_id())
+    s = materialize(s, "sentences")  # so the numbers stay, and words are split once
+    q = quotes.select(*keys, F.lower("evidence_quote").alias("q")).where("trim(q) <> ''").distinct()
+    q = materialize(q.select("*", words("q")), "quotes")
+    run = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " "))
+    own = q.select(*keys, F.explode(run).alias("g")).distinct()
+    runs = s.where(F.size("w") > 3).select(*keys, "_k", F.explode(run).alias("g"))
+    hit = runs.join(own, [*keys, "g"], "left_semi").select("_k")
+    short = s.where(F.size("w") <= 3).drop("w").join(q, list(keys)).where(F.expr("contains(q, s)")).select("_k")
+    marked = s.join(hit.unionAll(short).distinct().withColumn("_hit", F.lit(1)), "_k", "left")
+    return marked.groupBy(*keys).agg(F.count("*").alias("n_sentences"), F.count("_hit").alias("n_covered")).withColumn("percent", F.col("n_covered") * 100.0 / F.col("n_sentences"))
+
+
+def compared(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``key, column, left_value, right_value, status`` (``same``, ``differs``, ``left only``, ``right only``) of the fields of two stores."""
+    flat = lambda df, name: df.select(key, *(F.col(c).cast("string").alias(c) for c in columns)).unpivot([key], columns, "column", name)
+    both = flat(left, "left_value").join(flat(right, "right_value"), [key, "column"], "full")
+    a, b = F.col("left_value"), F.col("right_value")
+    return both.withColumn("status", F.when(a.eqNullSafe(b), "same").when(b.isNull(), "left only").when(a.isNull(), "right only").otherwise("differs"))

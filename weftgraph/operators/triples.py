@@ -147,3 +147,61 @@ def translated_chunks(triples: DataFrame, by: list[str], roles: tuple[str, ...]
     """``by, complete``: whether every field with a value has a translation that is not blank and no echo."""
     bad = [(F.trim(F.coalesce(r, F.lit(""))) != "") & failed_translation(F.col(r), F.col(f"{r}_en")) for r in roles]
     return triples.groupBy(*by).agg((~F.max(F.greatest(*(b.cast("int") for b in bad)).cast("boolean"))).alias("complete"))
+
+
+def stamped(triples: DataFrame, community: Column, chunk: Column) -> DataFrame:
+    """Triples with the community and chunk they come from."""
+    return triples.withColumns({"community_id": community.cast("string"), "chunk_id": chunk.cast("string")})
+
+
+def one_chunk(chunks: DataFrame, chunk_id: object) -> DataFrame:
+    """The chunk to extract again; an error if there is none."""
+    own = chunks.where(F.col("chunk_id") == F.lit(chunk_id))
+    if own.isEmpty():
+        raise ValueError(f"no chunk {chunk_id}")
+    return own
+
+
+def without_english(triples: DataFrame, english: tuple[str, ...] = ("subject_en", "predicate_en", "object_en", "relationship_attributes_en", "evidence_quote_en")) -> DataFrame:
+    """Triples before a translation: English fields that are there become null."""
+    return triples.withColumns({c: F.lit(None).cast(triples.schema[c].dataType) for c in english if c in triples.columns})
+
+
+def translated(words: DataFrame, translate, rounds: int = 2) -> DataFrame:
+    """``role, value, value_en`` of a dictionary (``role, value``): the injected ``translate(values) -> list`` gets batches of values,
+    then at most ``rounds`` times those whose translation is missing, blank or an echo. What fails to the end stays null."""
+    import pandas as pd
+
+    from weftgraph.plans.materialize import materialize
+
+    def run(batches):
+        for b in batches:
+            try:
+                english = list(translate(b["value"].tolist()))
+            except Exception:  # noqa: BLE001 - whatever the injected translator raises fails this batch, which is tried again
+                english = [None] * len(b)
+            yield pd.DataFrame({"role": b["role"], "value": b["value"], "value_en": english})
+
+    done, left = None, words.select("role", "value")
+    for turn in range(rounds + 1):
+        found = materialize(left.mapInPandas(run, "role string, value string, value_en string"), "translated")
+        bad = failed_translation(F.col("value"), F.col("value_en"))
+        good = found.where(~bad)
+        done = good if done is None else done.unionAll(good)
+        left = found.where(bad).select("role", "value")
+        if left.isEmpty():
+            return done
+    return done.unionAll(left.withColumn("value_en", F.lit(None).cast("string")))
+
+
+def translate_chunks(triples: DataFrame, translate, by: list[str], roles: tuple[str, ...] = ("subject", "predicate", "object"), foreign: Column | None = None) -> DataFrame:
+    """All triples with ``<role>_en``: those of chunks that ``foreign`` finds (all without it) through one dictionary of their distinct values."""
+    own = triples
+    if foreign is not None:
+        own = triples.join(qualifying_chunks(triples, foreign, by).where("qualifies").select(by), by, "left_semi")
+    words = own.unpivot(by, list(roles), "role", "value").where(F.trim("value") != "").select("role", "value").distinct()
+    out = remap(own, translated(words, translate), list(roles))
+    if foreign is None:
+        return out
+    rest = triples.join(own.select(by).distinct(), by, "left_anti")
+    return out.unionByName(rest, allowMissingColumns=True)

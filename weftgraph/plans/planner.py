@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Default parameters of each tool (depth and limit).
@@ -43,3 +43,50 @@ def pages(argument: str) -> list[int]:
             raise ValueError(f"no page range: {part}")
         found.update(range(first, last + 1))
     return sorted(found)
+
+
+def community_specs(ids: DataFrame) -> DataFrame:
+    """``community, tool, entities, predicates, depth, limit``: default specs for each community's own ids (``community, entities,
+    predicates`` arrays), by the branch rules."""
+    specs = ids.select("community", "entities", "predicates", F.explode(branches_column(F.size("entities"), F.size("predicates"))).alias("tool"))
+    value = lambda name: F.coalesce(*(F.when(F.col("tool") == t, F.lit(v.get(name)).cast("int")) for t, v in DEFAULTS.items()))
+    return specs.select("community", "tool", "entities", "predicates", value("depth").alias("depth"), value("limit").alias("limit"))
+
+
+def tuned_specs(specs: DataFrame, tuned: DataFrame) -> DataFrame:
+    """Specs with the parameters that a model proposed (``community, tool, depth, limit, pos``): the first proposal of a pair counts,
+    unknown tools and pairs are ignored, what is missing stays."""
+    first = tuned.where(F.col("tool").isin(list(DEFAULTS))).groupBy("community", "tool").agg(F.min(F.struct("pos", F.col("depth").alias("d"), F.col("limit").alias("l"))).alias("b"))
+    out = specs.join(first, ["community", "tool"], "left")
+    return out.withColumns({"depth": F.coalesce("b.d", "depth"), "limit": F.coalesce("b.l", "limit")}).drop("b")
+
+
+def label_group_seeds(labels: DataFrame, entities: DataFrame, groups: list[str], chosen: list[str] | None = None, most_groups: int = 3, most_labels: int = 5, per_label: int = 50) -> DataFrame:
+    """``id, label`` of entities of the labels of some groups: at most three groups, the chosen (else first) five labels, fifty entities each."""
+    from pyspark.sql import Window
+
+    own = labels.where(F.col("grp").isin(groups[:most_groups])).select("label").distinct()
+    own = (own if chosen is None else own.where(F.col("label").isin(chosen))).orderBy("label").limit(most_labels)
+    w = Window.partitionBy("label").orderBy("id")
+    return entities.join(own, "label", "left_semi").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_label).select("id", "label")
+
+
+def seeds_from_results(rows: DataFrame) -> DataFrame:
+    """Distinct ids in the columns of tool results that hold ids, for a plan from tool outputs."""
+    names = [c for c in rows.columns if c in ("canonical_id", "src", "dst", "start", "end", "connected")]
+    return rows.select(F.explode(F.array(*names)).alias("id")).where("id IS NOT NULL").distinct()
+
+
+def chunk_refs(rows: DataFrame) -> DataFrame:
+    """Distinct ``community_id, chunk_id`` that graph rows refer to."""
+    return rows.select("community_id", "chunk_id").where("community_id IS NOT NULL AND chunk_id IS NOT NULL").distinct()
+
+
+def run_sql(spark, query: str, tables: dict[str, DataFrame], limit: int = 100, **params) -> DataFrame:
+    """A free query over named tables with parameters; ``LIMIT`` is added where the text has none. An error becomes one row ``error, query``."""
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(query if "limit" in query.lower() else f"{query} LIMIT {limit}", args=params or None)
+    except Exception as e:  # noqa: BLE001 - the caller's text may fail in any way, and the error is the result
+        return spark.createDataFrame([(str(e), query)], "error string, query string")
