@@ -24,13 +24,13 @@ def _text(*parts) -> Column:
 
 
 @query("j04_triple_answers", """SELECT event_id, CASE WHEN event_id % 5 IN (0, 4) THEN 0 ELSE 1 END AS n, CASE WHEN event_id % 5 IN (1, 2, 3) THEN 'it''s ' || event_id END AS subject,
-CASE event_id % 5 WHEN 1 THEN 1 WHEN 2 THEN 7 END::BIGINT AS start, CASE event_id % 5 WHEN 1 THEN 4 WHEN 2 THEN 7 END::BIGINT AS "end" FROM events""")
+CASE event_id % 5 WHEN 1 THEN '1' WHEN 2 THEN '7' END AS start, CASE event_id % 5 WHEN 1 THEN '4' WHEN 2 THEN '7' END AS "end" FROM events""")
 def j04(spark, d):
     triple = lambda a, z: _text('{"discovered_triples": [{"subject": "it\'s ', _id(), f'", "predicate": "p", "object": "o", "evidence_lines": {{"start": {a}, "end": {z}}} }},]}}')
     answer = F.when(_id() % 5 == 0, "{ _PROCESSING_ }").when(_id() % 5 == 1, _text("Here:\n```json\n", triple("-2", "4"), "\n```")).when(_id() % 5 == 2, triple("7", "3")).when(_id() % 5 == 3, triple('"x"', "3")).otherwise('{"other": []}')
     found = model_output.triple_answer(answer)
     first = lambda c: F.get(F.col("t"), F.lit(0))[c]
-    return events(spark, d).withColumn("t", found).select("event_id", F.size("t").alias("n"), first("subject").alias("subject"), first("start").alias("start"), first("end").alias("end"))
+    return events(spark, d).withColumn("t", found).select("event_id", F.size("t").alias("n"), first("subject").alias("subject"), first("start").cast("string").alias("start"), first("end").cast("string").alias("end"))
 
 
 @query("j07_ranges_by_pattern", 'SELECT event_id, 1 AS k, 3::BIGINT AS start, event_id + 4 AS "end" FROM events UNION ALL SELECT event_id, 2, event_id, event_id * 2 FROM events WHERE event_id % 2 = 0')
@@ -220,17 +220,17 @@ t AS (SELECT *, unnest(CASE WHEN e = 0 AND p = 0 THEN ['community_explore'] WHEN
 sp AS (SELECT community, k, tool, e::INTEGER AS n_entities, CASE tool WHEN 'graph_hop' THEN 1 WHEN 'find_paths' THEN 3 END AS depth, CASE tool WHEN 'graph_hop' THEN 50 WHEN 'find_paths' THEN 20 ELSE 100 END AS lim FROM t)"""
 
 
-@query("l02_community_specs", SPECS + ' SELECT community, tool, n_entities, depth, lim AS "limit" FROM sp')
+@query("l02_community_specs", SPECS + ' SELECT community, tool, n_entities, coalesce(depth, 0) AS depth, lim AS "limit" FROM sp')
 def l02(spark, d):
-    return planner.community_specs(community_ids(spark, d)).select("community", "tool", F.size("entities").alias("n_entities"), "depth", "limit")
+    return planner.community_specs(community_ids(spark, d)).select("community", "tool", F.size("entities").alias("n_entities"), F.coalesce("depth", F.lit(0)).alias("depth"), "limit")
 
 
-@query("l03_tuned_specs", SPECS + """ SELECT community, tool, CASE WHEN tool = 'graph_hop' AND k % 4 = 0 THEN 2 ELSE depth END AS depth, CASE WHEN tool = 'graph_hop' AND k % 4 = 0 THEN 10 + k ELSE lim END AS "limit" FROM sp""")
+@query("l03_tuned_specs", SPECS + """ SELECT community, tool, CASE WHEN tool = 'graph_hop' AND k % 4 = 0 THEN 2 ELSE coalesce(depth, 0) END AS depth, CASE WHEN tool = 'graph_hop' AND k % 4 = 0 THEN 10 + k ELSE lim END AS "limit" FROM sp""")
 def l03(spark, d):
     n = table(spark, d, "nation").where("n_nationkey % 4 = 0").select(F.col("n_name").alias("community"), F.col("n_nationkey").alias("k"))
     tools = F.explode(F.array(*(F.struct(F.lit(t).alias("tool"), F.lit(p).alias("pos")) for t, p in (("graph_hop", 1), ("graph_hop", 2), ("no_tool", 0)))))
     tuned = n.select("community", "k", tools.alias("t")).select("community", "t.tool", "t.pos", (F.col("t.pos") + 1).alias("depth"), (10 * F.col("t.pos") + F.col("k")).alias("limit"))
-    return planner.tuned_specs(planner.community_specs(community_ids(spark, d)), tuned).select("community", "tool", "depth", "limit")
+    return planner.tuned_specs(planner.community_specs(community_ids(spark, d)), tuned).select("community", "tool", F.coalesce("depth", F.lit(0)).alias("depth"), "limit")
 
 
 @query("l07_label_group_seeds", """, l AS (SELECT DISTINCT p_brand AS label, CASE WHEN p_size % 2 = 0 THEN 'g0' ELSE 'g1' END AS grp FROM part), o AS (SELECT DISTINCT label FROM l WHERE grp = 'g0' ORDER BY label LIMIT 5)
