@@ -16,9 +16,8 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._frame import over_texts
 
-CACHE_BYTES, LONG, CACHE_STEPS, CACHE_PAIRS = 24_000_000, 200, 100_000, 150_000
+CACHE_BYTES, LONG, CACHE_STEPS, CACHE_PAIRS = 64_000_000, 200, 100_000, 150_000
 
 #: Fixed value: the white space of the public byte-level splitting pattern (Unicode White_Space).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -74,8 +73,8 @@ class TrieBpe:
         self.special = extra
         self.any_split, self.latin_split = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(extra, key=len, reverse=True)) + ")") if extra else None
-        self.valid: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.valid: dict[int, bool] = {}  # left token << 32 | right token
+        self.words: dict[str, bytes] = {}  # ids as int32
         self.held = 0  # bytes of the words, about
 
     def _suffixes(self) -> None:
@@ -131,41 +130,49 @@ class TrieBpe:
         parts it joins. Of equal merges the leftmost comes first: the one within ``a`` before, the
         one within ``b`` after the one across.
         """
-        found = self.valid.get((a, b))
+        found = self.valid.get(a << 32 | b)
         if found is None:
             if len(self.valid) > CACHE_PAIRS:
                 self.valid.clear()
             left, right = (self.spines.get(k) or self.spines.setdefault(k, self.spine(*k)) for k in ((a, 1), (b, 0)))
-            found = self.valid[a, b] = not any((r := self.rank.get((x, y))) is not None and r < p and r <= q for x, p in left for y, q in right)
+            found = self.valid[a << 32 | b] = not any((r := self.rank.get((x, y))) is not None and r < p and r <= q for x, p in left for y, q in right)
         return found
 
-    def traverse(self, words: Iterable[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
+    def traverse(self, words: Iterable[str]) -> Iterator[tuple[str, array]]:
         """Encodings of distinct words, in the order of a depth-first walk over their trie."""
-        step, ends, valid = self.step, self.ends, self.valid
+        following, ends, known = self.step.get, self.ends, self.valid.get
         path, last, back, nodes = b"", [-1], [0], [0]  # by length of prefix: the last token, its length, the automaton's node
         for raw, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
-            shared = len(commonprefix((raw, path)))
-            del last[shared + 1 :], back[shared + 1 :], nodes[shared + 1 :]
-            node, end = nodes[-1], shared
+            shared = 0
+            for x, y in zip(raw, path):  # noqa: B905
+                if x != y:
+                    break
+                shared += 1
+            room = len(raw) + 1 - len(last)
+            if room > 0:
+                for states in (last, back, nodes):
+                    states.extend([0] * room)
+            node, end = nodes[shared], shared
             for b in raw[shared:]:
                 end += 1
-                following = step.get(node << 8 | b)
-                node = self.next_node(node, b) if following is None else following
+                at = node << 8 | b
+                node = following(at)
+                if node is None:
+                    node = self.next_node(at >> 8, b)
                 for size, token in ends[node]:  # noqa: B007
                     if size == end:
                         break
                     before = last[end - size]
-                    found = valid.get((before, token))
+                    found = known(before << 32 | token)
                     if found or (found is None and self.is_pair(before, token)):
                         break
-                last.append(token)
-                back.append(size)
-                nodes.append(node)
-            path, at, out = raw, len(raw), []
+                last[end], back[end], nodes[end] = token, size, node
+            path, at, out = raw, len(raw), array("i")
             while at:
                 out.append(last[at])
                 at -= back[at]
-            yield word, tuple(out[::-1])
+            out.reverse()
+            yield word, out
 
     def split(self, text: str) -> list[str]:
         return (self.latin_split if LATIN_TEXT.fullmatch(text) else self.any_split)(text)
@@ -179,9 +186,9 @@ class TrieBpe:
             self.words.clear()
             self.held = 0
         new = set().union(*(p for doc in parts for p in doc if not isinstance(p, int))) - self.words.keys()
-        self.words.update(self.traverse(new))
+        self.words.update((w, ids.tobytes()) for w, ids in self.traverse(new))
         get = self.words.__getitem__
-        out = [np.fromiter(chain.from_iterable((p,) if isinstance(p, int) else chain.from_iterable(map(get, p)) for p in doc), dtype=np.int32) for doc in parts]
+        out = [np.frombuffer(b"".join(array("i", (p,)).tobytes() if isinstance(p, int) else b"".join(map(get, p)) for p in doc), dtype=np.int32) for doc in parts]
         self.held += sum(map(len, new)) * 2 + 250 * len(new)
         for word in new:
             if len(word) > LONG:
