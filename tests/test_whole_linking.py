@@ -5,10 +5,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.functions import model_output
-from weftgraph.operators import blocks, chunking, communities, linking, registry, results, triples
+from weftgraph.operators import blocks, chunking, communities, linking, ranking, registry, results, triples
 from weftgraph.plans import planner
 
 
+def test_numbered(spark):
+    df = spark.range(5000).select(F.expr("struct(-(id * 7919 % 5000) AS s, id % 3 AS t)").alias("first"), "id")
+    got = ranking.numbered(df.repartition(7), "first", "n").collect()
+    assert sorted(r.n for r in got) == list(range(1, 5001))
+    assert [r.id for r in sorted(got, key=lambda r: r.n)] == sorted(range(5000), key=lambda i: (-(i * 7919 % 5000), i % 3))
+    assert not ranking.numbered(df.where("false"), "first", "n").collect()
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK", 7)
     rng = np.random.default_rng(1)
@@ -27,6 +35,12 @@ def test_top_k(spark, monkeypatch):
             own = [(-round(s[q, j], 12), j) for j in range(60) if s[q, j] >= 0.2 and (by is None or q % 2 == j % 2)]
             assert sorted(got.get(q, [])) == [(k + 1, j, round(-v, 9)) for k, (v, j) in enumerate(sorted(own)[:3])], (q, by)
         assert 90 not in got and 91 not in got and 93 not in got and got[92][0][1] == 92
+    got = {}
+    for r in blocks.top_k(df.where("id % 10 = 3"), df, 4, -1.5, digits=1).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id, r.score))
+    for q in range(3, 60, 10):
+        own = sorted((-round(s[q, j], 1), j) for j in range(60) if j != 20)[:4]
+        assert sorted(got[q]) == [(k + 1, j, -v) for k, (v, j) in enumerate(own)], q
     pairs = {(r.i, r.j) for r in blocks.similar_pairs(df, 0.6).collect()}
     assert pairs == {(i, j) for i in range(60) for j in range(i) if s[i, j] >= 0.6}
     empty = df.where("false")

@@ -35,14 +35,15 @@ def _met(left: DataFrame, right: DataFrame, n: int, by: list[str]) -> DataFrame:
     return spread.withColumnRenamed("_block", "_mine").join(right.withColumnRenamed("_block", "_other"), [*by, "_dim", "_other"])
 
 
-def top_k(queries: DataFrame, points: DataFrame, k: int, threshold: float, by: list[str] | None = None) -> DataFrame:
+def top_k(queries: DataFrame, points: DataFrame, k: int, threshold: float, by: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """``query_id, id, score, rank``: for each query its best ``k`` points of cosine >= threshold (equals by id).
 
     Both sides have ``id, vec``, and a query meets the points that equal it in the columns ``by``. A block of queries
     and a block of points give one matrix product and at most k rows (and equals) a query; only those are
-    shuffled. Null, empty and zero vectors and other lengths match nothing.
+    shuffled. Null, empty and zero vectors and other lengths match nothing. With ``digits``, scores are rounded
+    before they are ranked; points that may equal the k-th one after rounding stay until then.
     """
-    by = by or []
+    by, slack = by or [], 0.0 if digits is None else 10.0**-digits
     left, _ = _blocks(queries, by, "q")
     right, n = _blocks(points, by, "p")
 
@@ -53,12 +54,14 @@ def top_k(queries: DataFrame, points: DataFrame, k: int, threshold: float, by: l
                 s = np.nan_to_num(x @ y.T, nan=-2.0)
                 least = np.full(len(s), threshold)
                 if s.shape[1] > k:
-                    least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+                    least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - slack)
                 i, j = np.nonzero(s >= least[:, None])
                 yield pa.RecordBatch.from_arrays([qs.take(pa.array(i)), ps.take(pa.array(j)), pa.array(s[i, j])], ["query_id", "id", "score"])
 
     kinds = f"query_id {queries.schema['id'].dataType.simpleString()}, id {points.schema['id'].dataType.simpleString()}, score double"
     found = _met(left, right, n, by).select("q", "p").mapInArrow(search, kinds)
+    if digits is not None:
+        found = found.withColumn("score", F.round("score", digits))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import model_output, text
-from weftgraph.operators import answers, chunking, communities, diagnostics, graph, ranking, resolution, retrieval, schema, triples
+from weftgraph.operators import answers, blocks, chunking, communities, diagnostics, graph, ranking, resolution, retrieval, schema, triples
 from weftgraph.operators.components import connected_components
 from weftgraph.plans import planner, views
 from weftgraph.plans.views import table
@@ -417,9 +417,10 @@ SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY it
 """)
 def q10(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.join(F.broadcast(table(spark, d, "benchmark").select("item_id")), F.col("vec_id") == F.col("item_id")).select("item_id", F.col("embedding").alias("q"))
-    dense = e.crossJoin(F.broadcast(q)).select("item_id", F.col("vec_id").alias("doc_id"), F.round(text.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    a, b = retrieval.best(_sparse(spark, d), "item_id", 40, "doc_id"), retrieval.best(dense, "item_id", 40, "doc_id")
+    points = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    asked = points.join(table(spark, d, "benchmark").select(F.col("item_id").alias("id")), "id")
+    b = blocks.top_k(asked, points, 40, -1.5, digits=6).withColumnsRenamed({"query_id": "item_id", "id": "doc_id"})
+    a = retrieval.best(_sparse(spark, d), "item_id", 40, "doc_id")
     both = a.select("item_id", "doc_id", "rank").unionAll(b.select("item_id", "doc_id", "rank"))
     fused = both.groupBy("item_id", "doc_id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("score"))
     return retrieval.best(fused, "item_id", 10, "doc_id").drop("rank")
