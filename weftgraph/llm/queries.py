@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, cover_tree, decontaminate, html_main, lang_id, license_scan, line_dedup, ngram_join, toxicity
+from weftgraph.plans.materialize import shared_dir
+
+from . import bpe, chat_format, cover_tree, decontaminate, erasure, html_main, lang_id, license_scan, line_dedup, ngram_join, prefix_trie, token_files, toxicity
 from ._frame import held_out, table, train_part
 
 #: The vocabulary of the BPE query; a file that the driver reads.
@@ -70,6 +73,56 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(pages, html_main.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
+#: The shop's foreign keys, from the masters of clients on.
+SHOP = [
+    erasure.Relation("masters", "clients", "master_id", "client_id"),
+    erasure.Relation("clients", "clicks", "client_id"),
+    erasure.Relation("clients", "sales", "client_id", "sale_id"),
+    erasure.Relation("sales", "sale_lines", "sale_id"),
+]
+#: The columns of each table of the shop that name a row and that hold money.
+SHOP_COLUMNS = {"clients": ("client_id", "balance"), "clicks": ("click_id", "value"), "sales": ("sale_id", "total"), "sale_lines": ("sale_id", "amount")}
+
+
+def _crc(column: str) -> Column:
+    return F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8"))
+
+
+def op11_cascading_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/erasure-{uuid.uuid4().hex}"
+    tables = {name: table(spark, sf_dir, name) for name in SHOP_COLUMNS}
+    owners = tables["sales"].groupBy("sale_id").agg(F.min("client_id").alias("_weft_client"))
+    paths = {}
+    for name, df in tables.items():
+        rows = df.join(owners, "sale_id", "left") if name == "sale_lines" else df
+        first = _crc("_weft_client" if name == "sale_lines" else "client_id")
+        paths[name] = erasure.write_sorted(rows, f"{folder}/{name}", 1 + df.count() // 150, [first], df.columns)
+    masters = tables["clients"].select(F.col("master_id").alias("key")).where("key IS NOT NULL").distinct().where(_crc("key") % 100 == 0)
+    busy = erasure.busiest(tables["clients"], tables["clicks"], "master_id", "client_id")
+    victims = erasure.cascade(tables, SHOP, {"masters": masters.unionAll(busy)})
+    out = None
+    for name, (first, money) in SHOP_COLUMNS.items():
+        final = erasure.rewrite(spark, f"{folder}/{name}", paths[name], SHOP, name, victims)
+        if not final:
+            continue
+        rows = [(no, gone, path != paths[name][no], name, ",".join(tables[name].columns), path) for no, (path, gone) in final.items()]
+        told = spark.createDataFrame(rows, "file_no long, n_erased long, rewritten boolean, table_name string, columns string, path string")
+        digests = erasure.file_digests(spark, {no: path for no, (path, _) in final.items()}, first, money)
+        files = told.join(digests, "file_no")
+        out = files if out is None else out.unionByName(files)
+    return spark.createDataFrame([], "file_no long, n_erased long, rewritten boolean, table_name string, columns string, path string, n_rows long, cents long, ids_sha256 string") if out is None else out
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebranched(prefix_trie.turns(table(spark, sf_dir, "conversations"))))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), VOCABULARY, folder)
+    return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cover_tree": op1_cover_tree,
     "op2_language_id": op2_language_id,
@@ -81,6 +134,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_html_main_text": op10_html_main_text,
+    "op11_cascading_erasure": op11_cascading_erasure,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLES: dict[str, str] = {
@@ -140,5 +196,25 @@ o AS (SELECT l.doc_id, l.text, string_agg(l.raw, chr(10) ORDER BY l.i) FILTER (W
       LEFT JOIN q ON q.doc_id = l.doc_id AND q.text = l.text AND q.i = l.i GROUP BY l.doc_id, l.text)
 SELECT d.doc_id, coalesce(o.kept, '') AS text, len(string_split(d.text, chr(10)))::BIGINT AS n_lines, o.n::BIGINT AS n_deleted
 FROM documents d JOIN o ON o.doc_id = d.doc_id AND o.text = d.text
+""",
+    "op12_prefix_trie": r"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, n, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 9 AS h FROM s, crc),
+b AS (SELECT h.*, least(h.h, coalesce(s.n, 0)) AS lead FROM h LEFT JOIN s ON s.conv_id = h.conv_id - h.conv_id % 5),
+u AS (SELECT b.conv_id, pos - h + lead AS pos, r, x FROM b JOIN t USING (conv_id) WHERE pos >= h
+      UNION ALL SELECT b.conv_id, pos, r, x FROM b JOIN t ON t.conv_id = b.conv_id - b.conv_id % 5 AND pos < lead),
+p AS (SELECT conv_id, pos + 1 AS depth, octet_length(encode(x)) AS bytes, string_agg(sha256(length(r) || ':' || r || x), '') OVER (PARTITION BY conv_id ORDER BY pos) AS key FROM u
+      UNION ALL SELECT conv_id, 0, 0, '' FROM s),
+e AS (SELECT conv_id, max(depth) AS depth, max_by(key, depth) AS key FROM p GROUP BY conv_id),
+ends AS (SELECT depth, key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM e GROUP BY depth, key),
+n AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n, any_value(bytes) AS bytes FROM p GROUP BY depth, key),
+c AS (SELECT depth - 1 AS depth, left(key, 64 * (depth - 1)) AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children, sha256(coalesce(ends.ids, '')) AS ends FROM n LEFT JOIN c USING (depth, key) LEFT JOIN ends USING (depth, key)),
+a AS (SELECT g AS depth, left(key, 64 * g) AS key, count(*) FILTER (WHERE n_children = 0) AS leaves, sum((n - 1) * bytes) AS saved FROM (SELECT *, unnest(range(depth + 1)) AS g FROM f) GROUP BY ALL)
+SELECT f.conv_id, f.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, f.n::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, a.leaves::BIGINT AS n_leaves, a.saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+FROM f JOIN a USING (depth, key) LEFT JOIN n u ON u.depth = f.depth - 1 AND u.key = left(f.key, 64 * (f.depth - 1))
 """,
 }
