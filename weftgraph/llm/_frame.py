@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Hand memory that the task no longer uses back to the system: a worker outlives its tasks."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -36,7 +36,7 @@ def by_rows(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.
             for at in range(0, batch.num_rows, rows):
                 yield batch.slice(at, rows)
     finally:
-        _give_back()
+        give_back()
 
 
 def over_texts(df: DataFrame, text_col: str, names: list[str], task: Callable[[], Callable[[list], list[pa.Array]]], result: str) -> DataFrame:

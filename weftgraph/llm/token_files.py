@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import os
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,9 @@ from tokenizers import Tokenizer
 
 from weftgraph.plans.materialize import discard, materialize
 
-from ._frame import by_rows
+from ._frame import by_rows, give_back
 from ._pieces import cut, gathered
+from .bpe import byte_alphabet
 
 MAGIC, HEADER, HEADER_BYTES = b"WEFTIDS1", "<8s8q", 72
 BLOCK_IDS, FILE_IDS = 8192, 1 << 24
@@ -65,7 +67,7 @@ def unpack(raw: bytes, bits: int, count: int) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes with the tokenizers library; where the file is plain byte-level BPE, each distinct word of a task once."""
+    """Encodes with the tokenizers library; where the file is plain byte-level BPE, its model gets each distinct word of a task once."""
 
     def __init__(self, file: bytes):
         self.library = Tokenizer.from_buffer(file)
@@ -77,17 +79,23 @@ class Encoder:
         self.by_words = plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in special)
         self.special = {t["content"]: t["id"] for t in special}
         self.between = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if special else None
+        self.shown = {b: c for c, b in byte_alphabet().items()}
         self.known: dict[str, bytes] = {}
         self.held = 0
 
     def _words(self, words: list[str]) -> list[bytes]:
-        new = [w for w in words if w not in self.known]
         if self.held > CACHE_BYTES:
-            self.known, self.held, new = {}, 0, words
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = raw = np.array(e.ids, dtype="<u4").tobytes()
-            self.held += len(w) + len(raw) + 150
-        return [self.known[w] for w in words]
+            self.known, self.held = {}, 0
+        known, tokenize, shown = self.known, self.library.model.tokenize, self.shown
+        out = []
+        for w in words:
+            if (raw := known.get(w)) is None:
+                found = self.special.get(w)
+                ids = [t.id for t in tokenize(w.encode().decode("latin-1").translate(shown))] if found is None else [found]
+                raw = known[w] = array("I", ids).tobytes()
+                self.held += len(w) + len(raw) + 150
+            out.append(raw)
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one behind the other, and how many each has."""
@@ -143,7 +151,7 @@ class _Part:
     def _blocks(self, all_of_it: bool) -> None:
         ids = np.concatenate(self.rest or [np.empty(0, dtype="<u4")])
         upto = len(ids) if all_of_it else len(ids) - len(ids) % BLOCK_IDS
-        self.blocks += [pack(ids[at : at + BLOCK_IDS], self.bits) for at in range(0, upto, BLOCK_IDS)]
+        self.blocks += [pack(ids[at : min(at + BLOCK_IDS, upto)], self.bits) for at in range(0, upto, BLOCK_IDS)]
         self.rest, self.rest_ids = [ids[upto:]], len(ids) - upto
 
     def close(self) -> dict | None:
@@ -185,6 +193,7 @@ def write(df: DataFrame, path: str, folder: str, end_id: int = 0, id_col: str =
     _store(folder)[0].create_dir(inner, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, end = Encoder(sent.value), np.array([end_id], dtype="<u4")
         part = _Part(folder, TaskContext.get().partitionId(), bits, file_ids)
         told = []
@@ -195,6 +204,8 @@ def write(df: DataFrame, path: str, folder: str, end_id: int = 0, id_col: str =
                 told.append(part.add(doc, np.concatenate((flat[at : at + n], end))))
                 at += n
         told = [x for x in (*told, part.close()) if x]
+        del encoder, part
+        give_back()
         yield pa.RecordBatch.from_pylist(told, schema=pa.schema([("part", pa.int64()), ("number", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("before", pa.int64())]))
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumns({"h": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
