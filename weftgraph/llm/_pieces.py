@@ -7,6 +7,7 @@ space or anything else; a space before a run belongs to it, and an apostrophe ta
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -81,9 +82,30 @@ def cut(texts: list[str], whole: list[bool] | None = None) -> tuple[list[str], n
     return words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy().astype(np.int64), counts
 
 
-def gathered(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+def _gathered(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The ids of the words ``codes`` one behind the other; word ``i`` has the next ``sizes[i]`` of ``flat``."""
     own = sizes[codes]
     begins = (np.cumsum(sizes) - sizes)[codes]
     skip = begins - (np.cumsum(own) - own)
     return flat[np.repeat(skip, own) + np.arange(own.sum())]
+
+
+def encoded(texts: list[str], special: dict[str, int], between: regex.Pattern | None, ids_of: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one behind the other, and how many each has.
+
+    ``between`` splits texts at special tokens, which ``ids_of`` gets as words of their own; it gives the ids of distinct words, 4 bytes each.
+    """
+    parts, whole, of = [], [], []
+    for i, text in enumerate(texts):
+        pieces = between.split(text) if between and any(s in text for s in special) else [text]
+        parts += pieces
+        whole += [k % 2 == 1 for k in range(len(pieces))]
+        of += [i] * len(pieces)
+    words, codes, counts = cut(parts, whole)
+    if not words:
+        return np.empty(0, dtype="<u4"), np.zeros(len(texts), dtype=np.int64)
+    ids = ids_of(words)
+    sizes = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
+    ends = np.concatenate(([0], np.cumsum(sizes[codes])))[np.cumsum(counts)]
+    each = np.bincount(of, weights=np.diff(ends, prepend=0), minlength=len(texts)).astype(np.int64)
+    return _gathered(np.frombuffer(b"".join(ids), dtype="<u4"), sizes, codes), each

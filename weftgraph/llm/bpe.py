@@ -15,7 +15,6 @@ beyond the vocabulary's own and ``CACHE_PAIRS`` pairs. They end with the task.
 from __future__ import annotations
 
 import json
-import re
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -26,11 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._frame import over_texts
+from ._pieces import WHITE, encoded
 
 CACHE_BYTES, LONG, CACHE_STEPS, CACHE_PAIRS = 64_000_000, 200, 100_000, 150_000
 
-#: Fixed value: the white space of the public byte-level splitting pattern (Unicode White_Space).
-WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the public byte-level splitting pattern.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
@@ -42,12 +40,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-#: The same for texts of ASCII and Latin letters alone, where the standard library's quicker classes can say it.
-LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
-LATIN_TEXT = re.compile(rf"[\x00-\x7f{LATIN}]*")
-LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\t-\r {LATIN}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
-
-
 class TrieBpe:
     """A byte-level BPE vocabulary with the traversal."""
 
@@ -71,7 +63,6 @@ class TrieBpe:
         self.bytes = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in extra.items()}
         self._suffixes()
         self.special = extra
-        self.any_split, self.latin_split = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(extra, key=len, reverse=True)) + ")") if extra else None
         self.valid: dict[int, bool] = {}  # left token << 32 | right token
         self.words: dict[str, bytes] = {}  # ids as int32
@@ -174,21 +165,14 @@ class TrieBpe:
             out.reverse()
             yield word, out
 
-    def split(self, text: str) -> list[str]:
-        return (self.latin_split if LATIN_TEXT.fullmatch(text) else self.any_split)(text)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts: list[list[list[str] | int]] = []
-        for text in texts:
-            pieces = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
-            parts.append([self.special[p] if k % 2 else self.split(p) for k, p in enumerate(pieces)])
+    def _words(self, words: list[str]) -> list[bytes]:
         if self.held > CACHE_BYTES:
             self.words.clear()
             self.held = 0
-        new = set().union(*(p for doc in parts for p in doc if not isinstance(p, int))) - self.words.keys()
-        self.words.update((w, ids.tobytes()) for w, ids in self.traverse(new))
-        get = self.words.__getitem__
-        out = [np.frombuffer(b"".join(array("i", (p,)).tobytes() if isinstance(p, int) else b"".join(map(get, p)) for p in doc), dtype=np.int32) for doc in parts]
+        new = [w for w in words if w not in self.words]
+        self.words.update((w, array("i", (self.special[w],)).tobytes()) for w in new if w in self.special)
+        self.words.update((w, ids.tobytes()) for w, ids in self.traverse(w for w in new if w not in self.special))
+        out = [self.words[w] for w in words]
         self.held += sum(map(len, new)) * 2 + 250 * len(new)
         for word in new:
             if len(word) > LONG:
@@ -196,6 +180,10 @@ class TrieBpe:
                 del self.words[word]
         return out
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        flat, sizes = encoded(texts, self.special, self.cut, self._words)
+        return np.split(flat.view("<i4"), np.cumsum(sizes)[:-1]) if texts else []
+
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 

@@ -39,7 +39,7 @@ from tokenizers import Tokenizer
 from weftgraph.plans.materialize import discard, materialize
 
 from ._frame import by_rows, give_back
-from ._pieces import cut, gathered
+from ._pieces import encoded
 from .bpe import byte_alphabet
 
 MAGIC, HEADER, HEADER_BYTES = b"WEFTIDS1", "<8s8q", 72
@@ -102,19 +102,7 @@ class Encoder:
         if not self.by_words:
             found = [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
             return np.concatenate(found or [np.empty(0, dtype="<u4")]), np.array([len(x) for x in found], dtype=np.int64)
-        parts, whole, of = [], [], []
-        for i, text in enumerate(texts):
-            pieces = self.between.split(text) if self.between and any(s in text for s in self.special) else [text]
-            parts += pieces
-            whole += [k % 2 == 1 for k in range(len(pieces))]
-            of += [i] * len(pieces)
-        words, codes, counts = cut(parts, whole)
-        ids = self._words(words)
-        sizes = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
-        flat = np.frombuffer(b"".join(ids), dtype="<u4")
-        ends = np.concatenate(([0], np.cumsum(sizes[codes])))[np.cumsum(counts)] if len(codes) else np.zeros(len(parts), dtype=np.int64)
-        each = np.bincount(of, weights=np.diff(ends, prepend=0), minlength=len(texts)).astype(np.int64)
-        return gathered(flat, sizes, codes) if len(codes) else np.empty(0, dtype="<u4"), each
+        return encoded(texts, self.special, self.between, self._words)
 
 
 def _store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
