@@ -1,5 +1,8 @@
 """The document queries leave no line out."""
 
+import random
+import textwrap
+
 from weftgraph.operators import chunking, diagnostics
 from weftgraph.queries import QUERIES
 
@@ -40,6 +43,30 @@ def test_long_lines_are_wrapped(spark):
     assert QUERIES["d02_wrapped_lines"](spark, SF).count() > QUERIES["d02_lines"](spark, SF).count()
 
 
+def test_wrapping_and_section_sizes_by_hand(spark):
+    rng = random.Random(1)
+    parts = [" ", "  ", "\t", "a", "bb-c", "word", "x" * 25, "\r", "é", " w", " of", "     "]
+    docs = dict(enumerate("\n".join("".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(3)) for _ in range(150)))
+    got = {}
+    for r in chunking.wrapped_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), 20).orderBy("doc_id", "line_no").collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    for k, t in docs.items():
+        want = []
+        for line in t.split("\n"):
+            long = textwrap.wrap(line, 20, subsequent_indent=" " * (len(line) - len(line.lstrip())), break_long_words=False, break_on_hyphens=False)
+            want += [line] if len(line) <= 20 else long
+        assert got.get(k, []) == want
+    shapes = {1: (1, 5), 2: (100, 9), 3: (101, 9), 4: (1000, 100), 5: (1049, 300), 6: (3000, 500), 7: (999, 2000), 8: (200, 4000)}
+    rows = [(k, "\n".join(["y" * m] * n)) for k, (n, m) in shapes.items()]
+    sizes = {r.doc_id: r.size for r in chunking.section_sizes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (n, m) in shapes.items():
+        tried = [min(n, 1000)]
+        while tried[-1] > 100:
+            tried.append(int(tried[-1] * 0.8))
+        fit = [s for s in tried if s > 100 and (s * m + s - 1) // 4 + 1000 <= 50_000]
+        assert sizes[k] == (min(fit[0] + 50, n) if fit else 100)
+
+
 def test_triples_extremes(spark):
     df = spark.createDataFrame([(1, 0, 2), (1, 1, 0), (2, 0, 5), (2, 1, 0)], "doc_id long, chunk_id int, n_triples long")
     got = sorted(tuple(r) for r in diagnostics.triples_extremes(df).collect())

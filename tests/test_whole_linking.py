@@ -63,6 +63,19 @@ def test_linking_of_nothing(spark):
     assert [x.id for x in linking.applied(reg, linking.resolved(items, told, reg)).collect()] == ["i1"]
 
 
+def test_decisions_belong_to_a_community(spark):
+    items = [(1, "a", "uses", None, "x", "m", 0.9, "candidate"), (2, "b", "uses", None, "y", "m", 0.9, "candidate"), (3, "c", "uses", None, None, "m", 0.9, "candidate"), (4, "d", "owns", None, "x", "m", 0.9, "candidate")]
+    classes = spark.createDataFrame(items, "pos long, id string, name string, name_en string, community_id string, match_id string, score double, status string")
+    told = spark.createDataFrame([("uses", "x", True, False, ""), ("uses", "x", True, False, ""), ("uses", "y", False, False, ""), ("uses", None, True, True, "use")], "name string, community_id string, same boolean, new_is_canonical boolean, canonical_form string")
+    reg = spark.createDataFrame([("m", "employs", None, True, "m")], "id string, name string, name_en string, is_canonical boolean, canonical_id string")
+    found = linking.resolved(classes, told, reg)
+    assert {(r.id, r.outcome, r.canonical, r.canonical_id) for r in found.collect()} == {("a", "alias", "employs", "m"), ("b", "new", "uses", "b"), ("c", "replace", "use", "c"), ("d", "new", "owns", "d")} and found.count() == 4
+    aliases = spark.createDataFrame([(f"{c}{k}", n, None, "uses", c) for k, n in enumerate(("use of", "used")) for c in ("x", "y", "z")], "id string, name string, name_en string, rep_name string, community_id string")
+    assert {(r.id, r.canonical_id) for r in linking.follow(aliases, found).collect()} == {("x0", "m"), ("x1", "m"), ("y0", "b"), ("y1", "b"), ("z0", "z0"), ("z1", "z1")}
+    same = spark.createDataFrame([("used", "x", True), ("used", "y", False), ("use of", "y", True)], "name string, community_id string, same boolean")
+    assert {(r.id, r.canonical_id) for r in linking.follow_decided(aliases, same, found).collect()} == {("x0", "x0"), ("x1", "m"), ("y0", "b"), ("y1", "y1"), ("z0", "z0"), ("z1", "z1")}
+
+
 def test_evidence_around_an_anchor_without_place(spark):
     e = spark.createDataFrame([("a", None, None, None), ("b", 1, 1, "c"), ("c", 1, 9, "c")], "id string, doc_id long, chunk_index int, community_id string")
     got = {(r.anchor, r.id, r.ordering) for r in registry.surrounding_evidence(e, e).collect()}
@@ -83,11 +96,6 @@ def test_translation_rounds(spark):
     assert all(r.value_en == f"EN {r.value}" for r in good) and len(good) == 20
 
 
-def test_section_sizes():
-    assert chunking.section_size([10] * 50) == 100 and chunking.section_size([10] * 200) == 200
-    assert chunking.section_size([400] * 2000) == 459 and chunking.section_size([4000] * 2000) == 100
-
-
 def test_chunked_asks_and_falls_back(spark):
     docs = spark.createDataFrame([(1, "a\nb\n# c\nd"), (2, "# x\ny\n# z")], "doc_id long, text string")
     got = [tuple(r)[:3] for r in chunking.chunked(docs, lambda t: [(1, 2)] if "[0004]" in t else 1 / 0).orderBy("doc_id", "chunk_id").collect()]

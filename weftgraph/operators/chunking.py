@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import textwrap
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,22 +13,48 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "text"))
 
 
-def _wrapped(text: str | None, width: int) -> list[str] | None:
-    if text is None:
-        return None
-    out: list[str] = []
-    for line in text.split("\n"):
-        if len(line) <= width:
-            out.append(line)
-        else:  # continued at the line's own indent; a long line of white space goes
-            out.extend(textwrap.wrap(line, width, subsequent_indent=" " * (len(line) - len(line.lstrip())), break_long_words=False, break_on_hyphens=False))
-    return out
+def _untabbed(line: Column) -> Column:
+    """Tabs reach to the next column that is a multiple of eight, counted from a carriage return; other white space is a space."""
+    parts = F.split(line, "\t", -1)
+
+    def put(done: Column, part: Column) -> Column:
+        column = F.length(F.substring_index(done, "\r", -1))
+        return F.concat(done, F.repeat(F.lit(" "), 8 - column % 8), part)
+
+    return F.translate(F.aggregate(F.slice(parts, 2, F.size(parts)), F.element_at(parts, 1), put), "\x0b\x0c\r", "   ")
+
+
+def _folded(line: Column, width: int) -> Column:
+    """A line as lines of at most ``width`` characters, as an array: a fold over its words and gaps.
+
+    Continued lines have the line's own indent. Gaps at a break go; a longer word stands alone; a line of white space vanishes.
+    """
+    indent = F.repeat(F.lit(" "), F.length(line) - F.length(F.regexp_replace(line, r"^\s+", "")))
+    lead = lambda done: F.when(F.size(done) > 0, indent).otherwise(F.lit(""))
+    state = lambda done, now: F.struct(done.alias("done"), now.alias("now"))
+    full = lambda done, text: F.when(text == "", done).otherwise(F.concat(done, F.array(F.concat(lead(done), text))))
+
+    def begun(done: Column, token: Column) -> Column:
+        gap = token.startswith(" ")
+        alone = F.when(gap, done).otherwise(full(done, token))
+        fits = F.length(token) + F.length(lead(done)) <= width
+        return F.when(gap & (F.size(done) > 0), state(done, F.lit(""))).when(fits, state(done, token)).otherwise(state(alone, F.lit("")))
+
+    def take(s: Column, token: Column) -> Column:
+        joined = F.concat(s["now"], token)
+        fits = F.length(joined) + F.length(lead(s["done"])) <= width
+        return F.when(s["now"] == "", begun(s["done"], token)).when(fits, state(s["done"], joined)).otherwise(begun(full(s["done"], F.rtrim(s["now"])), token))
+
+    tokens = F.regexp_extract_all(_untabbed(line), F.lit("( +|[^ ]+)"), F.lit(1))
+    return F.aggregate(tokens, state(F.array().cast("array<string>"), F.lit("")), take, lambda s: full(s["done"], F.rtrim(s["now"])))
 
 
 def wrapped_lines(docs: DataFrame, width: int = 120, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``lines_of``, with lines of more than ``width`` characters wrapped at white space."""
-    wrap = F.udf(lambda t: _wrapped(t, width), "array<string>", useArrow=True)
-    return docs.select(id_col, F.posexplode(wrap(text_col)).alias("line_no", "text"))
+    lines = lines_of(docs, id_col, text_col).withColumn("_parts", F.when(F.length("text") <= width, F.array("text")).otherwise(_folded(F.col("text"), width)))
+    parts = lines.select(id_col, "line_no", F.posexplode("_parts").alias("_part", "text"))
+    w = Window.partitionBy(id_col).orderBy("line_no", "_part")
+    return parts.select(id_col, (F.row_number().over(w) - 1).alias("line_no"), "text")
 
 
 def header_chunks(lines: DataFrame, is_header: Column, id_col: str = "doc_id") -> DataFrame:
@@ -82,21 +106,23 @@ def surrounding(chunks: DataFrame, anchors: DataFrame, window: int = 2, by: str
     return wanted.join(chunks, [by, "chunk_id"])
 
 
-def section_size(sizes: list[int], first: int = 1000, least: int = 100, context: int = 1000, most: int = 50_000, overlap: int = 50) -> int:
-    """Lines of a section, given the characters of the lines: as many as fit the tokens, tried in steps of a fifth less, and the overlap."""
-    n = len(sizes)
-    size = min(n, first)
-    while size > least:
-        if (sum(sizes[:size]) + max(size - 1, 0)) // 4 + context <= most:
-            return min(size + overlap, n)
-        size = int(size * 0.8)
-    return max(size, least)
-
+def section_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first: int = 1000, least: int = 100, context: int = 1000, most: int = 50_000, overlap: int = 50) -> DataFrame:
+    """``id_col, size``: how many lines a section of each document takes.
 
-def section_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, size``: the section size of each document; only the lengths of its lines go to Python."""
-    size = F.udf(lambda x: section_size(list(x)), "int", useArrow=True)
-    return docs.where(F.col(text_col).isNotNull()).select(id_col, size(F.transform(F.split(text_col, "\n"), F.length)).alias("size"))
+    The candidates fall from ``first`` (or all lines) by a fifth each; the greatest above ``least`` whose text of that many lines and
+    ``context`` stay within ``most`` tokens of four characters counts, with the overlap; without one it is ``least``.
+    """
+    text = F.col(text_col)
+    n = F.length(F.regexp_replace(text, "[^\n]", "")) + 1
+    rounds = 1
+    while first * 0.8**rounds > least:
+        rounds += 1
+    falling = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array(F.least(n, F.lit(first))), lambda found, _: F.concat(found, F.array((F.element_at(found, -1) * F.lit(0.8)).cast("int"))))
+    tokens = lambda lines: F.floor(F.length(F.call_function("substring_index", text, F.lit("\n"), lines)) / 4)
+    fits = F.filter(falling, lambda size: (size > least) & (tokens(size) + context <= most))
+    best = F.get(fits, F.lit(0))
+    size = F.when(best.isNull(), least).otherwise(F.least(best + overlap, n))
+    return docs.where(text.isNotNull()).select(id_col, size.cast("int").alias("size"))
 
 
 def absolute_ranges(ranges: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Linking items to a registry of canonical ones: search, decisions, aliases, registry rows.
 
 ``registry`` has ``id, name, name_en, is_canonical, canonical_id, vec``; ``items`` has ``id, name, name_en`` and a
-position ``pos``. A decision is ``name, same, new_is_canonical, canonical_form``, made by the caller's model.
+position ``pos``. A decision is ``name, same, new_is_canonical, canonical_form``, made by the caller's model; where it and the items
+have ``kind`` or ``community_id``, these belong to its key as the name does (null equals null).
 """
 
 from __future__ import annotations
@@ -17,6 +18,19 @@ def shown(name_en: str = "name_en", name: str = "name") -> Column:
     return F.coalesce(F.when(F.trim(F.col(name_en)) != "", F.col(name_en)), F.col(name))
 
 
+def _keys(*tables: DataFrame) -> list[str]:
+    return [c for c in ("kind", "name", "community_id") if all(c in t.columns for t in tables)]
+
+
+def _by_key(left: DataFrame, right: DataFrame, keys: list[str], how: str, names: list[str] | None = None) -> DataFrame:
+    """A join of the columns ``names`` of the left side with the keys of the right one, where nulls are equal."""
+    right = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    on = F.lit(True)
+    for k, name in zip(keys, names or keys, strict=True):
+        on = on & left[name].eqNullSafe(right[f"_key_{k}"])
+    return left.join(right, on, how).drop(*(f"_key_{k}" for k in keys))
+
+
 def canonical_matches(items: DataFrame, registry: DataFrame, threshold: float = 0.65, same_community: bool = False) -> DataFrame:
     """``query_id, id, score``: the nearest canonical row of each item, within its community where asked."""
     return top_k(items, registry.where("is_canonical"), 1, threshold, ["community_id"] if same_community else None).drop("rank")
@@ -36,13 +50,15 @@ def classified(items: DataFrame, matches: DataFrame) -> DataFrame:
 def resolved(classes: DataFrame, decisions: DataFrame, registry: DataFrame) -> DataFrame:
     """One row an item: ``outcome`` (new, alias or replace) and what it resolves to.
 
-    A candidate without a decision counts as the same as its match. ``canonical, canonical_id`` name the resolution,
-    ``point_id`` is the canonical id of the item's own registry row.
+    A candidate without a decision is new, like one that was decided not to be the same; of repeated decisions of a key the least counts.
+    ``canonical, canonical_id`` name the resolution, ``point_id`` is the canonical id of the item's own registry row.
     """
-    told = decisions.select("name", F.col("same").alias("_same"), F.col("new_is_canonical").alias("_new"), F.col("canonical_form").alias("_form"))
+    keys = _keys(classes, decisions)
+    told = decisions.groupBy(*keys).agg(F.min(F.struct("same", "new_is_canonical", "canonical_form")).alias("_told"))
+    told = told.select(*keys, F.col("_told.same").alias("_same"), F.col("_told.new_is_canonical").alias("_new"), F.col("_told.canonical_form").alias("_form"))
     old = registry.select(F.col("id").alias("match_id"), shown().alias("_old"), F.coalesce("canonical_id", "id").alias("_old_id"))
-    x = classes.join(told, "name", "left").join(old, "match_id", "left")
-    outcome = F.when((F.col("status") == "new") | ~F.coalesce("_same", F.lit(True)), "new").when(F.coalesce("_new", F.lit(False)), "replace").otherwise("alias")
+    x = _by_key(classes, told, keys, "left").join(old, "match_id", "left")
+    outcome = F.when((F.col("status") == "new") | ~F.coalesce("_same", F.lit(False)), "new").when(F.coalesce("_new", F.lit(False)), "replace").otherwise("alias")
     x = x.withColumn("outcome", outcome).withColumn("is_canonical", F.col("outcome") != "alias")
     own = F.when(F.col("outcome") == "replace", F.coalesce(F.when(F.col("_form") != "", F.col("_form")), shown())).otherwise(shown())
     return x.select(
@@ -79,18 +95,25 @@ def new_canonicals(items: DataFrame) -> DataFrame:
 
 
 def follow(aliases: DataFrame, resolution: DataFrame) -> DataFrame:
-    """Aliases of representatives (``rep_name``) get what these resolve to; without a resolution they become canonical."""
-    to = resolution.select(F.col("name").alias("rep_name"), F.col("canonical").alias("_c"), F.col("canonical_id").alias("_i"))
-    x = aliases.join(to, "rep_name", "left")
+    """Aliases of representatives (``rep_name``) get what these resolve to; without a resolution they become canonical.
+
+    Where both sides have ``kind`` or ``community_id``, a representative is one of the alias's own kind and community.
+    Of representatives of one key the first by ``pos`` counts.
+    """
+    keys = _keys(aliases, resolution)
+    to = resolution.groupBy(*keys).agg(F.min_by(F.struct(F.col("canonical").alias("c"), F.col("canonical_id").alias("i")), "pos").alias("_to"))
+    to = to.select(*keys, F.col("_to.c").alias("_c"), F.col("_to.i").alias("_i"))
+    x = _by_key(aliases, to, keys, "left", ["rep_name" if k == "name" else k for k in keys])
     alone = F.col("_i").isNull()
     return x.select("id", "name", "name_en", F.coalesce("_c", shown()).alias("canonical"), F.coalesce("_i", "id").alias("canonical_id"), alone.alias("is_new"), alone.alias("is_canonical"))
 
 
 def follow_decided(uncertain: DataFrame, decisions: DataFrame, resolution: DataFrame) -> DataFrame:
     """Uncertain pairs: those decided to be the same follow their representative, all others (undecided too) become canonical."""
-    told = decisions.where("same").select("name").distinct()
-    follows = follow(uncertain.join(told, "name", "left_semi"), resolution)
-    return follows.unionByName(new_canonicals(uncertain.join(told, "name", "left_anti")))
+    keys = _keys(uncertain, decisions)
+    told = decisions.where("same").select(*keys).distinct()
+    follows = follow(_by_key(uncertain, told, keys, "left_semi"), resolution)
+    return follows.unionByName(new_canonicals(_by_key(uncertain, told, keys, "left_anti")))
 
 
 def points(items: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ LINK = r"""
 , reg AS (SELECT 's' || s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'EN ' || s_name END AS name_en, s_suppkey % 5 <> 0 AS is_canonical, CASE WHEN s_suppkey % 5 = 0 THEN 's' || (s_suppkey - 1) ELSE 's' || s_suppkey END AS canonical_id FROM supplier),
 its AS (SELECT c_custkey AS pos, 'c' || c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'EN ' || c_name END AS name_en, CASE WHEN c_custkey % 6 <> 0 THEN 's' || (c_custkey % (SELECT count(*) FROM supplier) + 1) END AS match_id,
         CASE WHEN c_custkey % 7 = 3 THEN NULL ELSE c_custkey % 3 <> 0 END AS same, c_custkey % 11 = 0 AS new_is_canonical, CASE WHEN c_custkey % 22 = 0 THEN 'form ' || c_custkey ELSE '' END AS form FROM customer),
-res AS (SELECT i.*, CASE WHEN match_id IS NULL OR NOT coalesce(same, true) THEN 'new' WHEN same IS NOT NULL AND new_is_canonical THEN 'replace' ELSE 'alias' END AS outcome,
+res AS (SELECT i.*, CASE WHEN match_id IS NULL OR NOT coalesce(same, false) THEN 'new' WHEN new_is_canonical THEN 'replace' ELSE 'alias' END AS outcome,
         coalesce(nullif(trim(i.name_en), ''), i.name) AS own, coalesce(nullif(trim(r.name_en), ''), r.name) AS old, r.canonical_id AS old_id, r.name AS old_name FROM its i LEFT JOIN reg r ON r.id = i.match_id),
 out AS (SELECT id, pos, name, name_en, match_id, outcome, CASE outcome WHEN 'alias' THEN old WHEN 'replace' THEN coalesce(nullif(form, ''), own) ELSE own END AS canonical, CASE WHEN outcome = 'alias' THEN old_id ELSE id END AS canonical_id,
         CASE WHEN outcome = 'alias' THEN match_id ELSE id END AS point_id, outcome <> 'alias' AS is_new, outcome <> 'alias' AS is_canonical FROM res),
