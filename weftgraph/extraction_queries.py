@@ -9,7 +9,7 @@ from weftgraph.functions import model_output, text
 from weftgraph.operators import answers, chunking, diagnostics, graph, triples
 from weftgraph.plans import planner, views
 from weftgraph.plans.views import table
-from weftgraph.queries import query
+from weftgraph.queries import KG, query
 
 def _id() -> Column:
     return F.col("event_id")
@@ -67,10 +67,10 @@ def j11(spark, d):
     return events(spark, d).select("event_id", model_output.first_object(answer).alias("found"))
 
 
-@query("d04_tokens", "SELECT doc_id, (length(text) // 4)::BIGINT AS tokens, trim(translate(text, chr(10) || chr(13) || chr(9), '   '), ' ') AS clean, regexp_replace(substr(text, 1, 9), '[^\\p{L}\\p{N}]', '_', 'g') AS safe FROM documents")
+@query("d04_tokens", "SELECT doc_id, (length(text) // 4)::BIGINT AS tokens, trim(translate(text, chr(10) || chr(13) || chr(9), '   '), ' ') AS clean, regexp_replace(text, '[^\\p{L}\\p{N}]', '_', 'g') AS safe FROM documents")
 def d04(spark, d):
     x = F.col("text")
-    return table(spark, d, "documents").select("doc_id", text.token_estimate(x).cast("long").alias("tokens"), text.sanitize(x).alias("clean"), text.safe_name(F.substring(x, 1, 9)).alias("safe"))
+    return table(spark, d, "documents").select("doc_id", text.token_estimate(x).cast("long").alias("tokens"), text.sanitize(x).alias("clean"), text.safe_name(x).alias("safe"))
 
 
 @query("d05_section_sizes", ", n AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents) SELECT doc_id, CASE WHEN least(n, 1000) <= 100 THEN 100 ELSE least(least(n, 1000) + 50, n) END::INTEGER AS size FROM n")
@@ -171,9 +171,9 @@ def v10(spark, d):
     return table(spark, d, "documents").select("doc_id", text.script_language(x).alias("language"), text.has_digit(x).alias("digits"))
 
 
-@query("s20_chunk_refs", "SELECT DISTINCT community_id, chunk_id FROM ordered")
+@query("s20_chunk_refs", KG + "SELECT DISTINCT community_id, chunk_id FROM kg_rows")
 def s20(spark, d):
-    return planner.chunk_refs(views.ordered_rows(spark, d))
+    return planner.chunk_refs(views.kg_edge_rows(spark, d))
 
 
 @query("n01_free_query", "SELECT type, count(*) AS n FROM nodes WHERE name <> 'NATION_3' GROUP BY type")
@@ -241,15 +241,15 @@ def l07(spark, d):
     return planner.label_group_seeds(labels, p.select(views.key("p:", "p_partkey").alias("id"), F.col("p_brand").alias("label")), ["g0"])
 
 
-@query("l09_seeds_from_results", "SELECT src AS id FROM ordered UNION SELECT dst FROM ordered")
+@query("l09_seeds_from_results", KG + "SELECT src AS id FROM kg_rows UNION SELECT dst FROM kg_rows")
 def l09(spark, d):
-    return planner.seeds_from_results(views.ordered_rows(spark, d))
+    return planner.seeds_from_results(views.kg_edge_rows(spark, d))
 
 
-@query("l08_connectivity_seeds", """, e AS (SELECT DISTINCT src, edge_type, dst FROM geo), g AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e WHERE src <> dst) GROUP BY 1)
+@query("l08_connectivity_seeds", KG + """, e AS (SELECT DISTINCT src, edge_type, dst FROM kg), g AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e WHERE src <> dst) GROUP BY 1)
 SELECT id FROM (SELECT canonical_id AS id, coalesce(n, 0) AS n FROM nodes LEFT JOIN g ON g.id = canonical_id) ORDER BY n DESC, id LIMIT 20""")
 def l08(spark, d):
-    return graph.top_degree(views.kg_nodes(spark, d), views.geo_edges(spark, d)).select(F.col("canonical_id").alias("id"))
+    return graph.top_degree(views.kg_nodes(spark, d), views.kg_edges(spark, d)).select(F.col("canonical_id").alias("id"))
 
 
 @query("y01_no_results", f"SELECT doc_id AS question_id, '{answers.NOTHING}' AS answer FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM raw)")

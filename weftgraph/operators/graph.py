@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.triples import first_by
-from weftgraph.plans.materialize import materialize
 
 
 def merge_edges(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -29,10 +28,11 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, types: list[str] | None = None, communities: list[str] | None = None) -> DataFrame:
-    """``start, edge_type, connected`` and the edge's columns, in either direction from the seeds (``id``)."""
+    """``seed, subject, predicate, object, community_id, chunk_id``: edges at the seeds (``id``), in their stored direction; one between two seeds comes for both."""
     own = in_communities(edges, communities)
     own = own if types is None else own.where(F.col("edge_type").isin(types))
-    return both_ways(own).join(seeds.select(F.col("id").alias("a")).distinct(), "a").select(F.col("a").alias("start"), "edge_type", F.col("b").alias("connected"), "community_id", "chunk_id")
+    near = both_ways(own).join(seeds.select(F.col("id").alias("a")).distinct(), "a")
+    return near.select(F.col("a").alias("seed"), F.col("src").alias("subject"), F.col("edge_type").alias("predicate"), F.col("dst").alias("object"), "community_id", "chunk_id")
 
 
 def trails(edges: DataFrame, seeds: DataFrame, depth: int, communities: list[str] | None = None) -> DataFrame:
@@ -48,26 +48,6 @@ def trails(edges: DataFrame, seeds: DataFrame, depth: int, communities: list[str
     return out.select("start", "end", "length", "nodes", "edges")
 
 
-def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int = 3, communities: list[str] | None = None) -> DataFrame:
-    """``start, end, length, nodes`` between different seeds, at most ``depth`` edges; of equals the least node list.
-
-    Breadth-first over (start, node) pairs: a pair that was reached is not reached again, and each level
-    keeps one path for each pair by a partial aggregation.
-    """
-    steps = materialize(both_ways(in_communities(edges, communities)).select("a", "b").distinct(), "steps")
-    seeds = materialize(seeds.select("id").distinct(), "seeds")
-    seen = seeds.select(F.col("id").alias("start"), F.col("id").alias("end")).distinct()
-    front = seen.withColumn("nodes", F.array("end"))
-    out = None
-    for length in range(1, depth + 1):
-        far = front.join(steps, front["end"] == steps["a"]).select("start", F.col("b").alias("end"), F.concat("nodes", F.array("b")).alias("nodes"))
-        front = materialize(far.groupBy("start", "end").agg(F.min("nodes").alias("nodes")).join(seen, ["start", "end"], "left_anti"), "front")
-        seen = seen.unionAll(front.select("start", "end"))
-        hit = front.join(seeds.select(F.col("id").alias("end")).distinct(), "end").select("start", "end", F.lit(length).alias("length"), "nodes")
-        out = hit if out is None else out.unionAll(hit)
-    return out
-
-
 def match(edges: DataFrame, subjects: list[str] | DataFrame | None = None, types: list[str] | None = None, objects: list[str] | None = None, communities: list[str] | None = None) -> DataFrame:
     """Directed edges for which all given conditions hold; ``subjects`` may be a table of ``id``."""
     out = in_communities(edges, communities)

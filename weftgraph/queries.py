@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import model_output, text
-from weftgraph.operators import answers, blocks, chunking, communities, diagnostics, graph, ranking, resolution, retrieval, schema, triples
+from weftgraph.operators import answers, blocks, chunking, communities, diagnostics, graph, paths, ranking, resolution, retrieval, schema, triples
 from weftgraph.operators.components import connected_components
 from weftgraph.plans import planner, views
+from weftgraph.plans.materialize import materialize
 from weftgraph.plans.views import table
 from weftgraph.sources import documents, reports
 
@@ -145,40 +146,39 @@ def hundreds(nodes: DataFrame) -> DataFrame:
 #: The same nodes, the merged edges from both ends, and the steps between places.
 HUNDREDS = KG + """
 , hundreds AS (SELECT canonical_id AS id FROM nodes WHERE split_part(canonical_id, ':', 2)::BIGINT % 100 = 0),
-kg2 AS (SELECT src AS a, dst AS b, edge_type, community_id, chunk_id FROM kg UNION ALL SELECT dst, src, edge_type, community_id, chunk_id FROM kg WHERE src <> dst),
-steps AS (SELECT DISTINCT a, b FROM geo2)
+kg2 AS (SELECT src AS a, dst AS b, src, edge_type, dst, community_id, chunk_id FROM kg UNION ALL SELECT dst, src, src, edge_type, dst, community_id, chunk_id FROM kg WHERE src <> dst),
+steps AS (SELECT DISTINCT a, b FROM kg2)
 """
 
 
-@query("n03_neighbourhood_hundreds", HUNDREDS + "SELECT a AS start, edge_type, b AS connected, community_id, chunk_id FROM kg2 WHERE a IN (FROM hundreds)")
+@query("n03_neighbourhood_hundreds", HUNDREDS + "SELECT a AS seed, src AS subject, edge_type AS predicate, dst AS object, community_id, chunk_id FROM kg2 WHERE a IN (FROM hundreds)")
 def n03_hundreds(spark, d):
     return graph.neighbourhood(views.kg_edges(spark, d), hundreds(views.kg_nodes(spark, d)))
 
 
-@query("n03_neighbourhood_community_hundreds", HUNDREDS + "SELECT a AS start, edge_type, b AS connected, community_id, chunk_id FROM kg2 WHERE a IN (FROM hundreds) AND edge_type IN ('LOCATED_IN', 'SUPPLIES') AND community_id IN ('NATION_0', 'NATION_1')")
+@query("n03_neighbourhood_community_hundreds", HUNDREDS + "SELECT a AS seed, src AS subject, edge_type AS predicate, dst AS object, community_id, chunk_id FROM kg2 WHERE a IN (FROM hundreds) AND edge_type IN ('LOCATED_IN', 'SUPPLIES') AND community_id IN ('NATION_0', 'NATION_1')")
 def n03c_hundreds(spark, d):
     return graph.neighbourhood(views.kg_edges(spark, d), hundreds(views.kg_nodes(spark, d)), ["LOCATED_IN", "SUPPLIES"], ["NATION_0", "NATION_1"])
 
 
-@query("n04_trails_hundreds", HUNDREDS + """
-, one AS (SELECT src || '|' || edge_type || '|' || dst AS e, src AS a, dst AS b FROM geo UNION ALL SELECT src || '|' || edge_type || '|' || dst, dst, src FROM geo WHERE src <> dst),
+@query("n04_trails_whole", HUNDREDS + """
+, one AS (SELECT src || '|' || edge_type || '|' || dst AS e, a, b FROM kg2),
 p1 AS (SELECT a AS start, b AS e_, e, [a, b] AS ns FROM one WHERE a IN (FROM hundreds)),
 p2 AS (SELECT start, b AS e_, list_append(ns, b) AS ns FROM p1 JOIN one ON a = e_ WHERE p1.e <> one.e)
 SELECT start, e_ AS "end", 1 AS length, array_to_string(ns, '>') AS nodes FROM p1 UNION ALL SELECT start, e_, 2, array_to_string(ns, '>') FROM p2
 """)
-def n04_hundreds(spark, d):
-    out = graph.trails(views.geo_edges(spark, d), hundreds(views.kg_nodes(spark, d)), 2)
+def n04_whole(spark, d):
+    out = graph.trails(materialize(views.kg_edges(spark, d), "edges"), hundreds(views.kg_nodes(spark, d)), 2)
     return out.select("start", "end", "length", F.array_join("nodes", ">").alias("nodes"))
 
 
-@query("n05_shortest_paths_hundreds", HUNDREDS + """
-, p1 AS (SELECT a AS s, b AS e FROM steps WHERE a IN (FROM hundreds)), p2 AS (SELECT DISTINCT s, b AS e FROM p1 JOIN steps ON a = e),
-p3 AS (SELECT DISTINCT s, b AS e FROM p2 JOIN steps ON a = e), p4 AS (SELECT DISTINCT s, b AS e FROM p3 JOIN steps ON a = e),
-walks AS (SELECT *, 1 AS n FROM p1 UNION ALL SELECT *, 2 FROM p2 UNION ALL SELECT *, 3 FROM p3 UNION ALL SELECT *, 4 FROM p4)
+@query("n05_shortest_paths_whole", HUNDREDS + """
+, p1 AS (SELECT a AS s, b AS e FROM steps WHERE a IN (FROM hundreds)), p2 AS (SELECT DISTINCT s, b AS e FROM p1 JOIN steps ON a = e), p3 AS (SELECT DISTINCT s, b AS e FROM p2 JOIN steps ON a = e),
+walks AS (SELECT *, 1 AS n FROM p1 UNION ALL SELECT *, 2 FROM p2 UNION ALL SELECT *, 3 FROM p3)
 SELECT s AS start, e AS "end", min(n)::INTEGER AS length FROM walks WHERE e IN (FROM hundreds) AND s <> e GROUP BY s, e
 """)
-def n05_hundreds(spark, d):
-    return graph.shortest_paths(views.geo_edges(spark, d), hundreds(views.kg_nodes(spark, d)), 4).select("start", "end", "length")
+def n05_whole(spark, d):
+    return paths.shortest_paths(views.kg_edges(spark, d), hundreds(views.kg_nodes(spark, d)), 3).select("start", "end", "length")
 
 
 @query("n07_pattern_hundreds", HUNDREDS + "SELECT src, edge_type, dst, community_id, chunk_id FROM kg WHERE src IN (FROM hundreds) AND edge_type IN ('ORDERED', 'SUPPLIES')")
@@ -598,11 +598,12 @@ def s12(spark, d):
     return documents.labelled_text(table(spark, d, "conversations"), "conv_id", "turn")
 
 
-@query("s18_chunk_texts", "SELECT doc_id::VARCHAR AS community_id, chunk_id, CASE WHEN length(content) > 500 THEN substr(content, 1, 500) || chr(10) || chr(10) || '[truncated]' ELSE content END AS text, CASE WHEN content IS NULL THEN 'not found' END AS error FROM (SELECT DISTINCT doc_id, 1 AS chunk_id FROM documents UNION SELECT DISTINCT doc_id, 3 FROM documents) LEFT JOIN chunks USING (doc_id, chunk_id)")
+@query("s18_chunk_texts", ", n AS (SELECT doc_id, unnest(range(1, max(chunk_id) + 2)) AS chunk_id FROM chunks GROUP BY doc_id) SELECT doc_id::VARCHAR AS community_id, chunk_id::INTEGER AS chunk_id, CASE WHEN length(content) > 500 THEN substr(content, 1, 500) || chr(10) || chr(10) || '[truncated]' ELSE content END AS text, CASE WHEN content IS NULL THEN 'not found' END AS error FROM n LEFT JOIN chunks USING (doc_id, chunk_id)")
 def s18c(spark, d):
-    own = F.col("doc_id").cast("string").alias("community_id")
-    refs = table(spark, d, "documents").select(own, F.explode(F.array(F.lit(1), F.lit(3), F.lit(1))).alias("chunk_id"))
-    return documents.chunk_texts(refs, views.doc_chunks(spark, d).select(own, "chunk_id", "content"), 500)
+    """Every chunk of every document, and the one behind the last, which is not there."""
+    chunks = materialize(views.doc_chunks(spark, d).select(F.col("doc_id").cast("string").alias("community_id"), "chunk_id", "content"), "chunks")
+    refs = chunks.groupBy("community_id").agg(F.max("chunk_id").alias("n")).select("community_id", F.explode(F.sequence(F.lit(1), F.col("n") + 1)).alias("chunk_id"))
+    return documents.chunk_texts(refs, chunks, 500)
 
 
 @query("s21_greatest_chunk", "SELECT doc_id, max(chunk_id)::BIGINT AS chunk_id FROM chunks GROUP BY doc_id")
