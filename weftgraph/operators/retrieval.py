@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import sparse_tokens, token_id
+from weftgraph.plans.materialize import materialize
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,15 +27,58 @@ def sparse_scores(queries: DataFrame, postings: DataFrame, n_docs: int) -> DataF
     return weights.join(postings, "token_id").groupBy("item_id", "doc_id").agg(F.sum(F.col("w") * F.col("tf")).alias("score"))
 
 
+#: Postings of a query that are looked up for a first bound, for each wanted result.
+PROBED = 200
+
+
+def sparse_top_k(queries: DataFrame, postings: DataFrame, n_docs: int, k: int, digits: int = 6) -> DataFrame:
+    """``item_id, doc_id, score, rank``: the best ``k`` documents of each query by ``sparse_scores`` (rounded; equals by id), without scoring all that share a token.
+
+    Documents lie in blocks by the logarithm of how many of the queries' tokens they hold, and each token's postings have a greatest count for each block;
+    times the token's weight it bounds what the token adds there. Tokens of the most promising blocks are looked up first; their
+    partial scores bound the k-th best score from below. A block whose bounds together stay below that is not read, and elsewhere
+    the tokens at the end of the falling order whose bounds stay below it cannot make a result by themselves: only documents of the
+    other tokens are candidates, of which those go whose partial score cannot reach the bound. What is left gets the other
+    tokens' parts by (document, token). Nothing that could be a result is left out.
+    """
+    slack = 10.0**-digits
+    queries = materialize(queries.select("item_id", "token_id", F.col("tf").alias("qtf")), "query-tokens")
+    shared = postings.select("doc_id", "token_id", "tf").join(queries.select("token_id").distinct(), "token_id", "left_semi")
+    block = F.floor(2 * F.log2(F.sum("tf").over(Window.partitionBy("doc_id")))).cast("int")
+    postings = materialize(shared.withColumn("block", block), "postings")
+    known = postings.groupBy("token_id", "block").agg(F.count("*").alias("n"), F.max("tf").alias("top"))
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    own = queries.join(known.groupBy("token_id").agg(F.sum("n").alias("df")), "token_id").select("item_id", "token_id", (F.col("qtf") * idf).alias("w"))
+    weights = own.join(known, "token_id").select("item_id", "token_id", "block", "n", "w", (F.col("w") * F.col("top")).alias("most"))
+    falling = Window.partitionBy("item_id", "block").orderBy(F.desc("most"), "token_id")
+    weights = weights.withColumn("rest", F.sum("most").over(falling.rowsBetween(0, Window.unboundedFollowing))).withColumn("all", F.sum("most").over(Window.partitionBy("item_id", "block")))
+    promising = Window.partitionBy("item_id").orderBy(F.desc("all"), "block", F.desc("most"), "token_id").rowsBetween(Window.unboundedPreceding, 0)
+    weights = materialize(weights.withColumn("seen", F.sum("n").over(promising) - F.col("n")), "query-weights")
+
+    def partial(tokens: DataFrame) -> DataFrame:
+        return tokens.join(postings, ["token_id", "block"]).groupBy("item_id", "block", "doc_id").agg(F.sum(F.col("w") * F.col("tf")).alias("score"))
+
+    kth = best(partial(weights.where(F.col("seen") < PROBED * k)), "item_id", k, "doc_id").where(F.col("rank") == k).select("item_id", (F.col("score") - slack).alias("bound"))
+    weights = materialize(weights.join(kth, "item_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0))).where("all >= bound"), "query-bounds")
+    light = F.col("rest") < F.col("bound")
+    others = weights.groupBy("item_id", "block", "bound").agg(F.sum(F.when(light, F.col("most")).otherwise(0.0)).alias("other"))
+    found = partial(weights.where(~light)).join(others, ["item_id", "block"]).where(F.col("score") + F.col("other") >= F.col("bound"))
+    found = materialize(found.select("item_id", "block", "doc_id", "score"), "candidates")
+    more = found.join(weights.where(light).select("item_id", "block", "token_id", "w"), ["item_id", "block"]).join(postings, ["doc_id", "token_id"])
+    more = more.groupBy("item_id", "doc_id").agg(F.sum(F.col("w") * F.col("tf")).alias("more"))
+    whole = found.join(more, ["item_id", "doc_id"], "left").select("item_id", "doc_id", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), digits).alias("score"))
+    return best(whole, "item_id", k, "doc_id")
+
+
 def best(scored: DataFrame, by: str, k: int, tie: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.desc("score"), tie)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def fuse(a: DataFrame, b: DataFrame, by: str, item: str, limit: int, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of two ranked lists (``by, item, rank``): the best ``limit`` for each query."""
+def fuse(a: DataFrame, b: DataFrame, by: str, item: str, limit: int, k: int = 60, digits: int = 9) -> DataFrame:
+    """Reciprocal rank fusion of two ranked lists (``by, item, rank``): the best ``limit`` for each query by the rounded score."""
     both = a.select(by, item, "rank").unionAll(b.select(by, item, "rank"))
-    return best(both.groupBy(by, item).agg(F.sum(1.0 / (k + F.col("rank"))).alias("score")), by, limit, item)
+    return best(both.groupBy(by, item).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), digits).alias("score")), by, limit, item)
 
 
 def min_max(scored: DataFrame, by: str) -> DataFrame:

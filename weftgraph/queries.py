@@ -391,20 +391,19 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 """
 
 
-def _sparse(spark, d):
-    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
-    s = retrieval.sparse_scores(retrieval.term_counts(bench, "item_id"), retrieval.term_counts(docs), docs.count())
-    return s.withColumn("score", F.round("score", 4))
+def _sparse(spark, d, k: int) -> DataFrame:
+    bench, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    return retrieval.sparse_top_k(retrieval.term_counts(bench, "item_id"), retrieval.term_counts(docs), docs.count(), k, 4)
 
 
 @query("q13_sparse_search", QUERY_TF.replace("\\\\", "\\") + "SELECT item_id, doc_id, score, rank::INTEGER AS rank FROM rk WHERE rank <= 10")
 def q13(spark, d):
-    return retrieval.best(_sparse(spark, d), "item_id", 10, "doc_id")
+    return _sparse(spark, d, 10)
 
 
 @query("q12_min_max", QUERY_TF.replace("\\\\", "\\") + "SELECT item_id, doc_id, score AS raw_score, round(CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END, 4) AS score FROM (SELECT *, min(score) OVER (PARTITION BY item_id) AS lo, max(score) OVER (PARTITION BY item_id) AS hi FROM rk WHERE rank <= 10)")
 def q12(spark, d):
-    s = retrieval.min_max(retrieval.best(_sparse(spark, d), "item_id", 10, "doc_id").drop("rank"), "item_id")
+    s = retrieval.min_max(_sparse(spark, d, 10).drop("rank"), "item_id")
     return s.withColumn("score", F.round("score", 4))
 
 
@@ -420,10 +419,7 @@ def q10(spark, d):
     points = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     asked = points.join(table(spark, d, "benchmark").select(F.col("item_id").alias("id")), "id")
     b = blocks.top_k(asked, points, 40, -1.5, digits=6).withColumnsRenamed({"query_id": "item_id", "id": "doc_id"})
-    a = retrieval.best(_sparse(spark, d), "item_id", 40, "doc_id")
-    both = a.select("item_id", "doc_id", "rank").unionAll(b.select("item_id", "doc_id", "rank"))
-    fused = both.groupBy("item_id", "doc_id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("score"))
-    return retrieval.best(fused, "item_id", 10, "doc_id").drop("rank")
+    return retrieval.fuse(_sparse(spark, d, 40), b, "item_id", "doc_id", 10).drop("rank")
 
 
 @query("q06_entities_per_label", "SELECT type, canonical_id FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY canonical_id) AS rn FROM nodes) WHERE rn <= 50")
