@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.plans.materialize import shared_dir
+from weftgraph.plans.materialize import discard, materialize, shared_dir
 
 from . import bpe, chat_format, cover_tree, decontaminate, erasure, html_main, lang_id, license_scan, line_dedup, ngram_join, prefix_trie, token_files, toxicity
 from ._frame import held_out, table, train_part
@@ -91,12 +91,14 @@ def _crc(column: str) -> Column:
 def op11_cascading_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/erasure-{uuid.uuid4().hex}"
     tables = {name: table(spark, sf_dir, name) for name in SHOP_COLUMNS}
-    owners = tables["sales"].groupBy("sale_id").agg(F.min("client_id").alias("_weft_client"))
+    # a written table: the join with the lines has no aggregate beside it, so Spark can split a hot sale
+    owners = materialize(tables["sales"].groupBy("sale_id").agg(F.min("client_id").alias("_weft_client")), "owners")
     paths = {}
     for name, df in tables.items():
         rows = df.join(owners, "sale_id", "left") if name == "sale_lines" else df
         first = _crc("_weft_client" if name == "sale_lines" else "client_id")
         paths[name] = erasure.write_sorted(rows, f"{folder}/{name}", 1 + df.count() // 150, [first], df.columns)
+    discard(owners)
     masters = tables["clients"].select(F.col("master_id").alias("key")).where("key IS NOT NULL").distinct().where(_crc("key") % 100 == 0)
     busy = erasure.busiest(tables["clients"], tables["clicks"], "master_id", "client_id")
     victims = erasure.cascade(tables, SHOP, {"masters": masters.unionAll(busy)})
