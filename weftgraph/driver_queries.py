@@ -12,6 +12,7 @@ from weftgraph.operators import calls, evidence, nested
 from weftgraph.plans import refine, stages, views
 from weftgraph.plans.materialize import shared_dir
 from weftgraph.plans.views import table
+from weftgraph.plans.stages import Stage
 from weftgraph.queries import query
 
 
@@ -77,14 +78,18 @@ def _resolve(kind: str, rows: DataFrame) -> DataFrame:
     return known.withColumns({"canonical": F.concat(F.lit(kind[0] + ":"), "name"), "canonical_id": uuid5_zero(F.col("name"))})
 
 
-def _refined(spark, d) -> tuple[dict[str, DataFrame], str]:
-    t = views.raw_triples(spark, d)
+def _labelled_triples(documents: DataFrame) -> DataFrame:
+    t = views.triples_of(documents)
     label = lambda c: F.concat(F.when(F.length(c) % 3 == 0, "").otherwise("L"), F.when(F.length(c) % 3 == 1, F.length(c).cast("string")).otherwise(""))
-    t = t.select("doc_id", "triple_no", "subject", "predicate", "object", "evidence_quote", F.col("doc_id").cast("string").alias("community_id"), "chunk_id", label("subject").alias("subject_label"), label("object").alias("object_label"))
-    folder = _new_folder(spark, "refined")
-    first = refine.stages(_resolve)[:3]
-    stages.resumed(spark, first, {"triples": t}, folder)  # as a run that ended half way
-    return stages.resumed(spark, refine.stages(_resolve), {"triples": t}, folder), folder
+    return t.select("doc_id", "triple_no", "subject", "predicate", "object", "evidence_quote", F.col("doc_id").cast("string").alias("community_id"), "chunk_id", label("subject").alias("subject_label"), label("object").alias("object_label"))
+
+
+def _refined(spark, d) -> tuple[dict[str, DataFrame], str]:
+    folder, inputs = _new_folder(spark, "refined"), {"documents": table(spark, d, "documents")}
+    steps = [Stage("triples", lambda t: _labelled_triples(t["documents"]), ("documents",)), *refine.stages(_resolve)]
+    marks = {"documents": stages.content_fingerprint(inputs["documents"])}
+    stages.resumed(spark, steps[:3], inputs, folder, marks)  # as a run that ended half way
+    return stages.resumed(spark, steps, inputs, folder, marks), folder
 
 
 LABEL = "(CASE WHEN length({0}) % 3 = 0 THEN '' WHEN length({0}) % 3 = 1 THEN 'L' || length({0}) ELSE 'L' END)"
@@ -97,9 +102,9 @@ def r15(spark, d):
     return _refined(spark, d)[0]["refined"].select("doc_id", "triple_no", "subject_name", "object_name", "predicate_name", "subject_label_name", "object_label_name")
 
 
-@query("y05_stage_states", LABELLED + """ SELECT 'evidence' AS stage, 'reused' AS status, count(*) AS n_rows FROM (SELECT DISTINCT evidence_quote, doc_id, chunk_id FROM raw)
+@query("y05_stage_states", LABELLED + """ SELECT 'triples' AS stage, 'reused' AS status, count(*) AS n_rows FROM raw UNION ALL SELECT 'evidence', 'reused', count(*) FROM (SELECT DISTINCT evidence_quote, doc_id, chunk_id FROM raw)
 UNION ALL SELECT 'entity', 'reused', count(*) FROM (SELECT subject AS x FROM raw UNION SELECT object FROM raw) WHERE length(x) > 2
-UNION ALL SELECT 'predicate', 'reused', count(*) FROM (SELECT DISTINCT predicate, doc_id FROM raw WHERE length(predicate) > 3)
+UNION ALL SELECT 'predicate', 'done', count(*) FROM (SELECT DISTINCT predicate, doc_id FROM raw WHERE length(predicate) > 3)
 UNION ALL SELECT 'label', 'done', count(*) FROM (SELECT sl AS x FROM lab UNION SELECT ol FROM lab) WHERE length(x) > 1
 UNION ALL SELECT 'refined', 'done', count(*) FROM raw""")
 def y05(spark, d):

@@ -16,6 +16,13 @@ def canonical(json: Column) -> Column:
     return F.to_json(F.try_parse_json(json))
 
 
+def _told(v: Column) -> list[Column]:
+    """``kind`` (``more`` for lists and objects, null for null), ``value`` of a scalar, ``_json`` of the others."""
+    name = F.substring_index(F.schema_of_variant(v), "<", 1)
+    kind = F.when(name.isin("OBJECT", "ARRAY"), "more").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name != "VOID", "number")
+    return [kind.alias("kind"), F.try_variant_get(v, "$", "string").alias("value"), F.when(name.isin("OBJECT", "ARRAY"), F.to_json(v)).alias("_json")]
+
+
 def leaves(df: DataFrame, json: str, keys: list[str]) -> DataFrame:
     """``keys, path, place, kind, value`` of each scalar in the column ``json``, however deep: one row a leaf of each row.
 
@@ -24,21 +31,20 @@ def leaves(df: DataFrame, json: str, keys: list[str]) -> DataFrame:
     Each level is exploded once, set-based, and written; there are as many levels as the deepest value has.
     """
     spark = df.sparkSession
-    node = df.select(*keys, F.lit("$").alias("path"), F.array().cast("array<string>").alias("place"), F.col(json).alias("_json")).where("_json IS NOT NULL")
+    node = df.select(*keys, F.lit("$").alias("path"), F.array().cast("array<string>").alias("place"), F.try_parse_json(json).alias("_v")).where("_v IS NOT NULL")
+    node = node.select(*keys, "path", "place", *_told(F.col("_v")))
     done = None
     while True:
-        typed = node.withColumn("_v", F.try_parse_json("_json")).where("_v IS NOT NULL").withColumn("_t", F.schema_of_variant("_v"))
-        inner = F.col("_t").startswith("OBJECT<") | F.col("_t").startswith("ARRAY<")
-        kind = F.when(F.col("_t") == "STRING", "string").when(F.col("_t") == "BOOLEAN", "boolean").otherwise("number")
-        scalars = typed.where(~inner & (F.col("_t") != "VOID")).select(*keys, "path", "place", kind.alias("kind"), F.try_variant_get("_v", "$", "string").alias("value"))
+        scalars = node.where("kind <> 'more'").drop("_json")
         done = scalars if done is None else done.unionAll(scalars)
-        deeper = typed.where(inner).lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
-        step = F.coalesce(F.col("key"), F.lpad(F.col("pos").cast("string"), 10, "0"))
-        path = F.concat("path", F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), "key")))
-        # scalars travel as JSON too, so the level below is written without types that differ from row to row
-        node = materialize(deeper.select(*keys, path.alias("path"), F.concat("place", F.array(step)).alias("place"), F.to_json("value").alias("_json")), "level")
-        if node.isEmpty():
+        more = node.where("kind = 'more'")
+        if more.isEmpty():
             return done
+        inside = more.select(*keys, "path", "place", F.parse_json("_json").alias("_v")).lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()).withColumnsRenamed({"pos": "_pos", "key": "_key", "value": "_value"}))
+        step = F.coalesce(F.col("_key"), F.lpad(F.col("_pos").cast("string"), 10, "0"))
+        path = F.concat("path", F.when(F.col("_key").isNull(), F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), "_key")))
+        # what is inside travels as JSON, so a level is written without types that differ from row to row
+        node = materialize(inside.select(*keys, path.alias("path"), F.concat("place", F.array(step)).alias("place"), *_told(F.col("_value"))), "level")
 
 
 def all_text(leaf_rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -79,7 +79,11 @@ def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triples_of(table(spark, sf_dir, "documents"))
+
+
+def triples_of(documents: DataFrame) -> DataFrame:
     """The first three word tokens of each line of at least three, with the line as evidence."""
-    lines = doc_lines(spark, sf_dir).withColumn("t", sparse_tokens(F.col("text"))).where(F.size("t") >= 3)
+    lines = lines_of(documents).withColumn("t", sparse_tokens(F.col("text"))).where(F.size("t") >= 3)
     part = lambda i: F.get("t", F.lit(i))
     return lines.select("doc_id", F.col("line_no").alias("triple_no"), F.floor(F.col("line_no") / 4).cast("int").alias("chunk_id"), part(0).alias("subject"), part(1).alias("predicate"), part(2).alias("object"), F.col("text").alias("evidence_quote"))
