@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import uuid5_zero
-from weftgraph.operators import calls, evidence, nested
+from weftgraph.operators import calls, diagnostics, evidence, nested
 from weftgraph.plans import refine, stages, views
 from weftgraph.plans.materialize import shared_dir
 from weftgraph.plans.views import table
 from weftgraph.plans.stages import Stage
+from weftgraph.queries import _coverage as chunk_coverage
 from weftgraph.queries import query
 
 
@@ -109,3 +110,16 @@ UNION ALL SELECT 'label', 'done', count(*) FROM (SELECT sl AS x FROM lab UNION S
 UNION ALL SELECT 'refined', 'done', count(*) FROM raw""")
 def y05(spark, d):
     return stages.states(spark, _refined(spark, d)[1]).select("stage", "status", "n_rows")
+
+
+@query("h01_quote_details", r"""SELECT doc_id, chunk_id, sum(len(regexp_split_to_array(trim(q, ' '), '\s+')))::BIGINT AS quote_words, string_agg(length(q), ',' ORDER BY length(q) DESC) AS quote_lengths
+FROM (SELECT DISTINCT doc_id, chunk_id, evidence_quote AS q FROM raw WHERE trim(evidence_quote, ' ') <> '') GROUP BY 1, 2""")
+def h01_details(spark, d):
+    out = diagnostics.quote_details(views.raw_triples(spark, d))
+    return out.withColumn("quote_lengths", F.array_join(F.col("quote_lengths").cast("array<string>"), ","))
+
+
+@query("h02_coverage_extremes", """(SELECT 'best' AS extreme, doc_id, chunk_id, round(coverage, 6) AS coverage FROM coverage ORDER BY coverage DESC, doc_id, chunk_id LIMIT 1)
+UNION ALL (SELECT 'worst', doc_id, chunk_id, round(coverage, 6) FROM coverage ORDER BY coverage, doc_id, chunk_id LIMIT 1)""")
+def h02_extremes(spark, d):
+    return diagnostics.coverage_extremes(chunk_coverage(spark, d)).withColumn("coverage", F.round("coverage", 6))

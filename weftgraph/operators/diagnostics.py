@@ -72,3 +72,18 @@ def compared(left: DataFrame, right: DataFrame, key: str, columns: list[str]) ->
     both = flat(left, "left_value").join(flat(right, "right_value"), [key, "column"], "full")
     a, b = F.col("left_value"), F.col("right_value")
     return both.withColumn("status", F.when(a.eqNullSafe(b), "same").when(b.isNull(), "left only").when(a.isNull(), "right only").otherwise("differs"))
+
+
+def quote_details(triples: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_id")) -> DataFrame:
+    """``keys, quote_words, quote_lengths`` of the distinct quotes that are not blank: their words, and their lengths, longest first."""
+    quotes = triples.where(F.trim("evidence_quote") != "").select(*keys, "evidence_quote").distinct()
+    words = F.size(F.split(F.trim("evidence_quote"), r"\s+")).cast("long")
+    return quotes.groupBy(*keys).agg(F.sum(words).alias("quote_words"), F.sort_array(F.collect_list(F.length("evidence_quote")), asc=False).alias("quote_lengths"))
+
+
+def coverage_extremes(coverage: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_id")) -> DataFrame:
+    """``extreme`` (best, worst), the keys of that chunk and its ``coverage``; of equal ones the first by its keys."""
+    key = F.struct(*keys)
+    best = coverage.agg(F.min(F.struct((-F.col("coverage")).alias("c"), key.alias("k"))).alias("b"), F.min(F.struct(F.col("coverage").alias("c"), key.alias("k"))).alias("w"))
+    row = lambda name, c, sign: F.struct(F.lit(name).alias("extreme"), *(F.col(f"{c}.k.{k}").alias(k) for k in keys), (sign * F.col(f"{c}.c")).alias("coverage"))
+    return best.where("b IS NOT NULL").select(F.inline(F.array(row("best", "b", F.lit(-1.0)), row("worst", "w", F.lit(1.0)))))
