@@ -232,15 +232,42 @@ def test_html_long_and_odd_pages():
         assert html_main.main_text(f"<body><article><h1>Rivers</h1>{part.format(text)}</article></body>") == f"Rivers\n\n{text}", part
 
 
-def test_html_classifier():
-    pages = [f"<article><p>{'word ' * 30}{k}</p></article><nav><li><a href=x>go {k}</a></li></nav>" for k in range(9)]
-    counts = {}
-    for page in pages:
-        for e in html_main.examples(page):
-            counts[e] = counts.get(e, 0) + 1
-    fitted = html_main.learn(counts)
+def test_html_classifier(spark):
+    pages = [(k, f"<article><p>{'word ' * 30}{k}</p><p>{'more ' * 12}{k}</p></article><nav><li><a href=x>go {k % 3}</a></li></nav>") for k in range(9)]
+    fitted = html_main.fit(spark.createDataFrame(pages, "page_id long, html string"))
     assert fitted[1] > 0 > fitted[2] and (html_main.learn({}) == html_main.WEIGHTS).all()
     assert fitted @ html_main.features(*_only("<p>" + "word " * 20)) > 0 > fitted @ html_main.features(*_only("<li><a href=x>go"))
+    copies = spark.createDataFrame(pages[:1] * 9, "page_id long, html string")  # copies of one page teach no boilerplate
+    assert (html_main.fit(copies) == html_main.WEIGHTS).all()
+
+
+def test_html_query_against_written_texts(spark, tmp_path):
+    text = "The first of many words that this article has about rivers and how they came to run where they run."
+    own, note = f"<h1>Rivers &amp; seas</h1><p>{text}</p>\n<p>Second \n one. {text}</p>", f"<p>{text} Not this.</p>"
+    kept = f"Rivers & seas\n\n{text}\n\nSecond one. {text}"
+    cases = [tuple(x and x.replace("first", f"first{k}").replace("Second", f"Second{k}").replace("Not", f"Not{k}") for x in case) for k, case in enumerate([
+        (f"<form id=aspnetForm><div id=content>{own}</div></form>", kept),
+        (f"<div class='content-sidebar-wrap'><div class=content>{own}</div><aside>{note}</aside></div>", kept),
+        (f"<div id=search-results-page><div class=entry-content>{own}</div></div>", kept),
+        (f"<div class=widget-area><article>{own}</article></div>", kept),
+        (f"<form><div>{own}</div><button>Send now</button></form>", kept),
+        (f"<form><article>{own}</article><div class=comments>{note * 9}</div></form>", kept),
+        (f"<main>{own}</main><div class=sidebar><article>{note * 3}</article></div>", kept),
+        (f"<article>{own}<h2>Sources</h2><ul><li><a href=x>One of them</a></li><li><a href=y>Two</a></li></ul></article>", f"{kept}\n\nSources\n\nOne of them\n\nTwo"),
+        (f"<header>{note}</header><nav><a href=x>Home</a></nav><article>{own}<div class=ad>{note}</div></article><footer>{note}</footer>", kept),
+        (f"<div class=related><article>{note}</article></div>", ""),
+        ("", ""),
+        (None, ""),
+    ])]
+    rows = [(k // 2, None if k % 3 else f"u{k}", h and f"<html><body>{h}</body></html>", "x", k) for k, (h, _) in enumerate(cases)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int").write.parquet(f"{tmp_path}/pages.parquet")
+    found = queries.op10_html_main_text(spark, str(tmp_path))
+    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    order = lambda r: (r[0], r[1] or "", r[2])
+    expected = [(i, u, t, len(t)) for (i, u, *_), (_, t) in zip(rows, cases, strict=True)]
+    assert sorted(map(tuple, found.collect()), key=order) == sorted(expected, key=order)
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_main.extract(none, html_main.fit(none)).count() == 0
 
 
 def _only(page):

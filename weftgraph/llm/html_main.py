@@ -1,9 +1,11 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page becomes a sequence of text blocks. A logistic classifier over a block's own features (words up to
-40, share of linked text, kind of element, copyright sign) is fitted on the pages themselves: blocks that
-stand in an article or main element are examples of content, blocks in navigation, footers, adverts and
-the like of boilerplate. What a block's elements and their names say adds to its log-odds. The absolute
+40, share of linked text outside of articles, kind of element, copyright sign) is fitted on the pages
+themselves: blocks beside the longest one of their page are examples of content if their text stands on no
+page with another longest block, blocks elsewhere whose text does of boilerplate; names of elements give no
+examples. What a block's elements and their names say adds to its log-odds; a form, or a wrapper whose name speaks against
+content, counts for nothing where it holds the marked element with most of the page's prose. The absolute
 value of the sum is the capacity to the source (content) or the sink (boilerplate). Neighbouring blocks,
 and consecutive blocks of one parent element, are joined by smoothness edges whose capacity falls with
 their distance in the DOM. A maximum flow separates the two sides; blocks that the residual graph reaches
@@ -12,12 +14,13 @@ from the source are the main text.
 The classifier learns from a sample of at most about ``sample_pages`` pages, chosen by a hash of the id, and
 starts from given weights, which stay where there are no examples. Character references are decoded, white
 space inside a block becomes one space, blocks are joined in page order by an empty line. Null pages and
-pages without content give an empty text. A page is read whole; memory is bounded by one page. Rows keep
-their multiplicity, extra columns are not returned.
+pages without content give an empty text, an empty table an empty result. A page is read whole; memory is bounded
+by one page. Rows keep their multiplicity, rows of one id or with a null url too; columns beyond ``keep`` are not returned.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import Counter
@@ -26,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._frame import bounded_sample, by_rows, over_texts
@@ -49,6 +52,8 @@ TAG_COST = {"article": 5.0, "main": 4.0} | dict.fromkeys("nav footer aside form
 BAD = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promoted promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer notice notices cookie cookies consent gdpr popup modal overlay subscribe subscription newsletter signup share sharing social related recommended recommendations comment comments commenter reply replies respond discussion disqus form login search widget widgets toolbar pagination pager copyright masthead complementary contentinfo alert dialog toc skip".split())
 #: Of these, what may hold articles that are not the page's own; and words that make a class a state of its element.
 ASIDE = BAD & frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promoted promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer related recommended recommendations comment comments commenter reply replies respond discussion disqus widget widgets complementary contentinfo".split())
+#: What is never a wrapper of the page's own article.
+FOREIGN = BAD & frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promoted promotion related recommended recommendations comment comments commenter reply replies respond discussion disqus".split())
 STATE = frozenset("no not has have with without is enabled disabled hide hidden show visible active open closed".split())
 #: Words that leave the sense of a name with one of the above as it is.
 PLAIN = frozenset("list box block section area container wrapper wrap inner outer links link posts item items bar unit slot top bottom left right group form field thread count button buttons post".split())
@@ -66,33 +71,40 @@ class Element:
     tag: str
     parent: int
     depth: int
-    odds: float
+    attributes: str = ""
+    odds: float = 0.0
     closed: bool = False  # an article inside is not the page's own
+    article: bool = False  # stands in an article
+    sign: int = 0  # 1: marked as content, -1: speaks against content, -2: so does it, and can be no wrapper
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
 
 
-def _odds(tag: str, attributes: str, above: Element) -> tuple[float, bool]:
-    """Log-odds of what stands in an element, and whether an article inside is none of the page's own.
+def _weigh(here: Element, above: Element, wrapper: bool = False) -> None:
+    """Log-odds of what stands in an element; those of a wrapper are left as they are above it.
 
     What is above counts, and the strongest sign against content stays, but where only names speak against
     content, or a form, an article or main inside raises the odds again.
     """
+    tag = here.tag
     own = TAG_COST.get(tag, 0.0)
     closed = own < 0 and tag not in ("form", "fieldset")
     inside = above.odds >= WITHIN
     if tag == "header" and not inside:
         own, closed = AGAINST, True
-    page = tag in ("article", "main")
-    if attributes:
-        a = _attributes(attributes)
+    page, story, foreign = tag in ("article", "main"), tag == "article", closed
+    if here.attributes:
+        a = _attributes(here.attributes)
         if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
-            return -20.0, True
-        page = page or a.get("role", "").strip().lower() in ("article", "main")
+            here.odds, here.closed, here.article, here.sign = -20.0, True, False, -2
+            return
+        role = a.get("role", "").strip().lower()
+        page, story = page or role in ("article", "main"), story or role == "article"
         words = [{x.lower() for x in _NAME.findall(name)} for k in ("class", "id", "role", "aria-label") for name in (a.get(k, "").split() if k != "aria-label" else [a.get(k, "")])]
         bad = {x for w in words if not w & STATE for x in w & BAD}
+        foreign = foreign or bool(bad & FOREIGN)
         if inside:  # a word of a longer name, as in "related-work", says nothing about a part of the article
             bad = {x for w in words if not w & STATE and all(x in BAD or x in PLAIN or x.isdigit() or (x in GOOD and w & ASIDE) for x in w) for x in w & BAD}
         if tag in ("article", "main", "body", "html"):
@@ -103,13 +115,62 @@ def _odds(tag: str, attributes: str, above: Element) -> tuple[float, bool]:
             own, closed = min(own, AGAINST), closed or bool(bad & ASIDE)
         elif own == 0.0 and any(w & GOOD for w in words):
             own = WITHIN
+    here.sign = 1 if own > 0 else 0 if own == 0 else -2 if foreign else -1
+    if wrapper and here.sign == -1:
+        own, closed = 0.0, False
+    here.closed = above.closed or closed
+    here.article = (above.article or story) and own >= 0
     if page and own > 0 and not above.closed:
-        return max(above.odds, own), False
-    if above.odds <= -8.0:
-        return above.odds + min(own, 0.0), above.closed or closed
-    if own < 0:
-        return own, above.closed or closed
-    return max(above.odds, own), above.closed or closed
+        here.odds, here.closed = max(above.odds, own), False
+    elif above.odds <= -8.0:
+        here.odds = above.odds + min(own, 0.0)
+    else:
+        here.odds = own if own < 0 else max(above.odds, own)
+
+
+def _wrappers(blocks: list[Block], elements: list[Element]) -> set[int]:
+    """Elements that speak against content but hold the page's own article, by where its prose stands.
+
+    Prose are the unlinked characters of blocks of ten words or more outside of comments, adverts, navigation
+    and what is hidden. The marked element with most of it, if that is at least half, is the article, unless another one that
+    nothing speaks against has a fifth as much. Without marked prose, a form with half of the prose is a wrapper.
+    """
+    barred = [False] * len(elements)
+    prose = [0] * len(elements)
+    for k, e in enumerate(elements[1:], 1):
+        barred[k] = barred[e.parent] or e.sign == -2
+    for b in blocks:
+        if not barred[b.element] and b.text.count(" ") >= 9:
+            prose[b.element] += max(0, len(b.text) - b.links)
+    for k in range(len(elements) - 1, 0, -1):
+        prose[elements[k].parent] += prose[k]
+    marked = [k for k, e in enumerate(elements) if e.sign == 1 and prose[k]]
+    if not prose[0]:
+        return set()
+    if not any(elements[k].odds > 0 for k in marked):
+        forms = {k for k, e in enumerate(elements) if e.tag == "form" and e.sign == -1 and 2 * prose[k] >= prose[0]}
+    else:
+        forms = set()
+    best = max(marked, key=lambda k: (prose[k], k), default=0)
+    if not best or 2 * prose[best] < prose[0]:
+        return forms if not marked else set()
+    above: set[int] = set()
+    k = best
+    while k:
+        k = elements[k].parent
+        above.add(k)
+    if elements[best].odds > 0 or any(elements[k].odds > 0 and 5 * prose[k] > prose[best] and k not in above for k in marked):
+        return set()
+    return {k for k in above if elements[k].sign == -1} | {k for k in forms if k in above}
+
+
+def weigh(blocks: list[Block], elements: list[Element]) -> None:
+    """Sets the log-odds of all elements; a parent stands before its children."""
+    for e in elements[1:]:
+        _weigh(e, elements[e.parent])
+    if any(e.sign == -1 for e in elements) and (wrappers := _wrappers(blocks, elements)):
+        for k, e in enumerate(elements[1:], 1):
+            _weigh(e, elements[e.parent], k in wrappers)
 
 
 @dataclass
@@ -122,7 +183,7 @@ class Block:
 
 def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
     """The text blocks of a page in order, and the elements they stand in."""
-    elements = [Element("", -1, 0, 0.0)]
+    elements = [Element("", -1, 0)]
     stack = [0]
     parts: list[str] = []
     found: list[Block] = []
@@ -208,18 +269,19 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
         if tag in VOID:
             continue
         above = elements[stack[-1]]
-        elements.append(Element(tag, stack[-1], above.depth + 1, *_odds(tag, attributes, above)))
+        elements.append(Element(tag, stack[-1], above.depth + 1, attributes))
         if not attributes.rstrip().endswith("/") or tag in BLOCK:
             stack.append(len(elements) - 1)
             opened[tag] += 1
             links += tag == "a"
     end_block()
+    weigh(found, elements)
     return found, elements
 
 
 def features(block: Block, element: Element) -> list[float]:
     words = block.text.count(" ") + 1
-    links = round(10 * min(1.0, block.links / max(1, len(block.text)))) / 10
+    links = 0.0 if element.article else round(10 * min(1.0, block.links / max(1, len(block.text)))) / 10  # a list of sources is part of an article
     return [1.0, float(min(words, 40)), links, float("©" in block.text and words < 40), *(float(element.tag == k) for k in KINDS)]
 
 
@@ -309,11 +371,18 @@ def main_text(page: str | None, weights: np.ndarray = WEIGHTS) -> str:
     return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
-def examples(page: str | None) -> list[tuple[tuple[float, ...], int]]:
-    """Features of the blocks whose elements leave no doubt, and whether they are content."""
+def examples(page: str | None) -> list[tuple[tuple[float, ...], bytes, bytes, bool]]:
+    """Of each block the features, digests of its text and of the page's longest block, and whether it stands beside that one."""
     blocks, elements = blocks_of(page or "")
-    sure = [(b, elements[b.element]) for b in blocks if abs(elements[b.element].odds) >= 5.0]
-    return [(tuple(features(b, e)), int(e.odds > 0)) for b, e in sure]
+    if not blocks:
+        return []
+    longest = max(blocks, key=lambda b: len(b.text) - b.links)
+    parent, key = elements[longest.element].parent, _digest(longest.text)
+    return [(tuple(features(b, e)), _digest(b.text), key, e.parent == parent) for b in blocks for e in (elements[b.element],)]
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()
 
 
 def learn(counts: dict[tuple[tuple[float, ...], int], int], prior: float = 1.0, most: float = 1000.0) -> np.ndarray:
@@ -338,14 +407,15 @@ def fit(df: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_p
     """The classifier's weights. To the driver come counts of distinct examples: some thousands of feature values at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
         for b in by_rows(batches):
-            for page in b.column(0).to_pylist():
-                counts.update(examples(page))
-        yield pa.RecordBatch.from_arrays([pa.array([list(x) for x, _ in counts], pa.list_(pa.float64())), pa.array([y for _, y in counts], pa.int32()), pa.array(counts.values(), pa.int64())], ["x", "y", "n"])
+            found = [e for page in b.column(0).to_pylist() for e in examples(page)]
+            yield pa.RecordBatch.from_arrays([pa.array([list(e[0]) for e in found], pa.list_(pa.float64())), *(pa.array([e[k] for e in found], kind) for k, kind in ((1, pa.binary()), (2, pa.binary()), (3, pa.bool_())))], ["x", "t", "k", "near"])
 
     pages = bounded_sample(df.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(html_col).alias("h")), "id", sample_pages).select("h")
-    found = pages.mapInArrow(run, "x array<double>, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).collect()
+    seen = pages.mapInArrow(run, "x array<double>, t binary, k binary, near boolean").groupBy("t", "x", "near").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("n"))
+    text = Window.partitionBy("t")
+    sure = seen.select("x", "n", F.when(F.col("near") == (F.min("a").over(text) == F.max("b").over(text)), F.col("near").cast("int")).alias("y")).where("y is not null")
+    found = sure.groupBy("x", "y").agg(F.sum("n").alias("n")).collect()
     return learn({(tuple(r.x), r.y): r.n for r in found})
 
 
