@@ -59,6 +59,17 @@ def listed(spark: SparkSession, folder: str, suffix: str = "*.md") -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")).orderBy(F.desc("modified"), "path")
 
 
+def results_in(spark: SparkSession, folder: str, suffix: str = "*.md") -> DataFrame:
+    """``path, result_no, json``: the results of all reports in a folder, back from their fenced blocks; what is no JSON is left out.
+
+    Files are cut at the headings of results, so a large report is read by many tasks.
+    """
+    records = spark.read.option("lineSep", "\n### Result ").option("pathGlobFilter", suffix).text(folder)
+    block = r"^(?:### Result )?(\d+)\s*\n```json\s*\n(?s:(.*?))\n```"
+    found = records.select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", block, 1).alias("no"), F.regexp_extract("value", block, 2).alias("json"))
+    return found.where(F.try_parse_json("json").isNotNull()).select("path", F.col("no").try_cast("long").alias("result_no"), "json")
+
+
 def read_reports(spark: SparkSession, folder: str, each: int = 8000, total: int = 40000, files: int = 10) -> str:
     """The newest reports, each and all together cut to so many characters."""
     newest = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder).orderBy(F.desc("modificationTime"), "path").limit(files)
