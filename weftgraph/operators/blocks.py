@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 BLOCK = 2048
 
 
-def _blocks(items: DataFrame, by: list[str], name: str) -> tuple[DataFrame, int]:
-    """Rows ``by, dim, block, name`` (id and vector of about ``BLOCK`` items each), and the number of blocks."""
+def _blocks(items: DataFrame, by: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows ``by, dim, block, name`` (id and vector of about ``BLOCK`` items each), and ``by, dim, n``: the blocks of each group."""
     own = items.where("vec IS NOT NULL AND size(vec) > 0").select(*by, F.size("vec").alias("_dim"), "id", F.col("vec").cast("array<double>").alias("vec"))
-    n = max(1, -(-own.count() // BLOCK))
-    blocks = own.groupBy(*by, "_dim", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("_block"))
-    return blocks.agg(F.sort_array(F.collect_list(F.struct("id", "vec"))).alias(name)), n
+    sizes = own.groupBy(*by, "_dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
+    blocks = own.join(sizes, [*by, "_dim"]).groupBy(*by, "_dim", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int").alias("_block"))
+    return blocks.agg(F.sort_array(F.collect_list(F.struct("id", "vec"))).alias(name)), sizes
 
 
 def _matrix(column: pa.Array, row: int) -> tuple[pa.Array, np.ndarray]:
@@ -29,9 +29,9 @@ def _matrix(column: pa.Array, row: int) -> tuple[pa.Array, np.ndarray]:
         return items.field("id"), x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _met(left: DataFrame, right: DataFrame, n: int, by: list[str]) -> DataFrame:
-    """Every block of the left side beside every block of the right one."""
-    spread = left.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+def _met(left: DataFrame, right: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
+    """Every block of the left side beside every block of the right one in its group, of which ``sizes`` has the number."""
+    spread = left.join(sizes, [*by, "_dim"]).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
     return spread.withColumnRenamed("_block", "_mine").join(right.withColumnRenamed("_block", "_other"), [*by, "_dim", "_other"])
 
 
@@ -45,7 +45,7 @@ def top_k(queries: DataFrame, points: DataFrame, k: int, threshold: float, by: l
     """
     by, slack = by or [], 0.0 if digits is None else 10.0**-digits
     left, _ = _blocks(queries, by, "q")
-    right, n = _blocks(points, by, "p")
+    right, sizes = _blocks(points, by, "p")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -59,7 +59,7 @@ def top_k(queries: DataFrame, points: DataFrame, k: int, threshold: float, by: l
                 yield pa.RecordBatch.from_arrays([qs.take(pa.array(i)), ps.take(pa.array(j)), pa.array(s[i, j])], ["query_id", "id", "score"])
 
     kinds = f"query_id {queries.schema['id'].dataType.simpleString()}, id {points.schema['id'].dataType.simpleString()}, score double"
-    found = _met(left, right, n, by).select("q", "p").mapInArrow(search, kinds)
+    found = _met(left, right, sizes, by).select("q", "p").mapInArrow(search, kinds)
     if digits is not None:
         found = found.withColumn("score", F.round("score", digits))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -68,8 +68,8 @@ def top_k(queries: DataFrame, points: DataFrame, k: int, threshold: float, by: l
 
 def similar_pairs(items: DataFrame, threshold: float) -> DataFrame:
     """``i, j, score`` of the pairs with id j < i and cosine >= threshold."""
-    blocks, n = _blocks(items, [], "q")
-    pairs = _met(blocks, blocks.withColumnRenamed("q", "p"), n, []).where("_other <= _mine")
+    blocks, sizes = _blocks(items, [], "q")
+    pairs = _met(blocks, blocks.withColumnRenamed("q", "p"), sizes, []).where("_other <= _mine")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -72,7 +72,8 @@ def context_lines(results: DataFrame, links: DataFrame, texts: DataFrame, order:
     for rows in parts[1:]:
         whole = whole.unionAll(rows)
     lines = whole.select("group_rank", "s", "k", "t", F.posexplode(F.split("line", "\n")).alias("i", "line"))
-    return numbered(lines.select(F.struct("group_rank", "s", "k", "t", "i").alias("_at"), "line"), "_at", "line_no").select(F.col("line_no").cast("long").alias("line_no"), "line")
+    placed = materialize(lines.select(F.struct("group_rank", "s", "k", "t", "i").alias("_at"), "line"), "lines")  # the range sort reads its rows twice
+    return numbered(placed, "_at", "line_no").select(F.col("line_no").cast("long").alias("line_no"), "line")
 
 
 @F.udtf(returnType="file string, community_id string, first long, last long")
