@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from weftgraph import driver_queries, extraction_queries, plan_queries, registry_queries  # noqa: F401  (register their queries)
+from weftgraph import context_queries, driver_queries, extraction_queries, plan_queries, registry_queries  # noqa: F401  (register their queries)
 from weftgraph.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
