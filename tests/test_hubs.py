@@ -5,7 +5,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import graph, paths
+from weftgraph.operators import graph, paths, results
 from weftgraph.plans.materialize import shared_dir
 
 
@@ -94,3 +94,13 @@ def test_merged_edges_hold_no_aggregate_that_sorts(spark):
     out = graph.merge_edges(rows, ["pos"])
     assert {tuple(r) for r in out.collect()} == {("a", "T", "b", 1, "w"), (None, "T", "b", 3, None), ("a", "U", "b", 9, "v")}
     assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hidden_properties_are_not_shuffled(spark):
+    edges = _edges(spark, [("a", "b"), ("b", "c"), ("b", "gone")]).withColumn("properties", F.create_map(F.lit("weight"), F.lit("w"), F.lit("status"), F.lit("Current"), F.lit("label"), F.lit(None).cast("string")))
+    nodes = spark.createDataFrame([(x, x.upper(), "t") for x in "abc"], "canonical_id string, name string, type string")
+    out = results.slim_triples(edges, nodes)
+    assert {(r["subject"]["name"], r["object"]["name"], tuple(r["properties"].items())) for r in out.collect()} == {("A", "B", (("weight", "w"),)), ("B", "C", (("weight", "w"),))}
+    plan = out._jdf.queryExecution().optimizedPlan().toString().replace("_", "").lower()
+    assert plan.index("join") < plan.rindex("mapfilter")  # below the joins, not above
+    assert {(r["src"], r["dst"]) for r in results.known_ends(edges, nodes).collect()} == {("a", "b"), ("b", "c")}

@@ -30,8 +30,16 @@ def shown_properties(properties: Column) -> Column:
 def slim_triples(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``subject, predicate, object, community_id, chunk_id, properties`` of edges (``properties`` a map): the ends with name, id and type."""
     end = lambda c: nodes.select(F.col("canonical_id").alias(c), F.struct("name", "canonical_id", "type").alias(f"{c}_node"))
-    found = edges.join(end("src"), "src").join(end("dst"), "dst")
-    return found.select(F.col("src_node").alias("subject"), F.col("edge_type").alias("predicate"), F.col("dst_node").alias("object"), "community_id", "chunk_id", shown_properties(F.col("properties")).alias("properties"))
+    own = edges.select("src", "edge_type", "dst", "community_id", "chunk_id", shown_properties(F.col("properties")).alias("properties"))  # hidden ones are not shuffled
+    found = own.join(end("src"), "src").join(end("dst"), "dst")
+    return found.select(F.col("src_node").alias("subject"), F.col("edge_type").alias("predicate"), F.col("dst_node").alias("object"), "community_id", "chunk_id", "properties")
+
+
+def known_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges that ``slim_triples`` shows: both ends are among the nodes. Names are left for the few that are shown."""
+    for c in ("src", "dst"):
+        edges = edges.join(nodes.select(F.col("canonical_id").alias(c)), c, "left_semi")
+    return edges
 
 
 def slim_paths(paths: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
