@@ -73,3 +73,11 @@ def test_triples_extremes(spark):
     assert got == [("greatest", 2, 0, 5, 1.75), ("least", 1, 1, 0, 1.75), ("least", 2, 1, 0, 1.75)]
     same = diagnostics.triples_extremes(df.where("n_triples = 2")).collect()
     assert sorted(r.extreme for r in same) == ["greatest", "least"]
+
+
+def test_wrapped_lines_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "a\n" + "word " * 60), (2, None), (3, "")], "doc_id long, text string")
+    out = chunking.wrapped_lines(docs)
+    assert [(r["line_no"], len(r["text"])) for r in out.where("doc_id = 1").orderBy("line_no").collect()] == [(0, 1), (1, 119), (2, 119), (3, 59)]
+    assert [tuple(r) for r in out.where("doc_id <> 1").collect()] == [(3, 0, "")]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()

@@ -2,59 +2,64 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import strip
 
 
+#: White space that a wrapped line has as spaces.
+SPACES = str.maketrans("\x0b\x0c\r", "   ")
+
+
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, line_no int`` (from 0) and ``text``."""
     return docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "text"))
 
 
-def _untabbed(line: Column) -> Column:
-    """Tabs reach to the next column that is a multiple of eight, counted from a carriage return; other white space is a space."""
-    parts = F.split(line, "\t", -1)
-
-    def put(done: Column, part: Column) -> Column:
-        column = F.length(F.substring_index(done, "\r", -1))
-        return F.concat(done, F.repeat(F.lit(" "), 8 - column % 8), part)
-
-    return F.translate(F.aggregate(F.slice(parts, 2, F.size(parts)), F.element_at(parts, 1), put), "\x0b\x0c\r", "   ")
-
+def _folded(line: str, width: int) -> list[str]:
+    """A line as lines of at most ``width`` characters.
 
-def _folded(line: Column, width: int) -> Column:
-    """A line as lines of at most ``width`` characters, as an array: a fold over its words and gaps.
-
-    Continued lines have the line's own indent. Gaps at a break go; a longer word stands alone; a line of white space vanishes.
+    Tabs reach to the next column that is a multiple of eight, other white space is a space. Continued lines have the line's
+    own indent. Gaps at a break go; a longer word stands alone; a line of white space vanishes.
     """
-    indent = F.repeat(F.lit(" "), F.length(line) - F.length(F.regexp_replace(line, r"^\s+", "")))
-    lead = lambda done: F.when(F.size(done) > 0, indent).otherwise(F.lit(""))
-    state = lambda done, now: F.struct(done.alias("done"), now.alias("now"))
-    full = lambda done, text: F.when(text == "", done).otherwise(F.concat(done, F.array(F.concat(lead(done), text))))
-
-    def begun(done: Column, token: Column) -> Column:
-        gap = token.startswith(" ")
-        alone = F.when(gap, done).otherwise(full(done, token))
-        fits = F.length(token) + F.length(lead(done)) <= width
-        return F.when(gap & (F.size(done) > 0), state(done, F.lit(""))).when(fits, state(done, token)).otherwise(state(alone, F.lit("")))
+    indent = " " * (len(line) - len(line.lstrip(" \t\n\x0b\x0c\r")))
+    done: list[str] = []
+    now, lead = "", ""
+    for token in re.findall(" +|[^ ]+", line.expandtabs(8).translate(SPACES)):
+        if now:
+            if len(now) + len(token) + len(lead) <= width:
+                now += token
+                continue
+            if kept := now.rstrip(" "):
+                done.append(lead + kept)
+                lead = indent
+            now = ""
+        gap = token[0] == " "
+        if gap and done:
+            continue
+        if len(token) + len(lead) <= width:
+            now = token
+        elif not gap:
+            done.append(lead + token)
+            lead = indent
+    if kept := now.rstrip(" "):
+        done.append(lead + kept)
+    return done
 
-    def take(s: Column, token: Column) -> Column:
-        joined = F.concat(s["now"], token)
-        fits = F.length(joined) + F.length(lead(s["done"])) <= width
-        return F.when(s["now"] == "", begun(s["done"], token)).when(fits, state(s["done"], joined)).otherwise(begun(full(s["done"], F.rtrim(s["now"])), token))
 
-    tokens = F.regexp_extract_all(_untabbed(line), F.lit("( +|[^ ]+)"), F.lit(1))
-    return F.aggregate(tokens, state(F.array().cast("array<string>"), F.lit("")), take, lambda s: full(s["done"], F.rtrim(s["now"])))
+def wrapped_lines(docs: DataFrame, width: int = 120, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``lines_of``, with lines of more than ``width`` characters wrapped at white space; a document's lines stay in its row, so none are shuffled."""
 
+    @F.udf("array<string>", useArrow=True)
+    def wrapped(text: str | None) -> list[str] | None:
+        if text is None:
+            return None
+        return [part for line in text.split("\n") for part in ([line] if len(line) <= width else _folded(line, width))]
 
-def wrapped_lines(docs: DataFrame, width: int = 120, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``lines_of``, with lines of more than ``width`` characters wrapped at white space."""
-    lines = lines_of(docs, id_col, text_col).withColumn("_parts", F.when(F.length("text") <= width, F.array("text")).otherwise(_folded(F.col("text"), width)))
-    parts = lines.select(id_col, "line_no", F.posexplode("_parts").alias("_part", "text"))
-    w = Window.partitionBy(id_col).orderBy("line_no", "_part")
-    return parts.select(id_col, (F.row_number().over(w) - 1).alias("line_no"), "text")
+    return docs.select(id_col, F.posexplode(wrapped(text_col)).alias("line_no", "text"))
 
 
 def header_chunks(lines: DataFrame, is_header: Column, id_col: str = "doc_id") -> DataFrame:
