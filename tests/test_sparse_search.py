@@ -1,7 +1,9 @@
 """The pruned sparse search against scores of all documents."""
 
+import hashlib
 import math
 import random
+import re
 
 import pytest
 
@@ -50,3 +52,22 @@ def test_search_of_nothing(spark):
     asked = rows(spark, {7: {5: 1}}, "item_id")
     assert [(r.item_id, r.doc_id, r.rank) for r in retrieval.sparse_top_k(asked, one, 1, 3).collect()] == [(7, 1, 1)]
     assert not retrieval.sparse_top_k(asked.limit(0), one, 1, 3).collect() and not retrieval.sparse_top_k(asked, one.limit(0), 0, 3).collect()
+
+
+def test_counts_are_made_in_the_row(spark):
+    rng = random.Random(5)
+    texts = {d: " ".join(rng.choice(["Éa", "b_1", "คำ", "x-y", "b_1", "Zz9"]) for _ in range(rng.randrange(0, 9))) for d in range(40)} | {40: None, 41: "", 42: "--"}
+    docs = spark.createDataFrame([*texts.items(), (3, "b_1 only"), (None, "b_1")], "doc_id long, text string")
+    by_rows = {}
+    for d, text in docs.collect():
+        for t in re.findall(r"[\w]+", (text or "").lower()):
+            key = (d, int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) & 2147483647)
+            by_rows[key] = by_rows.get(key, 0) + 1
+    counts = retrieval.term_counts(docs)
+    assert {(r.doc_id, r.token_id): r.tf for r in counts.collect()} == by_rows
+    asked = spark.createDataFrame([(next(iter(by_rows))[1],), (1,)], "token_id long")
+    picked = retrieval.term_counts(docs, tokens=asked)
+    assert {(r.doc_id, r.token_id): r.tf for r in picked.collect()} == {k: n for k, n in by_rows.items() if k[1] == next(iter(by_rows))[1]}
+    # one shuffle, by the id, of counts and not of tokens
+    plan = picked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Generate" not in plan and plan.index("RepartitionByExpression") < plan.index("LeftSemi")

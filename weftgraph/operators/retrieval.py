@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +15,43 @@ from weftgraph.functions.text import sparse_tokens, token_id
 from weftgraph.plans.materialize import materialize
 
 
-def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, token_id, tf``: counts of each token; the postings of a sparse index."""
-    return docs.select(id_col, F.explode(sparse_tokens(F.col(text_col))).alias("t")).select(id_col, token_id(F.col("t")).alias("token_id")).groupBy(id_col, "token_id").agg(F.count("*").alias("tf"))
+#: Rows that a task counts at once, tokens whose ids it remembers, and tokens that are broadcast to pick postings.
+ROWS, KNOWN, FEW = 2048, 200_000, 1_000_000
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, token_id, tf`` of rows ``id, tokens`` (joined by blanks); ids as ``token_id`` makes them, once for each token of a few rows."""
+    known = {"": -1}
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            b = whole.slice(at, ROWS)
+            lists = pc.split_pattern(b.column(1), " ")
+            coded = lists.flatten().dictionary_encode()
+            if len(known) > KNOWN:
+                known = {"": -1}
+            words = coded.dictionary.to_pylist()
+            known |= {w: int.from_bytes(hashlib.sha256(w.encode()).digest()[:4], "big") & 2147483647 for w in words if w not in known}
+            ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).fill_null(0).to_numpy())
+            both, n = np.unique((row << 31 | ids)[ids >= 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(both >> 31)), pa.array(both & 2147483647), pa.array(n)], ["id", "token_id", "tf"])
+
+
+def among(postings: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The postings of the given tokens, which are broadcast if their number, which is counted, allows it."""
+    tokens = tokens.select("token_id").distinct()
+    return postings.join(F.broadcast(tokens) if tokens.count() <= FEW else tokens, "token_id", "left_semi")
+
+
+def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: DataFrame | None = None) -> DataFrame:
+    """``id_col, token_id, tf``: counts of each token; the postings of a sparse index, or of the ``tokens`` (``token_id``) alone.
+
+    A row's tokens are counted in the row; only the counts are shuffled, by the id, so that rows with one id are one document.
+    """
+    words = docs.select(id_col, F.array_join(sparse_tokens(F.col(text_col)), " ").alias("words"))
+    rows = words.mapInArrow(_counted, f"id {docs.schema[id_col].dataType.simpleString()}, token_id long, tf long")
+    rows = rows if tokens is None else among(rows, tokens)
+    return rows.repartition("id").groupBy(F.col("id").alias(id_col), "token_id").agg(F.sum("tf").alias("tf"))
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -43,7 +83,7 @@ def sparse_top_k(queries: DataFrame, postings: DataFrame, n_docs: int, k: int, d
     """
     slack = 10.0**-digits
     queries = materialize(queries.select("item_id", "token_id", F.col("tf").alias("qtf")), "query-tokens")
-    shared = postings.select("doc_id", "token_id", "tf").join(queries.select("token_id").distinct(), "token_id", "left_semi")
+    shared = among(postings.select("doc_id", "token_id", "tf"), queries)
     block = F.floor(2 * F.log2(F.sum("tf").over(Window.partitionBy("doc_id")))).cast("int")
     postings = materialize(shared.withColumn("block", block), "postings")
     known = postings.groupBy("token_id", "block").agg(F.count("*").alias("n"), F.max("tf").alias("top"))
