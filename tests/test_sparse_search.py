@@ -71,3 +71,13 @@ def test_counts_are_made_in_the_row(spark):
     # one shuffle, by the id, of counts and not of tokens
     plan = picked._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1 and "Generate" not in plan and plan.index("RepartitionByExpression") < plan.index("LeftSemi")
+
+
+def test_counts_of_one_row_are_not_aggregated(spark):
+    """A hash table of all tokens of all documents is what made a task's memory grow; lists are sorted by their id instead."""
+    docs = spark.createDataFrame([("a", "x y x"), ("b", "y"), ("a", "x z"), (None, "y y"), (None, "y")], "doc_id string, text string")
+    name = {int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) & 2147483647: t for t in "xyz"}
+    counts = retrieval.term_counts(docs)
+    assert {(r.doc_id, name[r.token_id], r.tf) for r in counts.collect()} == {("a", "x", 3), ("a", "y", 1), ("a", "z", 1), ("b", "y", 1), (None, "y", 3)} and counts.count() == 5
+    lone, again = counts._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [", 1)
+    assert "(rows#" in lone and "= 1)" in lone and "> 1)" in again

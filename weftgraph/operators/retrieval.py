@@ -19,8 +19,8 @@ from weftgraph.plans.materialize import materialize
 ROWS, KNOWN, FEW = 2048, 200_000, 1_000_000
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``id, token_id, tf`` of rows ``id, tokens`` (joined by blanks); ids as ``token_id`` makes them, once for each token of a few rows."""
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some rows ``id, tokens`` (joined by blanks) the ids, and row, token id and count in the order of the rows; token ids as ``token_id`` makes them, each once."""
     known = {"": -1}
     for whole in batches:
         for at in range(0, whole.num_rows, ROWS):
@@ -34,7 +34,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
             row = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).fill_null(0).to_numpy())
             both, n = np.unique((row << 31 | ids)[ids >= 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(both >> 31)), pa.array(both & 2147483647), pa.array(n)], ["id", "token_id", "tf"])
+            yield b.column(0), both >> 31, both & 2147483647, n
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, row, token, n in _counts(batches):
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(token), pa.array(n)], ["id", "token_id", "tf"])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, row, token, n in _counts(batches):
+        ends = np.searchsorted(row, np.arange(len(ids) + 1)).astype(np.int32)
+        lists = (pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (token, n))  # 8 bytes a token while they are sorted
+        yield pa.RecordBatch.from_arrays([ids, *lists], ["id", "token_id", "tf"])
 
 
 def among(postings: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -46,12 +58,20 @@ def among(postings: DataFrame, tokens: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: DataFrame | None = None) -> DataFrame:
     """``id_col, token_id, tf``: counts of each token; the postings of a sparse index, or of the ``tokens`` (``token_id``) alone.
 
-    A row's tokens are counted in the row; only the counts are shuffled, by the id, so that rows with one id are one document.
+    A row's tokens are counted in the row, and rows with one id are one document. All counts of a row are shuffled as one list, and only
+    those of ids that come again are added up; of ``tokens``, their postings alone are shuffled.
     """
     words = docs.select(id_col, F.array_join(sparse_tokens(F.col(text_col)), " ").alias("words"))
-    rows = words.mapInArrow(_counted, f"id {docs.schema[id_col].dataType.simpleString()}, token_id long, tf long")
-    rows = rows if tokens is None else among(rows, tokens)
-    return rows.repartition("id").groupBy(F.col("id").alias(id_col), "token_id").agg(F.sum("tf").alias("tf"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    added = lambda rows: rows.groupBy("id", "token_id").agg(F.sum("tf").alias("tf"))
+    if tokens is not None:
+        rows = added(among(words.mapInArrow(_counted, f"id {kind}, token_id long, tf long"), tokens).repartition("id"))
+    else:
+        lists = words.mapInArrow(_listed, f"id {kind}, token_id array<int>, tf array<int>").withColumn("rows", F.count("*").over(Window.partitionBy("id")))
+        long = lambda c: F.col(c).cast("long").alias(c)
+        flat = lambda which: lists.where(which).select("id", F.inline(F.arrays_zip("token_id", "tf"))).select("id", long("token_id"), long("tf"))
+        rows = flat("rows = 1").unionAll(added(flat("rows > 1")))
+    return rows.withColumnRenamed("id", id_col)
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
