@@ -249,7 +249,7 @@ def l09(spark, d):
 @query("l08_connectivity_seeds", KG + """, e AS (SELECT DISTINCT src, edge_type, dst FROM kg), g AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e WHERE src <> dst) GROUP BY 1)
 SELECT id FROM (SELECT canonical_id AS id, coalesce(n, 0) AS n FROM nodes LEFT JOIN g ON g.id = canonical_id) ORDER BY n DESC, id LIMIT 20""")
 def l08(spark, d):
-    return graph.top_degree(views.kg_nodes(spark, d), views.kg_edges(spark, d)).select(F.col("canonical_id").alias("id"))
+    return graph.top_degree(views.kg_nodes(spark, d), views.kg_links(spark, d)).select(F.col("canonical_id").alias("id"))
 
 
 @query("y01_no_results", f"SELECT doc_id AS question_id, '{answers.NOTHING}' AS answer FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM raw)")
