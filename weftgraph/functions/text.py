@@ -50,6 +50,12 @@ def sparse_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)([a-z0-9\w฀-๿]+)"), 1)
 
 
+def first_tokens(text: Column, n: int) -> Column:
+    """The first ``n`` of ``sparse_tokens``, or null where there are fewer; what stands behind them is not read."""
+    word = r"a-z0-9\w฀-๿"
+    return F.regexp_extract_all(F.regexp_substr(F.lower(text), F.lit(f"(?U)^(?:[^{word}]*+[{word}]++){{{n}}}")), F.lit(f"(?U)([{word}]+)"), 1)
+
+
 def token_id(token: Column) -> Column:
     """A stable 31-bit id: the first eight hex digits of SHA-256."""
     return F.conv(F.substring(F.sha2(token, 256), 1, 8), 16, 10).cast("long").bitwiseAND(2147483647)
