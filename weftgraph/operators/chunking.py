@@ -159,6 +159,8 @@ def chunked(docs: DataFrame, answer, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(docs.select(id_col, text_col, asked(text_col).alias("_a")), "answers")  # the model is asked once
     rows = rows.select(id_col, text_col, chunk_ranges(F.col("_a"), F.size(F.split(text_col, "\n")).cast("long")).alias("_r"))
     found = rows.where(F.size("_r") > 0)
-    own = range_chunks(found.select(id_col, text_col), found.select(id_col, F.explode("_r").alias("r")).select(id_col, F.col("r.id").cast("int").alias("chunk_id"), "r.start", "r.end"), id_col, text_col)
+    part = lambda lines, r: strip(F.array_join(F.slice(lines, r["start"].cast("int"), (r["end"] - r["start"] + 1).cast("int")), "\n"))
+    cut = lambda lines: F.transform("_r", lambda r: F.struct(r["id"].cast("int").alias("chunk_id"), part(lines, r).alias("content"), r["start"].alias("start_line"), r["end"].alias("end_line")))
+    own = found.select(id_col, F.inline(F.flatten(F.transform(F.array(F.split(text_col, "\n")), cut)))).where(F.col("content") != "")  # a row's ranges cut its own lines, split once
     plain = header_chunks(lines_of(rows.where(F.size("_r") == 0), id_col, text_col), F.col("text").startswith("#"), id_col)
     return own.select(plain.columns).unionAll(plain)
