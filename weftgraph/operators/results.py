@@ -12,6 +12,9 @@ NOISE = ["village", "หมู่", "หมู่บ้าน", "moo", "1", "2",
 #: Properties of an edge that are shown elsewhere or not at all.
 HIDDEN = ["community_id", "chunk_id", "updated_at", "label", "status"]
 
+#: Predicates whose lines are sent to all edges.
+FEW = 200_000
+
 
 def tokens(text: Column) -> Column:
     """Distinct tokens without noise."""
@@ -125,6 +128,32 @@ def link_lines(uses: DataFrame, details: DataFrame) -> DataFrame:
     return one.select("result_id", F.concat("raw", F.lit(" -> (linked) -> "), shown).alias("line"))
 
 
+def edge_link_lines(edges: DataFrame, details: DataFrame) -> DataFrame:
+    """``src, edge_type, dst, line``: the ``link_lines`` of distinct edges, each edge one result that uses its ends and its type.
+
+    Edges meet the lines of their source, then those of their target, with the lines as the hashed side, and equal ones are found in the row: no edge is
+    sorted, and neither uses nor lines are grouped.
+    """
+    line = F.struct("raw", "name", "name_en")
+    of = lambda d, key: d.select(key, "name", "name_en", F.explode("raw_names").alias("raw")).where("raw <> '' AND raw <> name").groupBy(key).agg(F.collect_set(line).alias("_l"))
+    entity = of(details.where("kind = 'entity'"), "canonical_id")
+    first = details.where("kind = 'predicate'").groupBy("name").agg(F.min(F.struct("canonical_id", "name_en", "raw_names")).alias("b"))
+    predicate = of(first.select("name", F.col("name").alias("edge_type"), "b.name_en", "b.raw_names"), "edge_type")
+    predicate = predicate.withColumnRenamed("_l", "_p")
+    # edges by their few types would be few groups; many predicates are counted first
+    out = edges.select("src", "edge_type", "dst").join(F.broadcast(predicate) if predicate.count() <= FEW else predicate, "edge_type", "left")
+    for end in ("src", "dst"):
+        out = out.join(entity.select(F.col("canonical_id").alias(end), F.col("_l").alias(f"_{end}")).hint("shuffle_hash"), end, "left")
+    none = F.array().cast("array<struct<raw:string,name:string,name_en:string>>")
+    found = F.array_sort(F.concat(*(F.coalesce(c, none) for c in ("_src", "_dst", "_p"))))
+    rows = out.select("src", "edge_type", "dst", found.alias("_l"))
+    # of equal raw names and names the greatest English one stands last
+    last = F.filter("_l", lambda x, i: ~F.coalesce((F.get("_l", i + 1)["raw"] == x["raw"]) & (F.get("_l", i + 1)["name"] == x["name"]), F.lit(False)))
+    shown = lambda x: F.when(x["name_en"] != "", F.concat(x["name"], F.lit(" ["), x["name_en"], F.lit("]"))).otherwise(x["name"])
+    lines = F.array_distinct(F.transform(last, lambda x: F.concat(x["raw"], F.lit(" -> (linked) -> "), shown(x))))
+    return rows.select("src", "edge_type", "dst", F.explode(lines).alias("line"))
+
+
 def path_line(chain: Column, predicates: Column, properties: Column) -> Column:
     """``a -> (p) -> b -> (q) -> c`` and, where there are any, ``| k: v`` parts."""
     steps = F.transform(chain, lambda x, i: F.concat(F.coalesce(x["name"], F.lit("?")), F.coalesce(F.concat(F.lit(" -> ("), F.get(predicates, i), F.lit(") -> ")), F.lit(""))))
