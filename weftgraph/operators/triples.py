@@ -51,8 +51,9 @@ def evidence_groups(triples: DataFrame) -> DataFrame:
     ``triples`` has ``community_id, chunk_id, subject, predicate, object, evidence_quote``.
     """
     keys = [F.col("evidence_quote"), F.col("community_id"), F.col("chunk_id").cast("string").alias("chunk_id")]
-    rows = triples.select(*keys, F.explode(F.array("subject", "object")).alias("entity"), "predicate")
-    grouped = rows.groupBy("evidence_quote", "community_id", "chunk_id").agg(F.array_sort(F.collect_set("entity")).alias("entities"), F.array_sort(F.collect_set("predicate")).alias("predicates"))
+    sets = [F.collect_set(c).alias(f"_{c}") for c in ("subject", "object", "predicate")]  # a quote is shuffled once, not for each of its ends
+    grouped = triples.select(*keys, "subject", "object", "predicate").groupBy("evidence_quote", "community_id", "chunk_id").agg(*sets)
+    grouped = grouped.select("evidence_quote", "community_id", "chunk_id", F.array_sort(F.array_union("_subject", "_object")).alias("entities"), F.array_sort("_predicate").alias("predicates"))
     text = lambda c: F.coalesce(F.col(c), F.lit("None"))
     return grouped.withColumn("id", uuid5_zero(F.concat_ws("::", F.col("evidence_quote"), text("community_id"), text("chunk_id"))))
 
