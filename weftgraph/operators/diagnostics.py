@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.plans.materialize import materialize
@@ -47,23 +49,57 @@ def word_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "word", "left").agg(F.count("*").alias("n_words"), F.sum(F.coalesce("hit", F.lit(0))).alias("n_shared"), (F.sum(F.coalesce("hit", F.lit(0))) * 100.0 / F.count("*")).alias("percent"))
 
 
-def sentence_coverage(sentences: DataFrame, quotes: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keys, n_sentences, n_covered, percent``: sentences that a quote of the same keys holds, or of which it holds a run of three words.
+#: Three-word runs of quotes that one key's sentences are held against in their rows; keys with more are joined run by run.
+RUNS = 4096
 
-    ``sentences`` has ``text``, ``quotes`` ``evidence_quote``; compared in lower case within one key, three-word runs by equal keys.
-    """
-    words = lambda c: F.split(F.trim(c), r"\s+").alias("w")
-    s = sentences.select(*keys, F.lower(F.trim("text")).alias("s")).where("s <> ''").select("*", words("s")).withColumn("_k", F.monotonically_increasing_id())
+
+def _words(c: str) -> Column:
+    return F.split(F.trim(c), r"\s+")
+
+
+def _of_words(c: str, f: Callable[[Column], Column]) -> Column:
+    """``f`` of the words of a text, which are split once: an expression used inside of a lambda is evaluated for each element."""
+    return F.get(F.transform(F.array(_words(c)), f), F.lit(0))
+
+
+def _runs(words: Column) -> Column:
+    """Each three words that follow one another; all words where there are fewer."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 3), " "))
+
+
+def _exploded_coverage(s: DataFrame, q: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``keys, n_sentences, n_covered`` by a join of single runs, for keys of any size."""
+    s = s.select("*", _words("s").alias("w")).withColumn("_k", F.monotonically_increasing_id())
     s = materialize(s, "sentences")  # so the numbers stay, and words are split once
-    q = quotes.select(*keys, F.lower("evidence_quote").alias("q")).where("trim(q) <> ''").distinct()
-    q = materialize(q.select("*", words("q")), "quotes")
-    run = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " "))
-    own = q.select(*keys, F.explode(run).alias("g")).distinct()
-    runs = s.where(F.size("w") > 3).select(*keys, "_k", F.explode(run).alias("g"))
+    q = q.distinct().select("*", _words("q").alias("w"))
+    own = q.select(*keys, F.explode(_runs(F.col("w"))).alias("g")).distinct()
+    runs = s.where(F.size("w") > 3).select(*keys, "_k", F.explode(_runs(F.col("w"))).alias("g"))
     hit = runs.join(own, [*keys, "g"], "left_semi").select("_k")
     short = s.where(F.size("w") <= 3).drop("w").join(q, list(keys)).where(F.expr("contains(q, s)")).select("_k")
     marked = s.join(hit.unionAll(short).distinct().withColumn("_hit", F.lit(1)), "_k", "left")
-    return marked.groupBy(*keys).agg(F.count("*").alias("n_sentences"), F.count("_hit").alias("n_covered")).withColumn("percent", F.col("n_covered") * 100.0 / F.col("n_sentences"))
+    return marked.groupBy(*keys).agg(F.count("*").alias("n_sentences"), F.count("_hit").alias("n_covered"))
+
+
+def sentence_coverage(sentences: DataFrame, quotes: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys, n_sentences, n_covered, percent``: sentences that a quote of the same keys holds, or of which it holds a run of three words.
+
+    ``sentences`` has ``text``, ``quotes`` ``evidence_quote``; compared in lower case within one key, three-word runs by equal keys. The runs
+    of a key's quotes go to its sentences as one array; keys with more than ``RUNS`` are joined run by run, with the same rows.
+    """
+    s = sentences.select(*keys, F.lower(F.trim("text")).alias("s")).where("s <> ''")
+    q = materialize(quotes.select(*keys, F.lower("evidence_quote").alias("q")).where("trim(q) <> ''"), "quotes")
+    size = F.sum(F.greatest(F.size(_words("q")) - 2, F.lit(1)))
+    large = materialize(q.groupBy(*keys).agg(size.alias("_n")).where(F.col("_n") > RUNS).select(*keys), "large")
+    some = not large.isEmpty()
+    split = lambda df, how: df.join(large, list(keys), how) if some else df
+    lists = split(q, "left_anti").groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list(_of_words("q", _runs)))).alias("_runs"), F.collect_list("q").alias("_q"))
+    own = split(s, "left_anti").join(lists, list(keys), "left")
+    held = F.exists("_q", lambda x: F.contains(x, F.col("s")))
+    hit = _of_words("s", lambda w: F.when(F.size(w) > 3, F.arrays_overlap(_runs(w), F.col("_runs"))).otherwise(held))
+    out = own.select(*keys, hit.alias("_hit")).groupBy(*keys).agg(F.count("*").alias("n_sentences"), F.count(F.when(F.col("_hit"), 1)).alias("n_covered"))
+    if some:
+        out = out.unionByName(_exploded_coverage(split(s, "left_semi"), split(q, "left_semi"), keys))
+    return out.withColumn("percent", F.col("n_covered") * 100.0 / F.col("n_sentences"))
 
 
 def compared(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
