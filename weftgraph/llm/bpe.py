@@ -7,16 +7,20 @@ prefix, the one that forms a valid pair with the last token of what stands befor
 shared prefixes are computed once, and the walk costs one step for each trie edge.
 
 Nulls count as empty texts (no ids, empty decoding). Rows keep their order and multiplicity; extra
-columns are not returned. Memory: one batch, the vocabulary, and a task's caches: words of about
-``CACHE_BYTES`` bytes in all (a word longer than ``LONG`` bytes is never kept), ``CACHE_STEPS`` steps of the automaton
-beyond the vocabulary's own and ``CACHE_PAIRS`` pairs. They end with the task.
+columns are not returned. Memory: one batch, the vocabulary as flat arrays (made of the file by the driver), and a
+task's caches: words of about ``CACHE_BYTES`` bytes in all (a word longer than ``LONG`` characters is never kept; of two
+halves the older goes, and what is used again moves to the newer), ``CACHE_STEPS`` steps of the automaton,
+``CACHE_PAIRS`` pairs and ``CACHE_SPINES`` lists of a token's parts. They end with the task.
 """
 
 from __future__ import annotations
 
 import json
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frame import over_texts
+from ._frame import give_back, over_texts
 from ._pieces import WHITE, encoded
 
-CACHE_BYTES, LONG, CACHE_STEPS, CACHE_PAIRS = 64_000_000, 200, 100_000, 150_000
+CACHE_BYTES, LONG, CACHE_STEPS, CACHE_PAIRS, CACHE_SPINES = 32_000_000, 200, 100_000, 150_000, 20_000
+#: Characters of texts that are cut into words at once, about; a text is never divided.
+CHARS = 1 << 19
 
 #: Fixed value: the public byte-level splitting pattern.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
@@ -40,68 +46,115 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+@dataclass(frozen=True)
+class Tables:
+    """A vocabulary as flat arrays, which the driver makes of the file once; a worker that reads the file itself keeps several times as much.
+
+    The nodes of the automaton over bytes are numbered by depth, then by parent and byte, so the ``i``-th of the
+    sorted keys (parent << 8 | byte) is the edge to node ``i + 1``. The root is 0.
+    """
+
+    edges: np.ndarray  # keys of the edges, int64
+    fail: np.ndarray  # by node: the node of the longest proper suffix
+    depth: np.ndarray
+    token: np.ndarray  # by node: the token that it spells, or -1
+    pairs: np.ndarray  # by rank of a merge: left token << 32 | right token, int64
+    parts: np.ndarray  # by token: left part, right part and rank of its first merge, or -1
+    ids: np.ndarray
+    raw: bytes  # the bytes of ``ids`` one behind the other
+    sizes: np.ndarray
+    special: dict[str, int]
+
+
+def tables(file: bytes) -> Tables:
+    spec = json.loads(file)
+    model, pre = spec["model"], spec["pre_tokenizer"]
+    plain = model["type"] == "BPE" and pre["type"] == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]
+    special = spec["added_tokens"]
+    if not plain or spec["normalizer"] or model.get("ignore_merges") or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in special):
+        raise ValueError("only byte-level BPE files without normaliser and without prefix space are read")
+    alphabet = byte_alphabet()
+    as_bytes = lambda s: bytes(alphabet[c] for c in s)
+    extra = {t["content"]: t["id"] for t in special}
+    ids = {as_bytes(s): i for s, i in model["vocab"].items() if s not in extra}
+    merges = [(ids[as_bytes(a)], ids[as_bytes(b)], ids[as_bytes(a + b)]) for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
+    parts = np.full((max([*ids.values(), *extra.values()], default=-1) + 1, 3), -1, dtype=np.int32)
+    for r, (a, b, c) in reversed(list(enumerate(merges))):
+        parts[c] = a, b, r
+    pairs = np.array([a << 32 | b for a, b, _ in merges], dtype=np.int64)
+    shown = {i: raw for raw, i in ids.items()} | {i: s.encode() for s, i in extra.items()}
+    sizes = np.fromiter(map(len, shown.values()), dtype=np.int32, count=len(shown))
+    return Tables(*_automaton(ids), pairs, parts, np.fromiter(shown, dtype=np.int32, count=len(shown)), b"".join(shown.values()), sizes, extra)
+
+
+def _automaton(ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges, fail links, depths and tokens of the nodes, one depth after the other."""
+    size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+    first = np.cumsum(size) - size
+    flat, token_of = np.frombuffer(b"".join(ids), dtype=np.uint8), np.fromiter(ids.values(), dtype=np.int32, count=len(ids))
+    at = np.zeros(len(ids), dtype=np.int64)  # by token: the node of its first bytes
+    edges, fail, depth, token = np.empty(0, dtype=np.int64), np.zeros(1, dtype=np.int32), np.zeros(1, dtype=np.int16), np.full(1, -1, dtype=np.int32)
+    for d in range(1, int(size.max(initial=0)) + 1):
+        here = np.flatnonzero(size >= d)
+        keys, number = np.unique(at[here] << 8 | flat[first[here] + d - 1], return_inverse=True)
+        at[here] = number + len(fail)
+        own = np.full(len(keys), -1, dtype=np.int32)
+        ended = size[here] == d
+        own[number[ended]] = token_of[here[ended]]
+        # the longest suffix of the parent from which the byte goes on; depth 1 falls back to the root
+        link, of, b = np.zeros(len(keys), dtype=np.int32), np.arange(len(keys) if d > 1 else 0), keys & 255
+        back = fail[keys >> 8]
+        while len(of):
+            wanted = back[of].astype(np.int64) << 8 | b[of]
+            place = np.minimum(np.searchsorted(edges, wanted), len(edges) - 1)
+            found = edges[place] == wanted
+            link[of[found]] = place[found] + 1
+            of = of[~found & (back[of] > 0)]
+            back[of] = fail[back[of]]
+        edges, fail = np.concatenate((edges, keys)), np.concatenate((fail, link))
+        depth, token = np.concatenate((depth, np.full(len(keys), d, dtype=np.int16))), np.concatenate((token, own))
+    return edges, fail, depth, token
+
+
 class TrieBpe:
-    """A byte-level BPE vocabulary with the traversal."""
-
-    def __init__(self, file: bytes):
-        spec = json.loads(file)
-        model, pre = spec["model"], spec["pre_tokenizer"]
-        plain = model["type"] == "BPE" and pre["type"] == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]
-        special = spec["added_tokens"]
-        if not plain or spec["normalizer"] or model.get("ignore_merges") or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in special):
-            raise ValueError("only byte-level BPE files without normaliser and without prefix space are read")
-        alphabet = byte_alphabet()
-        as_bytes = lambda s: bytes(alphabet[c] for c in s)
-        extra = {t["content"]: t["id"] for t in special}
-        self.ids = {as_bytes(s): i for s, i in model["vocab"].items() if s not in extra}
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        merges = [(self.ids[as_bytes(a)], self.ids[as_bytes(b)], self.ids[as_bytes(a + b)]) for a, b in pairs]
-        self.rank = {(a, b): r for r, (a, b, _) in enumerate(merges)}
-        self.parts = {c: (a, b) for a, b, c in reversed(merges)}
-        self.made = {c: r for r, (_, _, c) in reversed(list(enumerate(merges)))}
-        self.spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        self.bytes = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in extra.items()}
-        self._suffixes()
-        self.special = extra
-        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(extra, key=len, reverse=True)) + ")") if extra else None
+    """A byte-level BPE vocabulary, given as its file or as the tables made of it, with the traversal."""
+
+    def __init__(self, source: bytes | Tables):
+        t = tables(source) if isinstance(source, bytes) else source
+        plain = lambda kind, values: array(kind, values.tobytes())  # noqa: E731 (single numbers are read faster than from numpy)
+        self.edges, self.fail, self.depth, self.token = plain("q", t.edges), plain("i", t.fail), plain("h", t.depth), plain("i", t.token)
+        self.rank = dict(zip(t.pairs.tolist(), range(len(t.pairs)), strict=True))
+        self.parts, self.made = (plain("i", t.parts[:, 0].copy()), plain("i", t.parts[:, 1].copy())), plain("i", t.parts[:, 2].copy())
+        ends = np.cumsum(t.sizes).tolist()
+        self.bytes = {i: t.raw[end - n : end] for i, n, end in zip(t.ids.tolist(), t.sizes.tolist(), ends, strict=True)}
+        self.special = t.special
+        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(t.special, key=len, reverse=True)) + ")") if t.special else None
+        self.step: dict[int, int] = {}  # node << 8 | byte: the next node
+        self.ends: dict[int, tuple[tuple[int, int], ...]] = {}  # by node that a step leads to: the tokens that end there, as (size, id), longest first
+        self.spines: dict[int, list[tuple[int, float]]] = {}
         self.valid: dict[int, bool] = {}  # left token << 32 | right token
         self.words: dict[str, bytes] = {}  # ids as int32
+        self.older: dict[str, bytes] = {}
         self.held = 0  # bytes of the words, about
 
-    def _suffixes(self) -> None:
-        """An automaton over bytes: ``ends[node]`` has the tokens that end at a place, as (size, id), longest first."""
-        step: dict[int, int] = {}  # node * 256 + byte: the next node
-        trail: list[tuple[int, int]] = [(0, 0)]  # by node: its parent and byte
-        token = [-1]
-        depth = [0]
-        for raw, i in self.ids.items():
-            node = 0
-            for b in raw:
-                key = node << 8 | b
-                node = step.get(key, 0)
-                if not node:
-                    node = step[key] = len(trail)
-                    trail.append((key >> 8, b))
-                    token.append(-1)
-                    depth.append(depth[key >> 8] + 1)
-            token[node] = i
-        self.own, self.step = step, dict(step)
-        self.fail = [0] * len(trail)
-        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(trail)
-        for node in sorted(range(1, len(trail)), key=depth.__getitem__):
-            parent, b = trail[node]
-            self.fail[node] = self.next_node(self.fail[parent], b) if parent else 0
-            own = ((depth[node], token[node]),) if token[node] >= 0 else ()
-            self.ends[node] = own + self.ends[self.fail[node]]
-
     def next_node(self, node: int, b: int) -> int:
-        key = node << 8 | b
-        while (found := self.own.get(node << 8 | b)) is None and node:
+        key, edges = node << 8 | b, self.edges
+        while (at := bisect_left(edges, node << 8 | b)) == len(edges) or edges[at] != node << 8 | b:
+            if not node:
+                at = -1
+                break
             node = self.fail[node]
-        if len(self.step) > len(self.own) + CACHE_STEPS:
-            self.step.clear()  # the walk holds on to this dictionary
-            self.step.update(self.own)
-        found = self.step[key] = found or 0
+        if len(self.step) >= CACHE_STEPS:
+            self.step.clear()  # the walk holds on to these dictionaries
+            self.ends.clear()
+        found = self.step[key] = at + 1
+        if found not in self.ends:
+            here, out = found, []
+            while here:
+                if self.token[here] >= 0:
+                    out.append((self.depth[here], self.token[here]))
+                here = self.fail[here]
+            self.ends[found] = tuple(out)
         return found
 
     def spine(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -109,10 +162,10 @@ class TrieBpe:
         out, until = [], float("inf")
         while True:
             out.append((token, until))
-            if token not in self.parts:
+            if self.made[token] < 0:
                 return out
             until = self.made[token]
-            token = self.parts[token][side]
+            token = self.parts[side][token]
 
     def is_pair(self, a: int, b: int) -> bool:
         """Whether the bytes of the two tokens are encoded as these two tokens.
@@ -125,8 +178,11 @@ class TrieBpe:
         if found is None:
             if len(self.valid) > CACHE_PAIRS:
                 self.valid.clear()
-            left, right = (self.spines.get(k) or self.spines.setdefault(k, self.spine(*k)) for k in ((a, 1), (b, 0)))
-            found = self.valid[a << 32 | b] = not any((r := self.rank.get((x, y))) is not None and r < p and r <= q for x, p in left for y, q in right)
+            if len(self.spines) > CACHE_SPINES:
+                self.spines.clear()
+            left, right = (self.spines.get(k) or self.spines.setdefault(k, self.spine(k >> 1, k & 1)) for k in (a << 1 | 1, b << 1))
+            rank = self.rank.get
+            found = self.valid[a << 32 | b] = not any((r := rank(x << 32 | y)) is not None and r < p and r <= q for x, p in left for y, q in right)
         return found
 
     def traverse(self, words: Iterable[str]) -> Iterator[tuple[str, array]]:
@@ -166,12 +222,12 @@ class TrieBpe:
             yield word, out
 
     def _words(self, words: list[str]) -> list[bytes]:
-        if self.held > CACHE_BYTES:
-            self.words.clear()
-            self.held = 0
+        if self.held > CACHE_BYTES // 2:
+            self.older, self.words, self.held = self.words, {}, 0
         new = [w for w in words if w not in self.words]
-        self.words.update((w, array("i", (self.special[w],)).tobytes()) for w in new if w in self.special)
-        self.words.update((w, ids.tobytes()) for w, ids in self.traverse(w for w in new if w not in self.special))
+        found = {w: array("i", (self.special[w],)).tobytes() if w in self.special else self.older[w] for w in new if w in self.special or w in self.older}
+        self.words.update(found)
+        self.words.update((w, ids.tobytes()) for w, ids in self.traverse(w for w in new if w not in found))
         out = [self.words[w] for w in words]
         self.held += sum(map(len, new)) * 2 + 250 * len(new)
         for word in new:
@@ -181,8 +237,15 @@ class TrieBpe:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        flat, sizes = encoded(texts, self.special, self.cut, self._words)
-        return np.split(flat.view("<i4"), np.cumsum(sizes)[:-1]) if texts else []
+        out: list[np.ndarray] = []
+        ends = list(accumulate(map(len, texts)))
+        at = 0
+        while at < len(texts):
+            upto = max(at + 1, bisect_right(ends, ends[at] - len(texts[at]) + CHARS))
+            flat, sizes = encoded(texts[at:upto], self.special, self.cut, self._words)
+            out += np.split(flat.view("<i4"), np.cumsum(sizes)[:-1])
+            at = upto
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -195,9 +258,10 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def _reader(df: DataFrame, path: str):
-    """The vocabulary goes to the executors as a broadcast of the file, whose size it bounds."""
+    """The vocabulary goes to the executors as a broadcast of its tables, about three times the size of the file."""
     with open(path, "rb") as file:
-        sent = df.sparkSession.sparkContext.broadcast(file.read())
+        sent = df.sparkSession.sparkContext.broadcast(tables(file.read()))
+    give_back()
     return lambda: TrieBpe(sent.value)
 
 
