@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import overlap_tokens
+from weftgraph.operators.ranking import best_of
+from weftgraph.plans.materialize import materialize
 
 #: Tokens that say nothing about relevance.
 NOISE = ["village", "หมู่", "หมู่บ้าน", "moo", "1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "community", "ชุมชน"]
@@ -21,6 +23,11 @@ def tokens(text: Column) -> Column:
     return F.array_except(overlap_tokens(F.coalesce(text, F.lit(""))), F.array(*map(F.lit, NOISE)))
 
 
+def _words(text: Column) -> Column:
+    """Tokens, repeated ones and noise too. Tokens are ASCII and Thai, so they may be lower-cased as one text."""
+    return F.split(F.lower(F.array_join(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([a-zA-Z0-9ก-๙]+)"), 1), " ")), " ")
+
+
 def share(question: Column, others: Column) -> Column:
     """Share of the question's tokens among the others; 0 without any."""
     return F.size(F.array_intersect(question, others)) / F.greatest(F.size(question), F.lit(1))
@@ -38,6 +45,11 @@ def slim_triples(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.select(F.col("src_node").alias("subject"), F.col("edge_type").alias("predicate"), F.col("dst_node").alias("object"), "community_id", "chunk_id", "properties")
 
 
+def slim_named(edges: DataFrame) -> DataFrame:
+    """``slim_triples`` of edges that have their ends (``src_node, dst_node``: name, id, type)."""
+    return edges.select(F.col("src_node").alias("subject"), F.col("edge_type").alias("predicate"), F.col("dst_node").alias("object"), "community_id", "chunk_id", shown_properties(F.col("properties")).alias("properties"))
+
+
 def known_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges that ``slim_triples`` shows: both ends are among the nodes. Names are left for the few that are shown."""
     for c in ("src", "dst"):
@@ -45,6 +57,18 @@ def known_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges
 
 
+def best_known(edges: DataFrame, nodes: DataFrame, by: str, tie: str, cap: int) -> DataFrame:
+    """``ranking.best_of`` of the edges that ``known_ends`` keeps; ends are looked up for the best edges alone, and for more of them while a group lacks some."""
+    wide = 2 * cap
+    while True:
+        first = materialize(best_of(edges, by, tie=tie, cap=wide), "first")
+        known = materialize(known_ends(first.drop("rank"), nodes), "known")
+        full = first.groupBy(by).agg(F.max("rank").alias("_most")).where(F.col("_most") >= wide)
+        if full.join(known.groupBy(by).agg(F.count("*").alias("_n")), by, "left").where(F.coalesce("_n", F.lit(0)) < cap).isEmpty():
+            return best_of(known, by, tie=tie, cap=cap)
+        wide *= 8
+
+
 def slim_paths(paths: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``path_id, chain, predicates, community_ids, chunk_ids, properties`` of paths (``path_id, nodes, edges``, edges as ``src|type|dst``).
 
@@ -94,14 +118,19 @@ def relevance(results: DataFrame, chunk_scores: DataFrame, question: Column) ->
     """Results with ``score``: the best score of their chunks plus the better of two token overlaps with the question (all
     strings, names); a chunk's own is the sum of both, without chunk scores. ``chunk_scores`` has ``chunk_id, score``.
 
-    Results are known by ``result_id``; chunk scores join to the exploded ids, so no result carries the whole table.
+    Results are known by ``result_id``; chunk scores join to the exploded ids, so no result carries the whole table. Overlaps are taken before any shuffle. A triple,
+    which has one chunk at most, meets its score by that chunk and is shuffled once; chunks of documents are not shuffled.
     """
-    scores = chunk_scores.select(F.col("chunk_id").cast("string").alias("_c"), F.col("score").alias("_s"))
-    best = results.where("kind <> 'chunk'").select("result_id", F.explode("chunk_ids").alias("_c")).join(scores, "_c").groupBy("result_id").agg(F.max("_s").alias("_s"))
-    q = tokens(question)
-    whole, own = share(q, tokens(F.col("text"))), share(q, tokens(F.col("names")))
-    score = F.when(F.col("kind") == "chunk", whole + own).otherwise(F.coalesce("_s", F.lit(0.0)) + F.greatest(whole, own))
-    return results.join(best, "result_id", "left").withColumn("score", score).drop("_s")
+    q = tokens(question)  # has no noise, so what it shares has none
+    whole, own = share(q, _words(F.col("text"))), share(q, _words(F.col("names")))
+    better = F.when(F.col("text").startswith(F.concat("names", F.lit(" "))), whole).otherwise(F.greatest(whole, own))  # a text that begins with the names has all their tokens
+    rows = results.withColumn("score", F.when(F.col("kind") == "chunk", whole + own).otherwise(better))
+    scores = chunk_scores.groupBy(F.col("chunk_id").cast("string").alias("_c")).agg(F.max("score").alias("_s"))
+    one = rows.where("kind = 'triple'").withColumn("_c", F.get("chunk_ids", F.lit(0))).join(scores.hint("shuffle_hash"), "_c", "left").drop("_c")
+    rest = rows.where("kind IS NULL OR kind NOT IN ('triple', 'chunk')")
+    best = rest.where("kind IS NOT NULL").select("result_id", F.explode("chunk_ids").alias("_c")).join(scores, "_c").groupBy("result_id").agg(F.max("_s").alias("_s"))
+    found = one.unionByName(rest.join(best, "result_id", "left")).withColumn("score", F.coalesce("_s", F.lit(0.0)) + F.col("score")).drop("_s")
+    return found.unionByName(rows.where("kind = 'chunk'")).select(*results.columns, "score")
 
 
 def memberships(results: DataFrame) -> DataFrame:
