@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators import context, ranking, results
+from weftgraph.operators import context, results
 from weftgraph.plans import views
 from weftgraph.plans.materialize import materialize, shared_dir
 from weftgraph.plans.views import table
 from weftgraph.queries import query
-from weftgraph.registry_queries import PATHS, PROPS, edges_with_properties, place_paths, slim
+from weftgraph.registry_queries import PATHS, PROPS, place_paths, slim, with_properties
 from weftgraph.sources import reports
 
 #: The lines of the context of all communities: nations, their 50 best triples, and the chunks of the documents.
@@ -39,9 +39,9 @@ cl AS (SELECT row_number() OVER (ORDER BY g, s, k, t, i) AS line_no, community_i
 
 def lines_of_context(spark, d) -> DataFrame:
     nodes, cap = views.kg_nodes(spark, d), 50
-    edges = results.known_ends(edges_with_properties(spark, d), nodes).withColumns({"result_id": F.concat_ws("|", "src", "edge_type", "dst"), "score": (F.col("chunk_id") % 11).cast("double")})
-    shown = materialize(ranking.best_of(edges, "community_id", tie="result_id", cap=cap).drop("rank"), "shown")  # a context shows no others, so no others are named
-    triples = results.slim_triples(shown, nodes).withColumn("result_id", F.concat_ws("|", "subject.canonical_id", "predicate", "object.canonical_id"))
+    edges = views.kg_edges(spark, d).withColumns({"result_id": F.concat_ws("|", "src", "edge_type", "dst"), "score": (F.col("chunk_id") % 11).cast("double")})
+    shown = materialize(results.best_known(edges, nodes, "community_id", "result_id", cap).drop("rank"), "shown")  # a context shows no others, so no others are named
+    triples = results.slim_triples(with_properties(shown), nodes).withColumn("result_id", F.concat_ws("|", "subject.canonical_id", "predicate", "object.canonical_id"))
     triples = materialize(triples, "triples")
     line = results.path_line(F.array("subject", "object"), F.array("predicate"), F.col("properties"))
     rows = triples.select("community_id", "result_id", (F.col("chunk_id") % 11).cast("double").alias("score"), line.alias("line"))
