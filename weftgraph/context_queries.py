@@ -74,7 +74,7 @@ def a15(spark, d):
     c = F.col
     triples = slim(spark, d).select(F.lit("triple").alias("kind"), context.triple_sentence(c("subject"), c("predicate"), c("object"), c("community_id"), c("chunk_id"), c("properties")).alias("sentence"))
     paths = results.slim_paths(*place_paths(spark, d)).select(F.lit("path"), context.path_sentence(c("chain"), c("predicates"), c("community_ids"), F.array(context.edge_note(F.lit("via"), c("properties")))))
-    quotes = views.raw_triples(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    quotes = context.quotes_in_texts(table(spark, d, "documents"), views.triples_of)
     evidence = quotes.select(F.lit("evidence"), context.evidence_sentence(c("evidence_quote"), F.lit(None).cast("string"), c("text"), F.array("subject", "object"), F.array("predicate"), F.lit(None).cast("string"), c("chunk_id")))
     items = table(spark, d, "items").where("item_id IS NOT NULL")
     other = items.select(F.lit("other"), context.value_sentence(F.create_map(F.lit("item"), c("item_id").cast("string"), F.lit("name"), c("name"), F.lit("brand"), c("brand"))))

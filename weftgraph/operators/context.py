@@ -170,6 +170,26 @@ def evidence_sentence(quote: Column, quote_en: Column, text: Column, entities: C
     return F.when(out != "", out).otherwise(NO_EVIDENCE)
 
 
+def quotes_in_texts(documents: DataFrame, triples_of) -> DataFrame:
+    """``triples_of`` the documents with ``text`` beside each quote as ``evidence_sentence`` shows it: what it tells apart is kept, not the whole text.
+
+    A document's triples have its text in their row. Only documents with equal ids, whose triples have all of their texts, are joined.
+    """
+    own = documents.where("doc_id IS NOT NULL")
+    again = materialize(own.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    head = F.substring("text", 1, LONGEST + 1)
+    shown = own.select("doc_id", "text", head.alias("_head"), (F.instr("text", "\n") == 0).alias("_one"))
+    single = shown.join(F.broadcast(again), "doc_id", "left_anti")
+    found = triples_of(single.select(F.struct("doc_id", "_head", "_one").alias("doc_id"), "text")).withColumns({"_head": F.col("doc_id._head"), "_one": F.col("doc_id._one"), "doc_id": F.col("doc_id.doc_id")})
+    if not again.isEmpty():
+        several = shown.join(F.broadcast(again), "doc_id", "left_semi")
+        found = found.unionByName(triples_of(several).join(several.select("doc_id", "_head", "_one", F.col("text").alias("_text")), "doc_id").withColumn("_one", F.col("_text") == F.col("evidence_quote")).drop("_text"))
+    quote = F.col("evidence_quote")
+    # a longer text that begins with the quote is another text
+    text = F.when(F.col("_one"), quote).when(F.col("_head") == quote, F.concat("_head", F.lit("\n"))).otherwise(F.col("_head"))
+    return found.withColumn("text", text).drop("_head", "_one")
+
+
 def value_sentence(values: Column) -> Column:
     """``key: value`` lines of a map's values that are not null or empty, by key."""
     out = _pairs(F.map_filter(values, lambda k, v: v != ""), "\n")
